@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from gleaner.llm import mixing
+from gleaner.llm import langid, mixing, packing, sharding, simhash
 
 
 def queries() -> dict:
-    return {"op2_mixing": mixing.query}
+    return {
+        "op1_langid": langid.query,
+        "op2_mixing": mixing.query,
+        "op4_hilbert_sharding": sharding.query,
+        "op5_simhash": simhash.query,
+        "op10_packing": packing.query,
+    }
 
 
 def oracle_sql() -> dict:
