@@ -50,14 +50,15 @@ class Scratch:
     recomputation, and nothing that ran before is kept in the lineage."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.paths = spark, f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}", {}
+        self.spark, self.root, self.made = spark, f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}", 0
 
     def settle(self, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{len(self.paths)}"
+        path = f"{self.root}/{self.made}"
+        self.made += 1
         schema = df.schema
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
-        self.paths[id(out)] = path
+        out._settled = path
         del df
         self.sweep()
         return out
@@ -66,7 +67,7 @@ class Scratch:
         """Deletes settled tables that no later plan reads."""
         jvm = self.spark._jvm
         for t in tables:
-            if path := self.paths.get(id(t)):
+            if path := getattr(t, "_settled", None):
                 p = jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
