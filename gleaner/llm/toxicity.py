@@ -33,7 +33,7 @@ from gleaner.llm.common import documents, tune
 
 SAMPLE, LANDMARKS, ROUNDS, DECAY, BUCKETS, THRESHOLD = 3000, 256, 4, 0.6, 1 << 18, 0.7
 #: One clear insult should tell by itself: the logistic curve's weights of the three margins are drawn to these.
-PRIOR, PULL = (3.0, 1.0, 0.5), 20.0
+PRIOR, PULL = (4.0, 2.0, 1.0), 5.0
 #: Positions of a subsequence's second and third character after its first, for spans of three to five.
 GAPS = [(1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4)]
 
@@ -154,7 +154,7 @@ def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int = 100, seed:
 
 
 def tops(m: np.ndarray, doc: np.ndarray, n: int, bias: float) -> np.ndarray:
-    """The margins of each document's three most telling words, clipped at that of a sure word."""
+    """How sure each document's three most telling words are: their margins through a steep logistic step."""
     m = np.clip(m, bias, 1.2)
     order = np.lexsort((-m, doc))
     m, doc = m[order], doc[order]
@@ -162,7 +162,7 @@ def tops(m: np.ndarray, doc: np.ndarray, n: int, bias: float) -> np.ndarray:
     best = np.full((n, 3), bias)
     top = rank < 3
     best[doc[top], rank[top]] = m[top]
-    return np.maximum(best, -1.0)
+    return 1 / (1 + np.exp(-8 * (np.maximum(best, -1.0) - 0.6)))
 
 
 class Model:
