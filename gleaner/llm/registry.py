@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleaner.llm import langid, mixing, packing, sharding, simhash, toxicity
+from gleaner.llm import langid, lzprint, mixing, packing, sharding, simhash, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_mixing": mixing.query,
         "op4_hilbert_sharding": sharding.query,
         "op5_simhash": simhash.query,
+        "op7_lz_fingerprints": lzprint.query,
         "op9_toxicity": toxicity.query,
         "op10_packing": packing.query,
     }
