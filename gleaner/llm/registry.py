@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from gleaner.llm import langid, lzprint, mixing, packing, sharding, simhash, toxicity
+from gleaner.llm import langid, lzprint, mixing, mtree, packing, sharding, simhash, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_langid": langid.query,
         "op2_mixing": mixing.query,
+        "op3_mtree_topk": mtree.query,
         "op4_hilbert_sharding": sharding.query,
         "op5_simhash": simhash.query,
         "op7_lz_fingerprints": lzprint.query,
@@ -18,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op2_mixing": mixing.SQL}
+    return {"op2_mixing": mixing.SQL, "op3_mtree_topk": mtree.SQL}
