@@ -76,18 +76,20 @@ def bit_planes(fps: np.ndarray) -> np.ndarray:
     return np.packbits(lanes, axis=1, bitorder="little").view("<u8")
 
 
-def near(queries: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) with queries[i] and fps[j] at most radius (under 4) bits apart, by bit-sliced counting."""
-    planes, found = bit_planes(fps), []
+def hits(fps: np.ndarray, radius: int = RADIUS):
+    """For each fingerprint i that has any: (i, positions above i at most radius (under 4) bits away), by bit-sliced
+    counting. What is held at a time is bounded by a batch of queries, however many links there are."""
+    planes = bit_planes(fps)
     words = planes.shape[1]
     valid = np.zeros(words * 64, np.uint8)
     valid[: len(fps)] = 1
     valid = np.packbits(valid, bitorder="little").view("<u8")
-    step = max(1, (1 << 15) // max(1, words))
-    for at in range(0, len(queries), step):
-        q = queries[at : at + step]
-        # one row of counters (ones, twos, over) per (query, block of 64 lanes)
-        row, block = (x.ravel() for x in np.meshgrid(np.arange(len(q)), np.arange(words), indexing="ij"))
+    step = max(1, (1 << 15) // words)
+    for at in range(0, len(fps), step):
+        q = fps[at : at + step]
+        # One set of counters (ones, twos, over) per query and block of 64 lanes; blocks below the queries are done.
+        low = at // 64
+        row, block = (x.ravel() for x in np.meshgrid(np.arange(len(q)), np.arange(low, words), indexing="ij"))
         ones, twos, over = (np.zeros(len(row), np.uint64) for _ in range(3))
         for b in range(64):
             flip = np.where((q >> np.uint64(b)) & np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))
@@ -96,39 +98,38 @@ def near(queries: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np
             ones ^= differ
             over |= twos & carry  # a fourth difference
             twos ^= carry
-            if radius < 3:
-                over |= twos & ones if radius == 2 else (twos if radius == 1 else twos | ones)
-            if b % 4 == 3 and b < 63:
+            if radius == 2:
+                over |= twos & ones
+            elif radius == 1:
+                over |= twos
+            elif radius == 0:
+                over |= twos | ones
+            if b % 4 == 3:
                 live = (valid[block] & ~over) != 0
                 if not live.all():  # abandoned: every lane of the block is over the radius
                     row, block, ones, twos, over = (x[live] for x in (row, block, ones, twos, over))
                     if not len(row):
                         break
         good = valid[block] & ~over
-        for r, k, lanes in zip(row[good != 0], block[good != 0], good[good != 0], strict=True):
-            hits = np.flatnonzero(np.unpackbits(np.array([lanes], "<u8").view(np.uint8), bitorder="little"))
-            found.append((np.full(len(hits), at + r), k * 64 + hits))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([i for i, _ in found]).astype(np.int64), np.concatenate([j for _, j in found]).astype(np.int64)
-
-
-def _forest(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
-    """Spanning edges of the graph of index pairs, as pairs of ids."""
-    up = list(range(len(ids)))
-
-    def top(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    out = []
-    for a, b in zip(i.tolist(), j.tolist(), strict=True):
-        x, y = top(a), top(b)
-        if x != y:
-            up[max(x, y)] = min(x, y)
-            out.append((int(ids[a]), int(ids[b])))
+        cut = np.searchsorted(row, np.arange(len(q) + 1))
+        for i in range(len(q)):
+            mine = slice(cut[i], cut[i + 1])
+            if cut[i + 1] > cut[i]:
+                lanes = np.unpackbits(good[mine].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                k, lane = np.nonzero(lanes)
+                j = block[mine][k] * 64 + lane
+                j = j[j > at + i]
+                if len(j):
+                    yield at + i, j
+
+
+def forest(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
+    """Spanning edges, as index pairs, of the graph of all links between fingerprints."""
+    label, out = np.arange(len(fps)), []
+    for i, j in hits(fps, radius):
+        while len(j := j[label[j] != label[i]]):
+            out.append((i, int(j[0])))
+            label[label == label[j[0]]] = label[i]
     return out
 
 
@@ -151,25 +152,15 @@ def link_forest(scratch: Scratch, nodes: DataFrame, radius: int = RADIUS, bands:
     g = F.ceil(F.col("n") / F.lit(block)).cast("int")
     rows = rows.withColumn("g", g).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("g")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    rows = rows.select("t", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("z"), "own", "fp")
-    # What a bucket costs grows with its block pairs, not its rows alone: each pair of blocks is a group.
-    dealt = rows.repartition("t", "key", "a", "z").sortWithinPartitions("t", "key", "a", "z", "own", "fp")
+    rows = rows.select("t", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("z"), "fp")
+    dealt = rows.repartition("t", "key", "a", "z").sortWithinPartitions("t", "key", "a", "z", "fp")
 
     def compare(batches):
         held: list = []
 
         def close(parts):
-            own = np.concatenate([p[0] for p in parts])
-            fps = np.concatenate([p[1] for p in parts])
-            if len(fps) < 2:
-                return []
-            left, right = (own == own[0]), (own != own[0])
-            u = fps.view(np.uint64)
-            if right.any():  # two blocks: only links between them; links inside are found where a block meets itself
-                i, j = near(u[left], u[right], radius)
-                return _forest(fps, np.flatnonzero(left)[i], np.flatnonzero(right)[j])
-            i, j = near(u, u, radius)
-            return _forest(fps, i[i < j], j[i < j])
+            fps = np.concatenate(parts)
+            return [(int(fps[i]), int(fps[j])) for i, j in forest(fps.view(np.uint64), radius)]
 
         def emit(edges):
             a = np.array(edges, np.int64).reshape(-1, 2)
@@ -177,7 +168,7 @@ def link_forest(scratch: Scratch, nodes: DataFrame, radius: int = RADIUS, bands:
 
         last, out = None, []
         for b in batches:
-            t, key, a, z, own, fp = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            t, key, a, z, fp = (c.to_numpy(zero_copy_only=False) for c in b.columns)
             if not len(t):
                 continue
             cut = np.flatnonzero((np.diff(t) != 0) | (np.diff(key) != 0) | (np.diff(a) != 0) | (np.diff(z) != 0)) + 1
@@ -187,7 +178,7 @@ def link_forest(scratch: Scratch, nodes: DataFrame, radius: int = RADIUS, bands:
                     out += close(held)
                     held = []
                 last = name
-                held.append((own[lo:hi], fp[lo:hi]))
+                held.append(fp[lo:hi])
             if len(out) > 10_000:
                 yield emit(out)
                 out = []
