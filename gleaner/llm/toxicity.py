@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import documents, tune
 
-SAMPLE, LANDMARKS, ROUNDS, DECAY, BUCKETS, THRESHOLD = 3000, 256, 4, 0.6, 1 << 18, 0.7
+SAMPLE, LANDMARKS, ROUNDS, DECAY, BUCKETS, THRESHOLD = 2000, 256, 4, 0.6, 1 << 18, 0.7
 #: One clear insult should tell by itself: the logistic curve's weights of the three margins are drawn to these.
 PRIOR, PULL = (4.0, 2.0, 1.0), 5.0
 #: Positions of a subsequence's second and third character after its first, for spans of three to five.
@@ -221,8 +221,7 @@ def fit(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, rounds:
     # The other half: words of clean documents most like the first (hard negatives come in with the rounds), and common ones.
     common = np.lexsort((names.astype(str), -df[0]))
     picked = list(dict.fromkeys([*order[:half].tolist(), *common[:half].tolist()]))[:landmarks]
-    rows = features(names.tolist())
-    marks = [rows[k] for k in picked]
+    marks = features(names[picked].tolist())
     values, vectors = np.linalg.eigh(kernel(marks, marks))
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])  # K(Z, Z)^(-1/2) up to rotation
@@ -245,7 +244,7 @@ def fit(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, rounds:
         if not len(pos) or not len(neg):
             return None
         both = np.concatenate([pos, neg])
-        phi = kernel([rows[k] for k in both], marks) @ root
+        phi = kernel(features(names[both].tolist()), marks) @ root
         target = np.concatenate([np.ones(len(pos)), -np.ones(len(neg))])
         cost = np.concatenate([np.minimum(50.0, 2 * witness[pos]), np.clip(df[0][neg] * balance, 0.5, 10.0)])
         w = svm(phi, target, cost)
@@ -253,8 +252,9 @@ def fit(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, rounds:
         table = np.zeros(BUCKETS)
         for b, (bucket, weight) in zip(beta, marks, strict=True):
             np.add.at(table, bucket, b * weight)
-        flat, cut = np.concatenate([b for b, _ in rows]), np.cumsum([0, *[len(b) for b, _ in rows]])[:-1]
-        current = np.add.reduceat(np.concatenate([v for _, v in rows]) * table[flat], cut)
+        for at in range(0, len(names), 50_000):
+            x, first, length, _ = stream(names[at : at + 50_000].tolist(), join=False)
+            current[at : at + 50_000] = margins(x, first, length, table)
         sure = -bias  # a positive decision
         hard = np.union1d(hard, clean_words[np.argsort(-current[clean_words], kind="stable")[:2000]])
     model = Model(table, bias, np.zeros(4))
@@ -272,7 +272,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     for k, n in found.items():
         rate = F.when(F.col("_toxic") == k, F.lit(min(1.0, sample / n))).otherwise(rate)
     unit = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = known.where(unit < rate)
+    chosen = F.broadcast(known.where(unit < rate))  # about twice ``sample`` ids
     rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(chosen, "doc_id").select("text", "_toxic")
 
     def learn(batches):
