@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleaner.llm import langid, lzprint, mixing, mtree, packing, sharding, simhash, toxicity
+from gleaner.llm import fmindex, langid, lzprint, mixing, mtree, packing, sharding, simhash, toxicity
 
 
 def queries() -> dict:
@@ -13,10 +13,11 @@ def queries() -> dict:
         "op4_hilbert_sharding": sharding.query,
         "op5_simhash": simhash.query,
         "op7_lz_fingerprints": lzprint.query,
+        "op8_fm_dedup": fmindex.query,
         "op9_toxicity": toxicity.query,
         "op10_packing": packing.query,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op2_mixing": mixing.SQL, "op3_mtree_topk": mtree.SQL}
+    return {"op2_mixing": mixing.SQL, "op3_mtree_topk": mtree.SQL, "op8_fm_dedup": fmindex.SQL}
