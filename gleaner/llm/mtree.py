@@ -26,24 +26,27 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import Scratch, documents, tune
 
-K, SCALE, EVERY, PAGE, BLOCK, QUERIES = 20, 64, 20, 64, 4096, 1024
+K, SCALE, EVERY, PAGE, BLOCK, QUERIES = 20, 64, 20, 1024, 16384, 1024
 SLACK = 1e-7
 
 
 class Node:
-    """A page. A routing page holds children; a leaf page holds row numbers. ``parent`` are the entries' distances to
-    this page's own centre."""
+    """A page. A routing page holds children, their centres and radii; a leaf page holds its rows' vectors and ids one
+    after the other. ``parent`` are the entries' distances to this page's own centre."""
 
-    __slots__ = ("centre", "radius", "children", "rows", "parent")
+    __slots__ = ("centre", "radius", "children", "vectors", "ids", "parent", "centres", "radii")
 
-    def __init__(self, centre, radius, children, rows, parent):
-        self.centre, self.radius, self.children, self.rows, self.parent = centre, radius, children, rows, parent
+    def __init__(self, centre, radius, parent, children=None, vectors=None, ids=None):
+        self.centre, self.radius, self.parent, self.children, self.vectors, self.ids = centre, radius, parent, children, vectors, ids
+        if children is not None:
+            self.centres, self.radii = np.array([c.centre for c in children]), np.array([c.radius for c in children])
 
 
 class MTree:
     def __init__(self, x: np.ndarray, ids: np.ndarray, top: float, page: int = PAGE):
         """x: whole-number vectors; top: a bound on their squared norms."""
-        self.x, self.ids, self.page, self.top = x, ids, page, top
+        # Doubles hold whole numbers up to 2^53 exactly, and are far faster to multiply.
+        self.x, self.ids, self.page, self.top = x.astype(np.float64 if top < 1 << 52 else np.int64), ids, page, top
         lift = np.sqrt(np.maximum(top - np.einsum("ij,ij->i", x, x), 0.0))
         self.points = np.hstack([x.astype(float), lift[:, None]])
         self.root = self._load(np.arange(len(x)))
@@ -55,7 +58,7 @@ class MTree:
         centre = p.mean(axis=0)
         far = np.sqrt(((p - centre) ** 2).sum(axis=1))
         if len(rows) <= self.page or far.max() == 0.0:
-            return Node(centre, far.max(), None, rows, far)
+            return Node(centre, far.max(), far, None, self.x[rows], self.ids[rows])
         n = min(self.page, -(-len(rows) // (self.page // 2)))
         nearest = ((p - p[far.argmax()]) ** 2).sum(axis=1)
         owner = np.zeros(len(rows), np.int64)
@@ -66,16 +69,16 @@ class MTree:
         parts = [rows[owner == k] for k in range(n)]
         parts = [q for q in parts if len(q)]
         if len(parts) < 2:
-            return Node(centre, far.max(), None, rows, far)
+            return Node(centre, far.max(), far, None, self.x[rows], self.ids[rows])
         children = [self._load(q) for q in parts]
         parent = np.array([np.sqrt(((c.centre - centre) ** 2).sum()) for c in children])
         radius = max(d + c.radius for d, c in zip(parent, children, strict=True))
-        return Node(centre, min(radius, far.max()), children, None, parent)
+        return Node(centre, min(radius, far.max()), parent, children)
 
     def search(self, q: np.ndarray, own: int, k: int = K, floor: int | None = None) -> list[tuple[int, int]]:
         """The k best (score, id) for a whole-number query, its own id left out, best first; ties to smaller ids.
         floor: a score that k candidates elsewhere are known to reach; less is of no use."""
-        point = np.append(q.astype(float), 0.0)
+        point, exact = np.append(q.astype(float), 0.0), q.astype(self.x.dtype)
         base = float(q @ q) + self.top
         margin = SLACK * (base + 1)
         best: list[tuple[int, int]] = []  # heap of (score, -id): the worst first
@@ -94,11 +97,18 @@ class MTree:
                 break
             # Triangle inequality with the stored parent distances, before anything is computed.
             near = np.abs(away - node.parent)
-            if node.rows is not None:
+            if node.children is None:
                 alive = reach(near) >= worst
-                rows = node.rows[alive]
-                self.computed += len(rows)
-                for s, i in zip((self.x[rows] @ q).tolist(), self.ids[rows].tolist(), strict=True):
+                whole = alive.all()
+                scores = (node.vectors if whole else node.vectors[alive]) @ exact
+                ids = node.ids if whole else node.ids[alive]
+                self.computed += len(scores)
+                if len(best) < k and len(scores) > k + 1:  # no more than the page's k + 1 best can enter
+                    worst_here = np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
+                    enter = np.flatnonzero(scores >= max(worst, worst_here))
+                else:
+                    enter = np.flatnonzero(scores >= worst)
+                for s, i in zip(scores[enter].tolist(), ids[enter].tolist(), strict=True):
                     if i == own or s < worst:
                         continue
                     if len(best) < k:
@@ -108,18 +118,16 @@ class MTree:
                     if len(best) == k:
                         worst = max(worst, best[0][0])
                 continue
-            radii = np.array([c.radius for c in node.children])
-            picked = np.flatnonzero(reach(near - radii) >= worst)
+            picked = np.flatnonzero(reach(near - node.radii) >= worst)
             if not len(picked):
                 continue
-            centres = np.array([node.children[c].centre for c in picked])
-            d = np.sqrt(((centres - point) ** 2).sum(axis=1))
+            d = np.sqrt(((node.centres[picked] - point) ** 2).sum(axis=1))
             self.computed += len(picked)
-            for c, away_c, r in zip(picked, d, reach(d - radii[picked]), strict=True):
+            for c, away_c, r in zip(picked, d, reach(d - node.radii[picked]), strict=True):
                 if r >= worst:
                     heapq.heappush(heap, (-float(r), pushed, float(away_c), node.children[c]))
                     pushed += 1
-        return [(s, -i) for s, i in sorted(best, key=lambda e: (-e[0], -e[1]))]
+        return [(int(s), -i) for s, i in sorted(best, key=lambda e: (-e[0], -e[1]))]
 
 
 def scaled(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
