@@ -190,32 +190,33 @@ def decide(rows: list[tuple], kind: repeats.Kind = KIND) -> list[tuple]:
     return out
 
 
-def removals(scratch: Scratch, docs: DataFrame) -> DataFrame:
-    """doc_id and its removed windows as (lo, mask) pairs: bit j of mask is the window that starts at lo + j."""
-    spots, contexts = repeats.find(scratch, docs, KIND)
+def removals(scratch: Scratch, known: DataFrame, key: list[str], kind: repeats.Kind = KIND) -> DataFrame:
+    """key and its removed windows as (lo, mask) pairs: bit j of mask is the window that starts at lo + j."""
+    spots, contexts = repeats.find(scratch, known, key, kind)
 
     def solve(batches):
         for rows in repeats.chunks(batches, CHUNK):
-            found = decide(rows)
+            found = decide(rows, kind)
             cols = list(zip(*found, strict=True)) or [()] * 5
             types = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["anchor", "context", "n", "offsets", "lows"])
 
-    dealt = repeats.shards(docs, contexts, KIND).repartition("anchor", "shard").sortWithinPartitions("anchor", "shard", "context", "low")
+    dealt = repeats.shards(known, key, contexts, kind).repartition("anchor", "shard").sortWithinPartitions("anchor", "shard", "context", "low")
     found = dealt.mapInArrow(solve, "anchor long, context long, n int, offsets array<int>, lows array<long>")
     lower = found.groupBy("anchor", "context", "n").agg(F.flatten(F.collect_list(F.arrays_zip("offsets", "lows"))).alias("lower"))
     lower = scratch.settle(lower)
     keys = ["anchor", "context", "n"]
+    contexts = contexts.withColumn("low", F.col("first.doc_id"))
     # A context's windows are in its smallest document, or in a smaller one that the index reports.
     results = scratch.settle(contexts.select(*keys, "low", "copies").join(lower, keys, "left").where("copies > 1 OR lower IS NOT NULL"))
     hit = F.expr("""
         aggregate(coalesce(lower, array()), if(doc_id > low, shiftleft(1L, n) - 1L, 0L),
                   (m, w) -> if(w.lows < doc_id, m | shiftleft(1L, w.offsets), m))""")
-    marked = spots.join(results, keys).select("doc_id", "lo", hit.alias("mask")).where("mask <> 0")
-    return scratch.settle(marked.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "mask")).alias("marks")))
+    marked = spots.join(results, keys).select(*key, "lo", hit.alias("mask")).where("mask <> 0")
+    return scratch.settle(marked.groupBy(*key).agg(F.collect_list(F.struct("lo", "mask")).alias("marks")))
 
 
-def rewrite(docs: DataFrame, marks: DataFrame, texts: bool = False) -> DataFrame:
+def rewrite(docs: DataFrame, key: list[str], marks: DataFrame, texts: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and the kept text) of every row of docs."""
 
     def each(batches):
@@ -239,13 +240,15 @@ def rewrite(docs: DataFrame, marks: DataFrame, texts: bool = False) -> DataFrame
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    both = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(marks, "doc_id", "left").select("doc_id", "text", "marks")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([F.xxhash64("text").alias("th")] if len(key) > 1 else []))
+    both = own.join(marks, key, "left").select("doc_id", "text", "marks")
     return both.mapInArrow(each, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
-def dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, texts: bool = False, kind: repeats.Kind = KIND) -> DataFrame:
     scratch = Scratch(tune(docs.sparkSession))
-    return rewrite(docs, removals(scratch, docs), texts)
+    known, key = repeats.keyed(docs, with_null=False)
+    return rewrite(docs, key, removals(scratch, known, key, kind), texts)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

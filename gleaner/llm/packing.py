@@ -98,5 +98,9 @@ def pack(docs: DataFrame, with_ids: bool = False, **params) -> DataFrame:
     return out.withColumn("sequence_id", F.col("_slot_before")).withColumn("offset", F.lit(0).cast("long")).drop("_slot", "_slot_before")
 
 
+def digest(docs: DataFrame) -> DataFrame:
+    return pack(docs).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(documents(spark, sf_dir)).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return digest(documents(spark, sf_dir))

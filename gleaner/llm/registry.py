@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleaner.llm import fmindex, langid, lzprint, mixing, mtree, packing, sharding, simhash, toxicity
+from gleaner.llm import fmindex, langid, lzprint, mixing, mtree, packing, sharding, simhash, suffix, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_mtree_topk": mtree.query,
         "op4_hilbert_sharding": sharding.query,
         "op5_simhash": simhash.query,
+        "op6_suffix_dedup": suffix.query,
         "op7_lz_fingerprints": lzprint.query,
         "op8_fm_dedup": fmindex.query,
         "op9_toxicity": toxicity.query,

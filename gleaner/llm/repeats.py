@@ -164,22 +164,36 @@ class Kind:
     hot: int = 20_000
 
 
-def find(scratch: Scratch, docs: DataFrame, kind: Kind) -> tuple[DataFrame, DataFrame]:
-    """Occurrences (doc_id, lo, n, anchor, context) of blocks whose anchor repeats, and the distinct contexts
-    (anchor, context, n, copies, low: smallest doc_id, at: where that document has it, k: contexts of the anchor)."""
-    known = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
+#: Stands for a null doc_id where such rows take part.
+NO_ID = -(1 << 63)
+
+
+def keyed(docs: DataFrame, with_null: bool) -> tuple[DataFrame, list[str]]:
+    """doc_id, a hash of the text where doc_ids repeat, and the text; and the names of the columns that tell rows of
+    different content apart."""
+    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
+    if not with_null:
+        ids = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if ids.groupBy("doc_id").count().where("count > 1").head(1):
+        return ids.select("doc_id", F.xxhash64("text").alias("th"), "text"), ["doc_id", "th"]
+    return ids, ["doc_id"]
+
+
+def find(scratch: Scratch, known: DataFrame, key: list[str], kind: Kind) -> tuple[DataFrame, DataFrame]:
+    """Occurrences (key, lo, n, anchor, context) of blocks whose anchor repeats, and the distinct contexts (anchor,
+    context, n, copies, first: the smallest key that has it and where, k: contexts of the anchor)."""
 
     def scan(batches):
         for b in batches:
-            codes, bounds = kind.units(*text_buffer(b.column(1)))
+            codes, bounds = kind.units(*text_buffer(b.column(len(key))))
             x = blocks(codes, bounds, kind.width, kind.gram)
-            ids = b.column(0).to_numpy(zero_copy_only=False)[x.row]
+            take = pa.array(x.row)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(x.lo, pa.int32()), pa.array(x.n, pa.int32()), pa.array(x.anchor, pa.int64()), pa.array(x.context, pa.int64())],
-                names=["doc_id", "lo", "n", "anchor", "context"],
+                [*(b.column(k).take(take) for k in range(len(key))), pa.array(x.lo, pa.int32()), pa.array(x.n, pa.int32()), pa.array(x.anchor, pa.int64()), pa.array(x.context, pa.int64())],
+                names=[*key, "lo", "n", "anchor", "context"],
             )
 
-    found = known.mapInArrow(scan, "doc_id long, lo int, n int, anchor long, context long")
+    found = known.mapInArrow(scan, "".join(f"{k} long, " for k in key) + "lo int, n int, anchor long, context long")
     seen = found.groupBy("anchor")
     if kind.cross:
         again = seen.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z")
@@ -187,24 +201,19 @@ def find(scratch: Scratch, docs: DataFrame, kind: Kind) -> tuple[DataFrame, Data
         again = seen.agg(F.count("*").alias("a")).where("a > 1")
     again = scratch.settle(again.select("anchor"))
     spots = scratch.settle(found.join(again, "anchor"))
-    first = F.min(F.struct("doc_id", "lo"))
-    distinct = scratch.settle(
-        spots.groupBy("anchor", "context", "n").agg(F.count("*").alias("copies"), first.alias("f"))
-        .select("anchor", "context", "n", "copies", F.col("f.doc_id").alias("low"), F.col("f.lo").alias("at"))
-    )
+    distinct = scratch.settle(spots.groupBy("anchor", "context", "n").agg(F.count("*").alias("copies"), F.min(F.struct(*key, "lo")).alias("first")))
     many = scratch.settle(distinct.groupBy("anchor").agg(F.count("*").alias("k")))
     contexts = scratch.settle(distinct.join(many, "anchor"))
     scratch.drop(again, distinct, many)
     return spots, contexts
 
 
-def shards(docs: DataFrame, contexts: DataFrame, kind: Kind) -> DataFrame:
+def shards(known: DataFrame, key: list[str], contexts: DataFrame, kind: Kind) -> DataFrame:
     """One copy of every residual context in the shards of its windows: anchor, shard, of (shards of the anchor),
-    context, copies, low, body."""
-    wanted = contexts.where("k > 1").groupBy(F.col("low").alias("_low")).agg(
-        F.collect_list(F.struct("anchor", "context", "n", "copies", "at", "k")).alias("wanted")  # at most a document's blocks
+    context, copies, low (smallest doc_id), body."""
+    wanted = contexts.where("k > 1").groupBy(*[F.col(f"first.{k}").alias(k) for k in key]).agg(
+        F.collect_list(F.struct("anchor", "context", "n", "copies", F.col("first.lo").alias("at"), "k")).alias("wanted")  # at most a document's blocks
     )
-    known = docs.select(F.col("doc_id").cast("long").alias("_low"), "text")
 
     def cut(batches):
         for b in batches:
@@ -213,8 +222,6 @@ def shards(docs: DataFrame, contexts: DataFrame, kind: Kind) -> DataFrame:
                 raw = (text or "").encode()
                 bodies = kind.cut(raw, [w["at"] for w in wanted], [w["n"] for w in wanted])
                 for w, body in zip(wanted, bodies, strict=True):
-                    if body is None:  # another row with this doc_id
-                        continue
                     parts = -(-w["k"] // kind.hot)
                     places = [0] if parts == 1 else np.unique(window_hashes(kind.codes(body), kind.width) % np.uint64(parts)).tolist()
                     out += [(w["anchor"], int(s), parts, w["context"], w["copies"], low, body) for s in places]
@@ -222,7 +229,10 @@ def shards(docs: DataFrame, contexts: DataFrame, kind: Kind) -> DataFrame:
             types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["anchor", "shard", "of", "context", "copies", "low", "body"])
 
-    return known.join(wanted, "_low").select("_low", "text", "wanted").mapInArrow(cut, "anchor long, shard int, of int, context long, copies long, low long, body binary")
+    # Of rows that are equal in every respect one is enough.
+    some = known.join(wanted, key)
+    some = some.dropDuplicates(key) if len(key) > 1 else some
+    return some.select("doc_id", "text", "wanted").mapInArrow(cut, "anchor long, shard int, of int, context long, copies long, low long, body binary")
 
 
 def chunks(batches, budget: int):

@@ -203,10 +203,15 @@ def groups(docs: DataFrame, radius: int = RADIUS, bands: int = BANDS, block: int
 
 
 def keep_one(docs: DataFrame, **params) -> DataFrame:
-    """docs without near-duplicates: of each component the rows of its smallest doc_id stay (one row, if several rows
-    share that id); rows without a doc_id stay."""
-    ids = groups(docs, **params).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(ids, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    """docs without near-duplicates: of each component the row of its smallest doc_id stays (the one with the smallest
+    text hash, if several rows share that id); rows without a doc_id stay."""
+    found = groups(docs, **params)
+    ids = Scratch(docs.sparkSession).settle(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows")).withColumnRenamed("doc_id", "_kept"))
+    kept = docs.join(ids.select("_kept"), F.col("doc_id") == F.col("_kept"), "left_semi")
+    if ids.where("_rows > 1").head(1):
+        kept = kept.withColumn("_hash", F.xxhash64("text"))
+        first = kept.groupBy("doc_id").agg(F.min("_hash").alias("_first")).withColumnRenamed("doc_id", "_kept")
+        kept = kept.join(first, (F.col("doc_id") == F.col("_kept")) & (F.col("_hash") == F.col("_first"))).dropDuplicates(["doc_id"]).select(*docs.columns)
     return kept.unionByName(docs.where("doc_id IS NULL"))
 
 
