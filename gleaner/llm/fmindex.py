@@ -108,17 +108,15 @@ def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
 class FMIndex:
     """Contexts one after the other, each ended by the symbol 0."""
 
-    def __init__(self, bodies: list[np.ndarray], owners: np.ndarray):
-        lengths = np.array([len(b) for b in bodies])
-        flat = np.concatenate(bodies)
+    def __init__(self, flat: np.ndarray, lengths: np.ndarray, owners: np.ndarray):
         self.alphabet, s = np.unique(flat, return_inverse=True)
         starts = np.cumsum(lengths + 1) - lengths - 1
-        text = np.zeros(len(flat) + len(bodies), np.int64)
+        text = np.zeros(len(flat) + len(lengths), np.int64)
         at = np.repeat(starts, lengths) + np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         text[at] = s + 1
         self.text, self.starts, self.lengths = text, starts, lengths
-        # Suffixes equal over the window width need no further order: an interval of a WIDTH-word pattern is the same.
-        sa = suffix_array(text, 2 * WIDTH)
+        # Suffixes that agree over a whole window need no further order: the window's interval is the same.
+        sa = suffix_array(text, WIDTH)
         sigma = len(self.alphabet) + 1
         self.tree = WaveletTree(text[sa - 1], sigma)
         self.first = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=sigma))))
@@ -131,26 +129,18 @@ class FMIndex:
             self.low.append(np.minimum(self.low[-1][:-half], self.low[-1][half:]))
 
     def statistics(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For every end position of the text: the matching length, up to ``width``, of what lies before it inside its
-        context, and the suffix-array interval of the longest such match."""
-        n = len(self.text)
-        end = np.arange(1, n + 1)
-        lo, hi = np.zeros(n, np.int64), np.full(n, n, np.int64)
-        length = np.zeros(n, np.int64)
-        live = np.arange(n)
+        """Follows the matching statistics of the streamed contexts, all ends of whole windows in step, by backward search.
+        An end is given up when only one place is left, which is its own. Returns the ends whose match reaches the
+        width, and their suffix-array intervals."""
+        windows = np.maximum(self.lengths - width + 1, 0)
+        begin = np.repeat(self.starts, windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+        end, lo, hi = begin + width, np.zeros(len(begin), np.int64), np.full(len(begin), len(self.text), np.int64)
         for step in range(width):
-            at = end[live] - 1 - step
-            ok = at >= 0
-            live, at = live[ok], at[ok]
-            c = self.text[at]
-            live, c = live[c > 0], c[c > 0]
-            a = self.first[c] + self.tree.rank(c, lo[live])
-            b = self.first[c] + self.tree.rank(c, hi[live])
-            go = b > a
-            live, a, b = live[go], a[go], b[go]
-            lo[live], hi[live] = a, b
-            length[live] = step + 1
-        return length, lo, hi
+            c = self.text[end - 1 - step]
+            lo, hi = self.first[c] + self.tree.rank(c, lo), self.first[c] + self.tree.rank(c, hi)
+            shared = hi - lo > 1
+            end, lo, hi = end[shared], lo[shared], hi[shared]
+        return end, lo, hi
 
     def smallest(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Smallest owner in each interval."""
@@ -167,26 +157,25 @@ class FMIndex:
 def decide(rows: list[tuple], kind: repeats.Kind = KIND) -> list[tuple]:
     """For each context of whole shards the windows, as offsets, that a smaller document has, with that document:
     (anchor, context, n, offsets, lows)."""
-    # The anchor's shard in front of each context keeps shards apart: windows are compared within a shard only.
-    bodies = [kind.codes(r[6]) for r in rows]
+    flat = kind.codes(b"".join(r[6] for r in rows))
+    lengths = np.array([len(r[6]) // _CODE for r in rows])
     owners = np.array([r[5] for r in rows], np.int64)
-    index = FMIndex(bodies, owners)
-    length, lo, hi = index.statistics(WIDTH)
+    index = FMIndex(flat, lengths, owners)
+    end, lo, hi = index.statistics(WIDTH)
     out = []
-    full = np.flatnonzero(length == WIDTH)
-    low = index.smallest(lo[full], hi[full])
-    which = np.searchsorted(index.starts, full, side="right") - 1
+    low = index.smallest(lo, hi)
+    which = np.searchsorted(index.starts, end - 1, side="right") - 1
     better = low < owners[which]
-    full, low, which = full[better], low[better], which[better]
-    offset = full + 1 - WIDTH - index.starts[which]
+    end, low, which = end[better], low[better], which[better]
+    offset = end - WIDTH - index.starts[which]
     cut = np.searchsorted(which, np.arange(len(rows) + 1))
     for k in np.unique(which):
         r, mine = rows[k], slice(cut[k], cut[k + 1])
         o, lows = offset[mine], low[mine]
         if r[2] > 1:  # this shard decides on its own windows only
-            own = repeats.window_hashes(bodies[k], WIDTH)[o] % np.uint64(r[2]) == r[1]
+            own = repeats.window_hashes(kind.codes(r[6]), WIDTH)[o] % np.uint64(r[2]) == r[1]
             o, lows = o[own], lows[own]
-        out.append((r[0], r[3], len(bodies[k]) - WIDTH + 1, o.tolist(), lows.tolist()))
+        out.append((r[0], r[3], int(lengths[k]) - WIDTH + 1, o.tolist(), lows.tolist()))
     return out
 
 
