@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from gleaner.plans import conversations, tables
+
 
 def queries() -> dict:
-    return {}
+    return {**conversations.QUERIES, **tables.QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {**conversations.SQL, **tables.SQL}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every trace with its disposition."""
+    return conversations.flt_disposition(spark, sf_dir)
