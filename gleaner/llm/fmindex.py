@@ -31,6 +31,10 @@ def _units(data: np.ndarray, offsets: np.ndarray):
     return repeats.word_codes(data, first, end), bounds
 
 
+def _coded(codes: np.ndarray) -> np.ndarray:
+    return codes
+
+
 def _cut(raw: bytes, at: list[int], n: list[int]) -> list[bytes | None]:
     data = np.frombuffer(raw, np.uint8)
     codes, _ = _units(data, np.array([0, len(data)]))
@@ -43,7 +47,7 @@ def _codes(body: bytes) -> np.ndarray:
     return np.hstack([short, np.zeros((len(short), 8 - _CODE), np.uint8)]).view("<u8").ravel()
 
 
-KIND = repeats.Kind(WIDTH, GRAM, True, _units, _cut, _codes)
+KIND = repeats.Kind(WIDTH, GRAM, True, _units, _coded, _cut, _codes)
 
 
 class BitVector:

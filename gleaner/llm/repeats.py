@@ -143,6 +143,41 @@ def blocks(codes: np.ndarray, bounds: np.ndarray, width: int, gram: int) -> Bloc
     )
 
 
+#: Units whose blocks are found together: what bounds a worker's memory, however long a text is.
+SLICE = 1 << 20
+
+
+def sliced(units: np.ndarray, bounds: np.ndarray, kind: Kind, limit: int = SLICE):
+    """Blocks of all texts, a slice of at most ``limit`` units at a time. A longer text is cut into pieces that overlap by
+    a window less one unit; the cut may split a block in two, which changes no window's anchor."""
+    part: list[tuple[int, int, int]] = []  # text, first unit, last unit of pieces that stand one after the other
+    size = 0
+
+    def flush():
+        lo, hi = part[0][1], part[-1][2]
+        x = blocks(kind.coded(units[lo:hi]), np.array([lo, *[p[2] for p in part]]) - lo, kind.width, kind.gram)
+        text = np.array([p[0] for p in part])
+        offset = np.array([p[1] - bounds[p[0]] for p in part])
+        return Blocks(text[x.row], x.lo + offset[x.row], x.n, x.anchor, x.context)
+
+    for t in range(len(bounds) - 1):
+        lo, hi = int(bounds[t]), int(bounds[t + 1])
+        while True:
+            stop = min(hi, lo + limit)
+            if part and size + stop - lo > limit:
+                yield flush()
+                part, size = [], 0
+            part.append((t, lo, stop))
+            size += stop - lo
+            if stop == hi:
+                break
+            yield flush()
+            part, size = [], 0
+            lo = stop - kind.width + 1
+    if part:
+        yield flush()
+
+
 def window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
     """A hash of every window of one sequence."""
     n = len(codes)
@@ -158,7 +193,8 @@ class Kind:
     width: int
     gram: int
     cross: bool  # only repeats in other documents count
-    units: Callable  # (data, offsets) -> (codes, bounds)
+    units: Callable  # (data, offsets) -> (units, bounds)
+    coded: Callable  # units -> their 64-bit codes
     cut: Callable  # (text bytes, lists of lo and n) -> contexts as bytes
     codes: Callable  # context bytes -> unit codes
     hot: int = 20_000
@@ -185,13 +221,12 @@ def find(scratch: Scratch, known: DataFrame, key: list[str], kind: Kind) -> tupl
 
     def scan(batches):
         for b in batches:
-            codes, bounds = kind.units(*text_buffer(b.column(len(key))))
-            x = blocks(codes, bounds, kind.width, kind.gram)
-            take = pa.array(x.row)
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(k).take(take) for k in range(len(key))), pa.array(x.lo, pa.int32()), pa.array(x.n, pa.int32()), pa.array(x.anchor, pa.int64()), pa.array(x.context, pa.int64())],
-                names=[*key, "lo", "n", "anchor", "context"],
-            )
+            for x in sliced(*kind.units(*text_buffer(b.column(len(key)))), kind):
+                take = pa.array(x.row, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [*(b.column(k).take(take) for k in range(len(key))), pa.array(x.lo, pa.int32()), pa.array(x.n, pa.int32()), pa.array(x.anchor, pa.int64()), pa.array(x.context, pa.int64())],
+                    names=[*key, "lo", "n", "anchor", "context"],
+                )
 
     found = known.mapInArrow(scan, "".join(f"{k} long, " for k in key) + "lo int, n int, anchor long, context long")
     seen = found.groupBy("anchor")

@@ -33,7 +33,11 @@ WIDTH, GRAM, CHUNK, MEMORY = 400, 64, 4 << 20, 512 << 20
 
 
 def _units(data: np.ndarray, offsets: np.ndarray):
-    return repeats.TABLE[data], offsets
+    return data, offsets
+
+
+def _coded(data: np.ndarray) -> np.ndarray:
+    return repeats.TABLE[data]
 
 
 def _cut(raw: bytes, at: list[int], n: list[int]) -> list[bytes]:
@@ -44,7 +48,7 @@ def _codes(body: bytes) -> np.ndarray:
     return repeats.TABLE[np.frombuffer(body, np.uint8)]
 
 
-KIND = repeats.Kind(WIDTH, GRAM, False, _units, _cut, _codes)
+KIND = repeats.Kind(WIDTH, GRAM, False, _units, _coded, _cut, _codes)
 
 
 class Store:

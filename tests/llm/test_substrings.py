@@ -74,8 +74,7 @@ def order(rows):
 
 @pytest.mark.parametrize("hot", [20_000, 2])
 def test_bytes_against_brute_force(spark, hot):
-    kind = repeats.Kind(40, 8, False, suffix._units, suffix.KIND.cut, suffix._codes, hot)
-    kind = repeats.Kind(40, 8, False, suffix._units, lambda raw, at, n: [raw[a : a + k - 1 + 40] for a, k in zip(at, n)], suffix._codes, hot)
+    kind = repeats.Kind(40, 8, False, suffix._units, suffix._coded, lambda raw, at, n: [raw[a : a + k - 1 + 40] for a, k in zip(at, n)], suffix._codes, hot)
     rows = corpus()
     assert order(got_bytes(spark, rows, kind, 1000 if hot == 2 else suffix.MEMORY)) == order(brute_bytes(rows, 40))
     # null and repeated ids
@@ -90,7 +89,7 @@ def test_bytes_at_full_width(spark):
 
 @pytest.mark.parametrize("hot", [20_000, 2])
 def test_words_against_brute_force(spark, hot):
-    kind = repeats.Kind(13, 4, True, fmindex._units, fmindex._cut, fmindex._codes, hot)
+    kind = repeats.Kind(13, 4, True, fmindex._units, fmindex._coded, fmindex._cut, fmindex._codes, hot)
     for rows in (corpus(2), [(d if d % 5 else None, t) for d, t in corpus(3)] + [(1, corpus(3)[8][1]), (1, "w1 " * 70)]):
         out = fmindex.dedup(frame(spark, rows), kind=kind).collect()
         assert order((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in out) == order(brute_words(rows, 13))
@@ -125,3 +124,20 @@ def test_blocks_hold_every_window_once_and_equal_windows_share_anchors():
             windows[codes[bounds[r] + j : bounds[r] + j + 13].tobytes()].add(a)
     assert seen == {(r, j) for r in range(6) for j in range(bounds[r + 1] - bounds[r] - 12)}
     assert all(len(a) == 1 for a in windows.values())
+
+
+def test_slices_cover_every_window_once_with_its_own_anchor():
+    draw = np.random.default_rng(5)
+    data = draw.integers(97, 100, 900).astype(np.uint8)
+    bounds = np.array([0, 5, 300, 300, 900])
+    kind = repeats.Kind(40, 8, False, suffix._units, suffix._coded, None, None)
+    whole = repeats.blocks(suffix._coded(data), bounds, 40, 8)
+    anchors = {(r, j): a for r, lo, n, a in zip(whole.row, whole.lo, whole.n, whole.anchor) for j in range(lo, lo + n)}
+    for limit in (50, 64, 301, 10_000):
+        got = {}
+        for x in repeats.sliced(data, bounds, kind, limit):
+            for r, lo, n, a in zip(x.row, x.lo, x.n, x.anchor):
+                for j in range(lo, lo + n):
+                    assert (r, j) not in got
+                    got[r, j] = a
+        assert got == anchors
