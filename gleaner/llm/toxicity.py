@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import documents, tune
 
-SAMPLE, LANDMARKS, ROUNDS, DECAY, BUCKETS, THRESHOLD = 2000, 256, 4, 0.6, 1 << 18, 0.7
+SAMPLE, LANDMARKS, ROUNDS, DECAY, BUCKETS, THRESHOLD = 2000, 768, 3, 0.6, 1 << 18, 0.7
 #: One clear insult should tell by itself: the logistic curve's weights of the three margins are drawn to these.
 PRIOR, PULL = (4.0, 2.0, 1.0), 5.0
 #: Positions of a subsequence's second and third character after its first, for spans of three to five.
@@ -134,22 +134,29 @@ def kernel(rows: list, landmarks: list) -> np.ndarray:
     return out
 
 
-def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int = 100, seed: int = 5) -> np.ndarray:
-    """Linear SVM (hinge loss, bias as last feature) by dual coordinate descent (Hsieh et al., 2008)."""
+def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> np.ndarray:
+    """Linear SVM with squared hinge loss and a bias (last weight), by Newton steps in the primal (Chapelle, 2007)."""
     x = np.hstack([x, np.ones((len(x), 1))])
-    alpha, w, q = np.zeros(len(x)), np.zeros(x.shape[1]), (x * x).sum(axis=1)
-    draw = np.random.default_rng(seed)
-    for _ in range(epochs):
-        moved = 0.0
-        for i in draw.permutation(len(x)):
-            g = y[i] * (w @ x[i]) - 1
-            new = min(max(alpha[i] - g / q[i], 0.0), cost[i])
-            if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
-                moved = max(moved, abs(new - alpha[i]))
-                alpha[i] = new
-        if moved < 1e-3:
+    ridge = np.eye(x.shape[1])
+    ridge[-1, -1] = 1e-3
+
+    def loss(w: np.ndarray) -> float:
+        return float(w @ ridge @ w + (cost * np.maximum(0, 1 - y * (x @ w)) ** 2).sum())
+
+    w = np.zeros(x.shape[1])
+    now = loss(w)
+    for _ in range(rounds):
+        on = y * (x @ w) < 1
+        a = x[on] * cost[on][:, None]
+        goal = np.linalg.solve(a.T @ x[on] + ridge, a.T @ y[on])
+        step, new = 1.0, loss(goal)
+        while new > now and step > 1e-4:
+            step /= 2
+            new = loss(w + step * (goal - w))
+        w = w + step * (goal - w)
+        if now - new < 1e-6 * max(1.0, now):
             break
+        now = new
     return w
 
 
@@ -196,6 +203,22 @@ def _platt(m: np.ndarray, y: np.ndarray) -> np.ndarray:
     return a
 
 
+def _bands(ids: np.ndarray, bands: int = 5, rows: int = 3) -> set:
+    """Min-hash bands of a document's pairs of neighbouring words: near copies share one."""
+    pairs = ids.astype(np.uint64) if len(ids) < 2 else ids[:-1].astype(np.uint64) * np.uint64(0x9E3779B1) + ids[1:].astype(np.uint64)
+    if not len(pairs):
+        return {()}
+    out = set()
+    for b in range(bands):
+        key = [b]
+        for r in range(rows):
+            h = (pairs + np.uint64(1 + b * rows + r)) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+            key.append(int((h ^ (h >> np.uint64(29))).min()))
+        out.add(tuple(key))
+    return out
+
+
 def fit(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, rounds: int = ROUNDS) -> Model | None:
     """The model of a bounded sample of documents held in memory."""
     y = toxic.astype(int)
@@ -204,11 +227,21 @@ def fit(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, rounds:
     # Documents as sets of distinct words: a word is a string without spaces here.
     vocabulary: dict[str, int] = {}
     sets: list[np.ndarray] = []
-    for t in texts:
+    bands: set = set()
+    alone = np.ones(len(texts), bool)
+    for k, t in enumerate(texts):
         x, first, length, _ = stream([t])
         chars = x.astype(np.uint32)
-        words = {chars[a : a + n].tobytes().decode("utf-32-le", "surrogatepass") for a, n in zip(first, length, strict=True)}
-        sets.append(np.array(sorted({vocabulary.setdefault(w, len(vocabulary)) for w in words}), np.int64))
+        words = [chars[a : a + n].tobytes().decode("utf-32-le", "surrogatepass") for a, n in zip(first, length, strict=True)]
+        ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], np.int64)
+        # A copied document is one witness, however often it was copied: only the first of near copies counts.
+        mine = _bands(ids)
+        alone[k] = not (mine & bands)
+        bands |= mine
+        sets.append(np.unique(ids))
+    texts, y, sets = [t for t, a in zip(texts, alone, strict=True) if a], y[alone], [s for s, a in zip(sets, alone, strict=True) if a]
+    if y.min(initial=1) == y.max(initial=0):
+        return None
     names = np.array(list(vocabulary), object)
     df = np.zeros((2, len(names)))
     for s, k in zip(sets, y, strict=True):
@@ -216,16 +249,19 @@ def fit(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, rounds:
     share = df / np.array([[max(1, (y == 0).sum())], [max(1, (y == 1).sum())]])
     pooled = (df.sum(axis=0) + 1) / (len(y) + 2)
     z = (share[1] - share[0]) / np.sqrt(pooled * (1 - pooled) * (1 / max(1, (y == 1).sum()) + 1 / max(1, (y == 0).sum())))
-    order = np.lexsort((names.astype(str), -z))
+    place = np.empty(len(names), np.int64)
+    place[np.argsort(names, kind="stable")] = np.arange(len(names))  # ties by the word itself
+    order = np.lexsort((place, -z))
     half = landmarks // 2
     # The other half: words of clean documents most like the first (hard negatives come in with the rounds), and common ones.
-    common = np.lexsort((names.astype(str), -df[0]))
+    common = np.lexsort((place, -df[0]))
     picked = list(dict.fromkeys([*order[:half].tolist(), *common[:half].tolist()]))[:landmarks]
     marks = features(names[picked].tolist())
     values, vectors = np.linalg.eigh(kernel(marks, marks))
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])  # K(Z, Z)^(-1/2) up to rotation
-    eligible = share[0] <= 0.1 * share[1]
+    # Only words whose tie to the label is beyond chance can be witnesses; most words of any text occur once.
+    eligible = (share[0] <= 0.1 * share[1]) & (z >= min(3.0, z.max()))
     current = np.where(eligible, z, -np.inf)
     clean_words = np.flatnonzero(df[0] > 0)
     spread = clean_words[:: max(1, len(clean_words) // 4000)]
@@ -247,6 +283,7 @@ def fit(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, rounds:
         phi = kernel(features(names[both].tolist()), marks) @ root
         target = np.concatenate([np.ones(len(pos)), -np.ones(len(neg))])
         cost = np.concatenate([np.minimum(50.0, 2 * witness[pos]), np.clip(df[0][neg] * balance, 0.5, 10.0)])
+        cost[: len(pos)] *= min(1.0, cost[len(pos) :].sum() / cost[: len(pos)].sum())  # neither side outweighs the other
         w = svm(phi, target, cost)
         beta, bias = root @ w[:-1], float(w[-1])
         table = np.zeros(BUCKETS)
