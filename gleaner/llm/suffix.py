@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from gleaner.llm import repeats
 from gleaner.llm.common import Scratch, documents, tune
 
-WIDTH, GRAM, CHUNK, MEMORY = 400, 64, 4 << 20, 512 << 20
+WIDTH, GRAM, CHUNK, MEMORY = 400, 64, 3 << 19, 256 << 20
 
 
 def _units(data: np.ndarray, offsets: np.ndarray):
