@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.plans import conversations, tables
+from gleaner.plans import conversations, scoring, tables
 
 
 def queries() -> dict:
-    return {**conversations.QUERIES, **tables.QUERIES}
+    return {**conversations.QUERIES, **tables.QUERIES, **scoring.QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {**conversations.SQL, **tables.SQL}
+    return {**conversations.SQL, **tables.SQL, **scoring.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
