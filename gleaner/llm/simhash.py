@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import Scratch, components, documents, tune
+from gleaner.llm.common import Scratch, components, documents, partitions, tune
 
 SHINGLE, RADIUS, BANDS, BLOCK, SEED = 3, 2, 3, 8192, 42
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -153,7 +153,7 @@ def link_forest(scratch: Scratch, nodes: DataFrame, radius: int = RADIUS, bands:
     rows = rows.withColumn("g", g).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("g")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     rows = rows.select("t", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("z"), "fp")
-    dealt = rows.repartition("t", "key", "a", "z").sortWithinPartitions("t", "key", "a", "z", "fp")
+    dealt = rows.repartition(partitions(rows.sparkSession), "t", "key", "a", "z").sortWithinPartitions("t", "key", "a", "z", "fp")
 
     def compare(batches):
         held: list = []
