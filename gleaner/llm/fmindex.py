@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import repeats
-from gleaner.llm.common import Scratch, documents, tune
+from gleaner.llm.common import Scratch, documents, partitions, tune
 
 WIDTH, GRAM, CHUNK = 13, 4, 4 << 20
 _CODE = 6  # bytes kept of a word's 64-bit code in a shard
@@ -194,7 +194,7 @@ def removals(scratch: Scratch, known: DataFrame, key: list[str], kind: repeats.K
             types = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["anchor", "context", "n", "offsets", "lows"])
 
-    dealt = repeats.shards(known, key, contexts, kind).repartition("anchor", "shard").sortWithinPartitions("anchor", "shard", "context", "low")
+    dealt = repeats.shards(known, key, contexts, kind).repartition(partitions(known.sparkSession), "anchor", "shard").sortWithinPartitions("anchor", "shard", "context", "low")
     found = dealt.mapInArrow(solve, "anchor long, context long, n int, offsets array<int>, lows array<long>")
     lower = found.groupBy("anchor", "context", "n").agg(F.flatten(F.collect_list(F.arrays_zip("offsets", "lows"))).alias("lower"))
     lower = scratch.settle(lower)

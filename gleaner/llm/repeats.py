@@ -197,7 +197,7 @@ class Kind:
     coded: Callable  # units -> their 64-bit codes
     cut: Callable  # (text bytes, lists of lo and n) -> contexts as bytes
     codes: Callable  # context bytes -> unit codes
-    hot: int = 20_000
+    hot: int = 2_000
 
 
 #: Stands for a null doc_id where such rows take part.

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import repeats
-from gleaner.llm.common import Scratch, documents, tune
+from gleaner.llm.common import Scratch, documents, partitions, tune
 
 WIDTH, GRAM, CHUNK, MEMORY = 400, 64, 3 << 19, 256 << 20
 
@@ -262,7 +262,7 @@ def removals(scratch: Scratch, known: DataFrame, key: list[str], kind: repeats.K
             types = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["anchor", "context", "n", "bits"])
 
-    dealt = repeats.shards(known, key, contexts, kind).repartition("anchor", "shard").sortWithinPartitions("anchor", "shard", "context")
+    dealt = repeats.shards(known, key, contexts, kind).repartition(partitions(known.sparkSession), "anchor", "shard").sortWithinPartitions("anchor", "shard", "context")
     found = dealt.mapInArrow(solve, "anchor long, context long, n int, bits binary")
     keys = ["anchor", "context", "n"]
     some = scratch.settle(found.groupBy(*keys).agg(F.collect_list("bits").alias("bits")))  # a shard's part each
