@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import documents, tune
 
 SAMPLE, LANDMARKS, ROUNDS, DECAY, BUCKETS, THRESHOLD = 2000, 768, 3, 0.6, 1 << 18, 0.7
+#: Characters in work at a time.
+SLICE = 1 << 19
 #: One clear insult should tell by itself: the logistic curve's weights of the three margins are drawn to these.
 PRIOR, PULL = (4.0, 2.0, 1.0), 5.0
 #: Positions of a subsequence's second and third character after its first, for spans of three to five.
@@ -161,7 +163,7 @@ def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> np.
 
 
 def tops(m: np.ndarray, doc: np.ndarray, n: int, bias: float) -> np.ndarray:
-    """How sure each document's three most telling words are: their margins through a steep logistic step."""
+    """The margins of each document's three most telling words, clipped at that of a sure word; bias where there are fewer."""
     m = np.clip(m, bias, 1.2)
     order = np.lexsort((-m, doc))
     m, doc = m[order], doc[order]
@@ -169,7 +171,28 @@ def tops(m: np.ndarray, doc: np.ndarray, n: int, bias: float) -> np.ndarray:
     best = np.full((n, 3), bias)
     top = rank < 3
     best[doc[top], rank[top]] = m[top]
-    return 1 / (1 + np.exp(-8 * (np.maximum(best, -1.0) - 0.6)))
+    return best
+
+
+def slices(texts: list[str | None], limit: int = SLICE):
+    """(numbers, parts) of texts of about ``limit`` characters together; a longer text is cut at white space."""
+    numbers, parts, size = [], [], 0
+    for k, t in enumerate(texts):
+        t, at = t or "", 0
+        while at < len(t) or not at:
+            stop = min(len(t), at + limit)
+            if stop < len(t):
+                space = max(t.rfind(" ", at, stop), t.rfind("\n", at, stop))
+                stop = space if space > at else stop
+            if parts and size + stop - at > limit:
+                yield numbers, parts
+                numbers, parts, size = [], [], 0
+            numbers.append(k)
+            parts.append(t[at:stop])
+            size += stop - at
+            at = max(stop, 1)
+    if parts:
+        yield numbers, parts
 
 
 class Model:
@@ -179,8 +202,14 @@ class Model:
         self.table, self.bias, self.curve = table.astype(np.float32), float(bias), np.asarray(curve, float)
 
     def document_margins(self, texts: list[str | None]) -> np.ndarray:
-        x, first, length, doc = stream([t or "" for t in texts])
-        return tops(margins(x, first, length, self.table) + self.bias, doc, len(texts), self.bias)
+        """How sure each text's three most telling words are: their margins through a steep logistic step."""
+        best = np.full((len(texts), 3), self.bias)
+        for numbers, parts in slices(texts):
+            x, first, length, doc = stream(parts)
+            found = tops(margins(x, first, length, self.table) + self.bias, doc, len(parts), self.bias)
+            for k, own in zip(numbers, found, strict=True):
+                best[k] = np.sort(np.concatenate([best[k], own]))[:2:-1]
+        return 1 / (1 + np.exp(-8 * (np.maximum(best, -1.0) - 0.6)))
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.document_margins(texts) @ self.curve[:-1] + self.curve[-1], -30, 30)))

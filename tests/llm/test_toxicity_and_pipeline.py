@@ -118,3 +118,15 @@ def test_run_and_registration(spark, tables):
     assert {int(n[2:].split("_")[0]) for n in found if n.startswith("op")} == set(range(1, 11))
     assert corpus_pipeline.run(spark, tables[0]).count() > 0
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_slices_hold_every_word_once():
+    texts = ["aa bb cc " * 50, None, "", "x" * 100, "one two"]
+    for limit in (7, 10, 64, 10_000):
+        got = [[] for _ in texts]
+        for numbers, parts in toxicity.slices(texts, limit):
+            assert sum(map(len, parts)) <= limit
+            for k, p in zip(numbers, parts):
+                got[k].append(p)
+        assert ["".join(p) for p in got] == [t or "" for t in texts]
+        assert [" ".join(p).split() for k, p in enumerate(got) if k != 3] == [(t or "").split() for k, t in enumerate(texts) if k != 3]
