@@ -6,11 +6,11 @@ suffix array of their shard.
 
 Sorting: suffixes are typed S or L, the leftmost S ones (LMS) are sorted by recursion on the string of their names, and
 all others are induced from them. The queues of the induction are monotone priority queues: one first-in-first-out
-bucket per symbol, in symbol order, which carry suffix positions in step through whole batches of buckets (a batch ends
-before the first bucket that still waits for an entry of the batch itself). They and the text lie in memory-mapped
-scratch files as soon as a shard exceeds ``memory`` bytes, so a shard may be far larger than memory. Scratch files belong to one
-task, like Spark's own spills, and go with it. Common prefixes of neighbours are measured after the induction rather
-than carried through it, because only "at least WIDTH" matters here.
+bucket per symbol, in symbol order, which carry tuples of a suffix and its common prefix with the one before, in step
+through whole batches of buckets (a batch ends before the first bucket that still waits for an entry of the batch itself).
+Recursion hands up the order and the common prefixes of the LMS suffixes, and induction extends both to all suffixes. The
+queues and the text lie in memory-mapped scratch files as soon as a shard exceeds ``memory`` bytes, so a shard may be far
+larger than memory. Scratch files belong to one task, like Spark's own spills, and go with it.
 
 Defined results: a null text is empty; null doc_ids take part; rows that share doc_id, or are equal, are different
 places, so equal rows of WIDTH bytes remove each other; overlaps count; an empty table gives an empty result.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from gleaner.llm import repeats
 from gleaner.llm.common import Scratch, documents, partitions, tune
 
-WIDTH, GRAM, CHUNK, MEMORY = 400, 64, 3 << 19, 256 << 20
+WIDTH, GRAM, CHUNK, MEMORY, SHORT = 400, 64, 3 << 20, 256 << 20, 16_384
 
 
 def _units(data: np.ndarray, offsets: np.ndarray):
@@ -69,122 +69,245 @@ class Store:
         return out
 
 
-def _types(t: np.ndarray) -> np.ndarray:
-    """True where a suffix is smaller than the next (type S); the last symbol is the smallest and only one."""
+def _types(t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """True where a suffix is smaller than the next (type S; the last symbol is the smallest and only one), how often its
+    first symbol stands there in a row, and how often in a row before it."""
     n = len(t)
-    step = np.sign(np.diff(t.astype(np.int64)))
-    at = np.where(step != 0, np.arange(n - 1), n - 1)
+    step = np.sign(np.diff(t.astype(np.int32))).astype(np.int8)
+    at = np.where(step != 0, np.arange(n - 1, dtype=np.int32), np.int32(n - 1))
     nxt = np.minimum.accumulate(at[::-1])[::-1]
-    out = np.ones(n, bool)
-    out[:-1] = np.where(nxt < n - 1, step[np.minimum(nxt, n - 2)] > 0, False)
-    return out
+    kind = np.ones(n, bool)
+    kind[:-1] = np.where(nxt < n - 1, step[np.minimum(nxt, n - 2)] > 0, False)
+    run = np.ones(n, np.int32)
+    run[:-1] = np.minimum(nxt, n - 1) - np.arange(n - 1) + 1
+    begin = np.zeros(n, np.int32)
+    begin[1:] = np.where(step != 0, np.arange(1, n, dtype=np.int32), 0)
+    return kind, run, np.arange(n, dtype=np.int32) - np.maximum.accumulate(begin)
+
+
+class _Minima:
+    """Range minima of one array by a sparse table."""
+
+    def __init__(self, x: np.ndarray):
+        self.levels = [x]
+        while len(self.levels[-1]) > 1 << (len(self.levels) - 1):
+            last, half = self.levels[-1], 1 << (len(self.levels) - 1)
+            if len(last) <= half:
+                break
+            self.levels.append(np.minimum(last[:-half], last[half:]))
+
+    def between(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Minimum of each stretch lo to hi - 1 (not empty)."""
+        level = np.frexp((hi - lo).astype(np.float64))[1] - 1
+        out = np.empty(len(lo), np.int32)
+        for k in range(int(level.max()) + 1 if len(level) else 0):
+            m = np.flatnonzero(level == k)
+            if len(m):
+                table = self.levels[k]
+                out[m] = np.minimum(table[lo[m]], table[hi[m] - (1 << k)])
+        return out
 
 
 class _Queue:
-    """The buckets of one type: a first-in-first-out list per symbol, one after the other in one array."""
+    """The buckets of one type: a first-in-first-out list of (suffix, common prefix with the one before) per symbol, one
+    list after the other in two arrays."""
 
-    def __init__(self, counts: np.ndarray, store: Store):
+    def __init__(self, counts: np.ndarray, store: Store, measured: bool):
         self.start = np.concatenate(([0], np.cumsum(counts)))
         self.free = self.start[:-1].copy()
-        self.items = store.array(int(self.start[-1]), np.int64, -1)
+        self.items = store.array(int(self.start[-1]), np.int32, -1)
+        self.common = store.array(int(self.start[-1]), np.int32, 0) if measured else None
 
-    def push(self, positions: np.ndarray, symbols: np.ndarray) -> None:
+    def push(self, positions: np.ndarray, symbols: np.ndarray, place: np.ndarray, between) -> None:
+        """Appends suffixes in order. place: where each one's successor stands in the batch; between: the batch's minima.
+        What a bucket got in an earlier batch begins with another second symbol."""
         order = np.argsort(symbols, kind="stable")
         p, c = positions[order], symbols[order].astype(np.int64)
         head = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
         count = np.diff(np.append(head, len(c)))
-        self.items[self.free[c] + np.arange(len(c)) - np.repeat(head, count)] = p
+        slot = self.free[c] + np.arange(len(c)) - np.repeat(head, count)
+        self.items[slot] = p
+        if self.common is not None:
+            at, common = place[order], np.ones(len(c), np.int32)
+            later = np.ones(len(c), bool)
+            later[head] = False
+            k = np.flatnonzero(later)
+            common[k] += between(at[k - 1] + 1, at[k] + 1)
+            self.common[slot] = common
         self.free[c[head]] += count
 
+    def complete(self, a: int, back: np.ndarray) -> None:
+        """Appends to bucket a the suffixes whose successor is in it as well: once more the symbol before all entries that
+        have it there, then twice, and so on. back: how often a suffix's symbol stands before it in a row."""
+        lo, hi, stop = self.start[a], self.free[a], self.start[a + 1]
+        first = np.array(self.items[lo:hi])
+        depth = back[first]
+        k = np.repeat(np.arange(len(first)), depth)
+        turn = np.arange(len(k)) - np.repeat(np.cumsum(depth) - depth, depth) + 1
+        order = np.lexsort((k, turn))
+        k, turn = k[order], turn[order]
+        self.items[hi:stop] = first[k] - turn
+        if self.common is not None:
+            own = np.array(self.common[lo:hi])
+            common = turn.astype(np.int32)  # a turn's first entry and the turn before differ after so many symbols
+            same = np.flatnonzero(turn[1:] == turn[:-1]) + 1
+            if len(same):
+                common[same] += _Minima(own).between(k[same - 1] + 1, k[same] + 1)
+            self.common[hi:stop] = common
+        self.free[a] = stop
+
+
+def _induce(t, s_type, run, back, seeds, seed_common, seeds_start, sigma, queue, descending: bool) -> None:
+    """Empties the buckets in symbol order into ``queue``. Seeds of bucket c, seeds[seeds_start[c]:seeds_start[c + 1]], follow
+    the queue's own entries of c. Ascending for type L; for type S symbols and orders are mirrored by the caller.
+
+    The common prefix of two emitted suffixes of a bucket is one more than the smallest among what was processed from the
+    one's successor to the other's; between two buckets it is nothing.
+    """
+    measured = queue.common is not None
+
+    def seed_values(a: int, b: int) -> np.ndarray:
+        """Common prefixes of the seeds of buckets a to b - 1 with what is processed before them."""
+        lo, hi = seeds_start[a], seeds_start[b]
+        out = np.array(seed_common[lo:hi])
+        some = np.flatnonzero(seed_counts[a:b])
+        first, own = seeds_start[a:b][some] - lo, queue.free[a:b][some]
+        # The last of type L and the first of type S in a bucket agree as far as the shorter of their runs of its symbol.
+        out[first] = 0
+        k = np.flatnonzero(own > queue.start[a:b][some])
+        out[first[k]] = np.minimum(run[queue.items[own[k] - 1]], run[seeds[lo + first[k]]])
+        return out
 
-def _induce(t, s_type, seeds_l, seeds_start, sigma, queue, descending: bool) -> None:
-    """Empties the buckets in symbol order into ``queue``. Seeds of bucket c, seeds_l[seeds_start[c]:seeds_start[c + 1]],
-    follow the queue's own entries of c. Ascending for type L; for type S symbols and orders are mirrored by the caller."""
-
-    def emit(p: np.ndarray) -> None:
-        q = p[p > 0] - 1
-        q = q[s_type[q] == descending]
-        if len(q):
-            c = t[q]
-            queue.push(q, (sigma - 1 - c) if descending else c)
-
-    a, step = 0, 1
+    own_counts, seed_counts = np.diff(queue.start), np.diff(seeds_start)
+    a, step = 0, 64
     while a < sigma:
         b = min(a + step, sigma)
-        lo, hi = queue.start[a], queue.start[b]
         waiting = np.flatnonzero(queue.free[a:b] < queue.start[a + 1 : b + 1])
         if len(waiting) and waiting[0] == 0:
-            # Bucket a feeds itself: take what has arrived until nothing new comes.
-            done = lo
-            while done < queue.free[a]:
-                upto = queue.free[a]
-                emit(np.array(queue.items[done:upto]))
-                done = upto
-            emit(seeds_l[seeds_start[a] : seeds_start[a + 1]])
-            a, step = a + 1, max(1, step // 2)
+            queue.complete(a, back)  # all that is still to come feeds on the bucket itself
             continue
+        step *= 2
         if len(waiting):
             b = a + int(waiting[0])
-            hi = queue.start[b]
-            step = max(1, b - a)
-        own = np.array(queue.items[lo:hi])
-        seed = seeds_l[seeds_start[a] : seeds_start[b]]
-        if b - a == 1 or not len(seed) or not len(own):
-            both = np.concatenate([own, seed])
-        else:
-            key = np.concatenate([2 * np.repeat(np.arange(a, b), np.diff(queue.start[a : b + 1])), 2 * np.repeat(np.arange(a, b), np.diff(seeds_start[a : b + 1])) + 1])
-            both = np.concatenate([own, seed])[np.argsort(key, kind="stable")]
-        emit(both)  # all of these buckets are full, so nothing of it lands in them
-        a, step = b, step * 2
-
-
-def _seeds(positions: np.ndarray, symbols: np.ndarray, sigma: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions grouped by symbol, in the given order inside each group; and where the groups begin."""
-    order = np.argsort(symbols, kind="stable")
-    return positions[order], np.concatenate(([0], np.cumsum(np.bincount(symbols, minlength=sigma))))
-
-
-def _sorted_by_induction(t, s_type, lms, sigma, store) -> np.ndarray:
-    """The order of all suffixes that follows from the given order of the LMS suffixes."""
-    counts_l = np.bincount(t[~s_type], minlength=sigma)
-    counts_s = np.bincount(t[s_type], minlength=sigma)
-    left = _Queue(counts_l, store)
-    _induce(t, s_type, *_seeds(lms, t[lms], sigma), sigma, left, False)
+            step = max(64, b - a)
+        lo, hi = queue.start[a], queue.start[b]
+        both = np.concatenate([queue.items[lo:hi], seeds[seeds_start[a] : seeds_start[b]]])
+        common = None
+        if measured:
+            mine = np.array(queue.common[lo:hi])
+            mine[(queue.start[a:b] - lo)[own_counts[a:b] > 0]] = 0
+            common = np.concatenate([mine, seed_values(a, b)])
+        if b - a > 1 and lo < hi < lo + len(both):
+            key = np.concatenate([2 * np.repeat(np.arange(a, b), own_counts[a:b]), 2 * np.repeat(np.arange(a, b), seed_counts[a:b]) + 1])
+            order = np.argsort(key, kind="stable")
+            both = both[order]
+            common = common[order] if measured else None
+        q = both - 1
+        k = np.flatnonzero((both > 0) & (s_type[q] == descending) & (t[q] != t[both]))
+        if len(k):
+            c = t[q[k]]
+            queue.push(q[k], (sigma - 1 - c) if descending else c, k, _Minima(common).between if measured else None)
+        a = b
+
+
+def _sorted_by_induction(t, s_type, run, back, lms, lms_common, sigma, store) -> tuple[np.ndarray, np.ndarray | None]:
+    """The order of all suffixes that follows from the given order of the LMS suffixes, and each one's common prefix with
+    the one before (if those of the LMS suffixes are given)."""
+    measured = lms_common is not None
+    counts_l, counts_s = np.bincount(t[~s_type], minlength=sigma), np.bincount(t[s_type], minlength=sigma)
+    left = _Queue(counts_l, store, measured)
+    symbol = t[lms]
+    order = np.argsort(symbol, kind="stable")
+    start = np.concatenate(([0], np.cumsum(np.bincount(symbol, minlength=sigma))))
+    _induce(t, s_type, run, back, lms[order], lms_common[order] if measured else None, start, sigma, left, False)
     # Type S from the back: symbols mirrored, L entries of a bucket as seeds in reverse order.
-    right = _Queue(counts_s[::-1], store)
+    right = _Queue(counts_s[::-1], store, measured)
+    right.items[-1], right.free[-1] = len(t) - 1, right.start[-1]  # the last symbol follows from nothing
     mirrored = np.concatenate(([0], np.cumsum(counts_l[::-1])))
-    _induce(t, s_type, left.items[::-1], mirrored, sigma, right, True)
-    right.items[-1] = len(t) - 1  # the last symbol follows from nothing
-    out = store.array(len(t), np.int64, -1)
+    back_common = np.concatenate(([0], left.common[::-1][:-1])).astype(np.int32) if measured and len(left.items) else np.zeros(0, np.int32)
+    _induce(t, s_type, run, back, left.items[::-1], back_common if measured else None, mirrored, sigma, right, True)
+    out = store.array(len(t), np.int32, -1)
     begin = np.concatenate(([0], np.cumsum(counts_l + counts_s)))[:-1]
-    n_l = len(left.items)
-    if n_l:
-        c = np.repeat(np.arange(sigma), counts_l)
-        out[begin[c] + np.arange(n_l) - left.start[c]] = left.items
-    back = right.items[::-1]
-    c = np.repeat(np.arange(sigma), counts_s)
-    s_start = np.concatenate(([0], np.cumsum(counts_s)))[:-1]
-    out[begin[c] + counts_l[c] + np.arange(len(back)) - s_start[c]] = back
+    c_l = np.repeat(np.arange(sigma), counts_l)
+    c_s = np.repeat(np.arange(sigma), counts_s)
+    at_l = begin[c_l] + np.arange(len(left.items)) - left.start[c_l]
+    s_start = np.concatenate(([0], np.cumsum(counts_s)))
+    at_s = begin[c_s] + counts_l[c_s] + np.arange(len(right.items)) - s_start[c_s]
+    out[at_l], out[at_s] = left.items, right.items[::-1]
+    if not measured:
+        return out, None
+    common = store.array(len(t), np.int32, 0)
+    common[at_l] = left.common
+    common[at_s] = np.concatenate(([0], right.common[::-1][:-1]))
+    some = np.flatnonzero(counts_s)
+    edge = begin[some] + counts_l[some]  # first of type S in a bucket
+    both = counts_l[some] > 0
+    common[edge] = np.where(both, np.minimum(run[out[np.maximum(edge - 1, 0)]], run[out[edge]]), 0)
+    common[begin[np.flatnonzero(counts_l + counts_s)]] = 0
+    return out, common
+
+
+def _agree(t, s_type, run, a: np.ndarray, b: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Common prefixes of suffixes a and b, which agree in ``known`` symbols and differ in symbol or type before the end
+    of the next LMS substring."""
+    out = known.astype(np.int32)
+    alive = np.arange(len(a))
+    while len(alive):
+        x, y = a[alive] + out[alive], b[alive] + out[alive]
+        same, kind = t[x] == t[y], s_type[x] == s_type[y]
+        stop = same & ~kind  # equal symbols of other types: they agree to the end of the shorter run
+        out[alive[stop]] += np.minimum(run[x[stop]], run[y[stop]])
+        alive = alive[same & kind]
+        out[alive] += 1
     return out
 
 
-def suffix_array(t: np.ndarray, sigma: int, store: Store | None = None) -> np.ndarray:
-    """Suffix array of a string of symbols below sigma whose last symbol is 0 and occurs once."""
+def _short(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The end of the recursion: a string of few symbols is sorted by doubling, its common prefixes found one by one."""
+    n, span = len(t), 1
+    rank = np.unique(t, return_inverse=True)[1].astype(np.int64)
+    order = np.argsort(rank, kind="stable")
+    while rank.max() < n - 1:
+        nxt = np.full(n, -1, np.int64)
+        nxt[:-span] = rank[span:]
+        key = rank * (n + 1) + nxt + 1
+        order = np.argsort(key, kind="stable")
+        rank[order] = np.cumsum(np.concatenate(([0], key[order][1:] != key[order][:-1])))
+        span *= 2
+    common, k = [0] * n, 0
+    text, places, before = t.tolist(), rank.tolist(), order.tolist()
+    for i, r in enumerate(places):  # Kasai et al., 2001
+        if r == 0:
+            k = 0
+            continue
+        j = before[r - 1]
+        while text[i + k] == text[j + k]:  # the last symbol is unique: no end is passed
+            k += 1
+        common[r] = k
+        k = max(0, k - 1)
+    return order.astype(np.int32), np.array(common, np.int32)
+
+
+def suffix_array(t: np.ndarray, sigma: int, store: Store | None = None, short: int = SHORT) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array of a string of symbols below sigma whose last symbol is 0 and occurs once, and each suffix's common
+    prefix with the one before it."""
     store = store or Store()
     n = len(t)
-    if n == 1:
-        return np.zeros(1, np.int64)
-    s_type = _types(t)
-    lms = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
-    rough = _sorted_by_induction(t, s_type, lms, sigma, store)
+    if n <= max(1, short):
+        return _short(t)
+    s_type, run, back = _types(t)
+    lms = (np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1).astype(np.int32)
+    rough, _ = _sorted_by_induction(t, s_type, run, back, lms, None, sigma, store)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     order = np.array(rough[is_lms[rough]])
+    del rough
     # Names: equal LMS substrings (up to the next LMS position, itself included) share one.
-    end = np.full(n, n, np.int64)
+    end = np.full(n, n, np.int32)
     end[lms[:-1]] = lms[1:]
     end[lms[-1]] = lms[-1]
     size = end[order] - order
+    del end
     differ = np.ones(len(order), bool)
     differ[1:] = size[1:] != size[:-1]
     alive, k = np.flatnonzero(~differ), 0
@@ -195,11 +318,17 @@ def suffix_array(t: np.ndarray, sigma: int, store: Store | None = None) -> np.nd
         alive = alive[~unlike & (k < size[alive])]
         k += 1
     name = np.cumsum(differ) - 1
+    known = np.zeros(len(order), np.int32)
     if name[-1] + 1 < len(order):
-        named = np.full(n, -1, np.int64)
+        named = np.full(n, -1, np.int32)
         named[order] = name
-        order = lms[suffix_array(named[lms], int(name[-1]) + 1, store)]
-    return _sorted_by_induction(t, s_type, order, sigma, store)
+        ranks, shared = suffix_array(named[lms], int(name[-1]) + 1, store, short)
+        order = lms[ranks]
+        # Shared names are whole LMS substrings: so many symbols.
+        known = lms[ranks + shared] - order
+    common = np.zeros(len(order), np.int32)
+    common[1:] = _agree(t, s_type, run, order[:-1], order[1:], known[1:])
+    return _sorted_by_induction(t, s_type, run, back, order, common, sigma, store)
 
 
 def repeated(bodies: list[bytes], weights: np.ndarray, width: int = WIDTH, memory: int = MEMORY) -> list[np.ndarray]:
@@ -213,20 +342,18 @@ def repeated(bodies: list[bytes], weights: np.ndarray, width: int = WIDTH, memor
     at = np.repeat(starts, lengths) + np.arange(len(raw)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     t[at] = raw.astype(np.uint16) + 2
     t[-1] = 0
-    sa = suffix_array(t, 258, store)
-    # Only whole windows: neighbours among them that agree in a whole window stand next to each other.
+    sa, common = suffix_array(t, 258, store)
+    # Only whole windows count. Neighbours among them agree as far as the smallest common prefix on the way.
     windows = np.maximum(lengths - width + 1, 0)
     inside = np.zeros(len(t), bool)
     inside[np.repeat(starts, windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)] = True
-    sa = np.array(sa[inside[sa]])
-    h = repeats.window_hashes(repeats.TABLE[np.asarray(t) & 255] + np.asarray(t).astype(np.uint64), width)
+    rank = np.flatnonzero(inside[sa])
+    sa = np.array(sa[rank])
     same = np.zeros(len(sa), bool)
-    same[1:] = h[sa[1:]] == h[sa[:-1]]
-    likely = np.flatnonzero(same)
-    for k in range(0, len(likely), 4096):  # confirmed symbol by symbol
-        i = likely[k : k + 4096]
-        span = np.arange(width)
-        same[i] = (t[sa[i][:, None] + span] == t[sa[i - 1][:, None] + span]).all(axis=1)
+    if len(rank) > 1:
+        same[1:] = np.minimum.reduceat(common, rank[:-1] + 1)[:] >= width
+        last = rank[-2] + 1  # reduceat runs its last stretch to the end of the array
+        same[-1] = common[last : rank[-1] + 1].min() >= width
     head = np.flatnonzero(~same)
     owner = np.searchsorted(starts, sa, side="right") - 1
     total = np.add.reduceat(weights[owner], head) if len(head) else np.zeros(0)

@@ -100,15 +100,26 @@ def test_empty_tables(spark):
     assert fmindex.dedup(frame(spark, [])).collect() == []
 
 
-def test_induced_sorting_is_a_suffix_array():
+def test_induced_sorting_gives_suffixes_and_common_prefixes():
     draw = np.random.default_rng(0)
-    for trial in range(150):
-        n, k = int(draw.integers(1, 60)), int(draw.integers(1, 5))
+
+    def common(a, b):
+        k = 0
+        while a[k : k + 1] == b[k : k + 1] and k < min(len(a), len(b)):
+            k += 1
+        return k
+
+    for trial in range(300):
+        n, k = int(draw.integers(1, 80)), int(draw.integers(1, 5))
         t = np.append(draw.integers(1, k + 1, n), 0).astype(np.uint16)
         if trial % 3 == 0:
             t = np.append(np.tile(draw.integers(1, k + 1, int(draw.integers(1, 5))), 20), 0).astype(np.uint16)
         store = suffix.Store(0 if trial % 2 else suffix.MEMORY)  # scratch files, or memory
-        assert suffix.suffix_array(t, int(t.max()) + 1, store).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+        sa, lcp = suffix.suffix_array(t, int(t.max()) + 1, store, short=[0, 20, suffix.SHORT][trial % 3])
+        x = t.tolist()
+        want = sorted(range(len(x)), key=lambda i: x[i:])
+        assert sa.tolist() == want
+        assert lcp.tolist() == [0] + [common(x[i:], x[j:]) for i, j in zip(want, want[1:])]
 
 
 def test_blocks_hold_every_window_once_and_equal_windows_share_anchors():
