@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -45,6 +46,19 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def lean(walk):
+    """Wraps a function on Arrow batches: when a task has ended, its worker gives freed memory back to the system, since
+    an idle worker's memory counts beside the next stage's."""
+
+    def run(batches):
+        yield from walk(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(Exception):  # the C library's own call, where there is one
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 class Scratch:
     """Tables settled in the shared folder: written once, so that a lost executor costs a re-read and not a
     recomputation, and nothing that ran before is kept in the lineage."""

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import repeats
-from gleaner.llm.common import Scratch, documents, partitions, tune
+from gleaner.llm.common import documents, lean, partitions, tune, Scratch
 
 WIDTH, GRAM, CHUNK = 13, 4, 4 << 20
 _CODE = 6  # bytes kept of a word's 64-bit code in a shard
@@ -195,7 +195,7 @@ def removals(scratch: Scratch, known: DataFrame, key: list[str], kind: repeats.K
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["anchor", "context", "n", "offsets", "lows"])
 
     dealt = repeats.shards(known, key, contexts, kind).repartition(partitions(known.sparkSession), "anchor", "shard").sortWithinPartitions("anchor", "shard", "context", "low")
-    found = dealt.mapInArrow(solve, "anchor long, context long, n int, offsets array<int>, lows array<long>")
+    found = dealt.mapInArrow(lean(solve), "anchor long, context long, n int, offsets array<int>, lows array<long>")
     lower = found.groupBy("anchor", "context", "n").agg(F.flatten(F.collect_list(F.arrays_zip("offsets", "lows"))).alias("lower"))
     lower = scratch.settle(lower)
     keys = ["anchor", "context", "n"]
@@ -235,7 +235,7 @@ def rewrite(docs: DataFrame, key: list[str], marks: DataFrame, texts: bool = Fal
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([F.xxhash64("text").alias("th")] if len(key) > 1 else []))
     both = own.join(marks, key, "left").select("doc_id", "text", "marks")
-    return both.mapInArrow(each, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return both.mapInArrow(lean(each), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
 def dedup(docs: DataFrame, texts: bool = False, kind: repeats.Kind = KIND) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import documents, tune
+from gleaner.llm.common import documents, lean, tune
 
 PER_LANG, BUCKETS, ORDERS, PENALTY, SHARPNESS, FLOOR = 3000, 1 << 17, (3, 4, 5), 6.0, 0.5, -30.0
 
@@ -205,7 +205,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model | None:
                 names=["lang", "n", "bucket", "c"],
             )
 
-    counted = sample.mapInArrow(tally, "lang string, n int, bucket int, c long").groupBy("lang", "n", "bucket").agg(F.sum("c").alias("c"))
+    counted = sample.mapInArrow(lean(tally), "lang string, n int, bucket int, c long").groupBy("lang", "n", "bucket").agg(F.sum("c").alias("c"))
     table = counted.toArrow().to_pandas() if hasattr(counted, "toArrow") else counted.toPandas()  # languages x orders x BUCKETS at most
     row = table["lang"].map({x: k for k, x in enumerate(langs)}).to_numpy()
     counts = {n: np.zeros((len(langs), BUCKETS if n else OTHER + 1)) for n in (0, *ORDERS)}
@@ -227,7 +227,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
             lang, score = predict(sent.value, b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(each, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(each), "doc_id long, lang_pred string, score double")
 
 
 def held_out() -> Column:

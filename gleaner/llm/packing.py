@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import Scratch, documents, running_totals, tune
+from gleaner.llm.common import documents, lean, running_totals, tune, Scratch
 
 MAX_TOKENS, END = 2048, 1
 VOCABULARY, RANKS, SPECIAL = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "<|endoftext|>"
@@ -85,7 +85,7 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, ranks: str | None = RA
             arrays.append(pa.array(kept, pa.list_(pa.int32())) if with_ids else pa.nulls(len(rows), pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "_slot", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(cut), SCHEMA)
 
 
 def pack(docs: DataFrame, with_ids: bool = False, **params) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import Scratch
+from gleaner.llm.common import lean, Scratch
 
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 TABLE = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -228,7 +228,7 @@ def find(scratch: Scratch, known: DataFrame, key: list[str], kind: Kind) -> tupl
                     names=[*key, "lo", "n", "anchor", "context"],
                 )
 
-    found = known.mapInArrow(scan, "".join(f"{k} long, " for k in key) + "lo int, n int, anchor long, context long")
+    found = known.mapInArrow(lean(scan), "".join(f"{k} long, " for k in key) + "lo int, n int, anchor long, context long")
     seen = found.groupBy("anchor")
     if kind.cross:
         again = seen.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z")
@@ -267,7 +267,7 @@ def shards(known: DataFrame, key: list[str], contexts: DataFrame, kind: Kind) ->
     # Of rows that are equal in every respect one is enough.
     some = known.join(wanted, key)
     some = some.dropDuplicates(key) if len(key) > 1 else some
-    return some.select("doc_id", "text", "wanted").mapInArrow(cut, "anchor long, shard int, of int, context long, copies long, low long, body binary")
+    return some.select("doc_id", "text", "wanted").mapInArrow(lean(cut), "anchor long, shard int, of int, context long, copies long, low long, body binary")
 
 
 def chunks(batches, budget: int):

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import Scratch, components, documents, partitions, tune
+from gleaner.llm.common import components, documents, lean, partitions, tune, Scratch
 
 SHINGLE, RADIUS, BANDS, BLOCK, SEED = 3, 2, 3, 8192, 42
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             f = np.array([fingerprint(shingle_hashes(t)) for t in b.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f.view(np.int64), pa.int64())], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(each, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(each), "doc_id long, fp long")
 
 
 def bit_planes(fps: np.ndarray) -> np.ndarray:
@@ -186,7 +186,7 @@ def link_forest(scratch: Scratch, nodes: DataFrame, radius: int = RADIUS, bands:
             out += close(held)
         yield emit(out)
 
-    return dealt.mapInArrow(compare, "u long, v long")
+    return dealt.mapInArrow(lean(compare), "u long, v long")
 
 
 def groups(docs: DataFrame, radius: int = RADIUS, bands: int = BANDS, block: int = BLOCK) -> DataFrame:

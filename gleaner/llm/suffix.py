@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import repeats
-from gleaner.llm.common import Scratch, documents, partitions, tune
+from gleaner.llm.common import documents, lean, partitions, tune, Scratch
 
-WIDTH, GRAM, CHUNK, MEMORY, SHORT = 400, 64, 3 << 20, 256 << 20, 16_384
+WIDTH, GRAM, CHUNK, MEMORY, SHORT = 400, 64, 2 << 20, 256 << 20, 16_384
 
 
 def _units(data: np.ndarray, offsets: np.ndarray):
@@ -338,10 +338,10 @@ def repeated(bodies: list[bytes], weights: np.ndarray, width: int = WIDTH, memor
     starts = np.cumsum(lengths + 1) - lengths - 1
     store = Store(memory)
     t = store.array(int(lengths.sum()) + len(bodies) + 1, np.uint16, 1)  # 1 ends a context, 0 the text
-    raw = np.frombuffer(b"".join(bodies), np.uint8)
-    at = np.repeat(starts, lengths) + np.arange(len(raw)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    t[at] = raw.astype(np.uint16) + 2
-    t[-1] = 0
+    raw = np.frombuffer(b"\0".join(bodies), np.uint8)
+    t[: len(raw)] = raw
+    t[: len(raw)] += 2
+    t[starts + lengths], t[-1] = 1, 0
     sa, common = suffix_array(t, 258, store)
     # Only whole windows count. Neighbours among them agree as far as the smallest common prefix on the way.
     windows = np.maximum(lengths - width + 1, 0)
@@ -390,7 +390,7 @@ def removals(scratch: Scratch, known: DataFrame, key: list[str], kind: repeats.K
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["anchor", "context", "n", "bits"])
 
     dealt = repeats.shards(known, key, contexts, kind).repartition(partitions(known.sparkSession), "anchor", "shard").sortWithinPartitions("anchor", "shard", "context")
-    found = dealt.mapInArrow(solve, "anchor long, context long, n int, bits binary")
+    found = dealt.mapInArrow(lean(solve), "anchor long, context long, n int, bits binary")
     keys = ["anchor", "context", "n"]
     some = scratch.settle(found.groupBy(*keys).agg(F.collect_list("bits").alias("bits")))  # a shard's part each
     whole = contexts.where("copies > 1").select(*keys, F.lit(None).cast("array<binary>").alias("bits"))
@@ -442,7 +442,7 @@ def rewrite(docs: DataFrame, key: list[str], marks: DataFrame, width: int = WIDT
             arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *arrays], names=[*(f"c{k}" for k in range(len(names))), "n_bytes", "n_removed", "n_spans", "kept"])
 
-    out = both.mapInArrow(each, schema)
+    out = both.mapInArrow(lean(each), schema)
     results = [c for c in ("n_bytes", "n_removed", "n_spans", "kept")]
     own = [F.col(f"c{k}").alias(f.name) for k, f in enumerate(fields) if f.name not in results]  # a clashing column gives way
     return out.select(*own, *results)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import documents, tune
+from gleaner.llm.common import documents, lean, tune
 
 SAMPLE, LANDMARKS, ROUNDS, DECAY, BUCKETS, THRESHOLD = 2000, 768, 3, 0.6, 1 << 18, 0.7
 #: Characters in work at a time.
@@ -355,7 +355,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
             )
 
     # The sample is bounded, so one task may hold it.
-    got = rows.coalesce(1).mapInArrow(learn, "t binary, b double, c array<double>").collect()
+    got = rows.coalesce(1).mapInArrow(lean(learn), "t binary, b double, c array<double>").collect()
     return Model(np.frombuffer(got[0]["t"], np.float32), got[0]["b"], got[0]["c"]) if got else None
 
 
@@ -369,7 +369,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sent.value.score(b.column(1).to_pylist()))], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(each, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(each), "doc_id long, score double")
 
 
 def reject(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
@@ -383,7 +383,7 @@ def reject(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -
         for b in batches:
             yield b.filter(pa.array(sent.value.score(b.column(at).to_pylist()) < threshold))
 
-    return docs.mapInArrow(each, docs.schema)
+    return docs.mapInArrow(lean(each), docs.schema)
 
 
 def held_out() -> Column:
