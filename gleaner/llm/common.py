@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import gc
+import shutil
 import tempfile
 import uuid
 
@@ -37,7 +39,9 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     root = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.gleaner.own.dir", None)
     if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='gleaner-')}"
+        own = tempfile.mkdtemp(prefix="gleaner-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        root = f"file://{own}"
         spark.conf.set("spark.gleaner.own.dir", root)
     return root.rstrip("/")
 

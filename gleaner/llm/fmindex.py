@@ -199,14 +199,15 @@ def removals(scratch: Scratch, known: DataFrame, key: list[str], kind: repeats.K
     lower = found.groupBy("anchor", "context", "n").agg(F.flatten(F.collect_list(F.arrays_zip("offsets", "lows"))).alias("lower"))
     lower = scratch.settle(lower)
     keys = ["anchor", "context", "n"]
-    contexts = contexts.withColumn("low", F.col("first.doc_id"))
     # A context's windows are in its smallest document, or in a smaller one that the index reports.
-    results = scratch.settle(contexts.select(*keys, "low", "copies").join(lower, keys, "left").where("copies > 1 OR lower IS NOT NULL"))
+    results = scratch.settle(contexts.select(*keys, F.col("first.doc_id").alias("low"), "copies").join(lower, keys, "left").where("copies > 1 OR lower IS NOT NULL"))
     hit = F.expr("""
         aggregate(coalesce(lower, array()), if(doc_id > low, shiftleft(1L, n) - 1L, 0L),
                   (m, w) -> if(w.lows < doc_id, m | shiftleft(1L, w.offsets), m))""")
     marked = spots.join(results, keys).select(*key, "lo", hit.alias("mask")).where("mask <> 0")
-    return scratch.settle(marked.groupBy(*key).agg(F.collect_list(F.struct("lo", "mask")).alias("marks")))
+    marks = scratch.settle(marked.groupBy(*key).agg(F.collect_list(F.struct("lo", "mask")).alias("marks")))
+    scratch.drop(spots, contexts, lower, results)
+    return marks
 
 
 def rewrite(docs: DataFrame, key: list[str], marks: DataFrame, texts: bool = False) -> DataFrame:

@@ -397,7 +397,9 @@ def removals(scratch: Scratch, known: DataFrame, key: list[str], kind: repeats.K
     part = some.join(contexts.where("copies = 1").select(*keys), keys)
     results = scratch.settle(whole.unionByName(part))
     marked = spots.join(results, keys).select(*key, "lo", "n", "bits")
-    return scratch.settle(marked.groupBy(*key).agg(F.collect_list(F.struct("lo", "n", "bits")).alias("marks")))
+    marks = scratch.settle(marked.groupBy(*key).agg(F.collect_list(F.struct("lo", "n", "bits")).alias("marks")))
+    scratch.drop(spots, contexts, some, results)
+    return marks
 
 
 def _kept(raw: bytes, marks, width: int) -> tuple[bytes, int, int]:
