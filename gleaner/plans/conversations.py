@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from gleaner.functions import text as tx
 from gleaner.operators import aggregates as ag
 from gleaner.operators import formats as fm
-from gleaner.operators import seeds as sd
 from gleaner.operators import traces as tr
+from gleaner.operators.ordering import dense_index
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -105,8 +105,7 @@ def agg_disposition_counts(spark, d):
 
 @query(f"WITH {ROUTED} SELECT id, row_number() OVER (ORDER BY id) - 1 AS row_index FROM d WHERE disposition = 'pass'")
 def win_row_index(spark, d):
-    kept = routed(spark, d).where("disposition = 'pass'")
-    return kept.select("id", (F.row_number().over(Window.orderBy("id")) - 1).cast("long").alias("row_index"))
+    return dense_index(routed(spark, d).where("disposition = 'pass'").select("id"), "id")
 
 
 @query(f"""WITH {M} SELECT sample_id, message_index, role, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END)
