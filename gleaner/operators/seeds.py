@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import canonical_json, collapse
+from gleaner.operators.ordering import dense_index
 
 #: Fields of a seed that say how it is worded, not what it asks.
 WORDING = ("seed_id", "variable_group_id", "question_pattern_id", "user_turns")
@@ -60,9 +61,10 @@ def rename_groups(groups: DataFrame, template: str, order: str, suffix: str = "E
 
 
 def shard(rows: DataFrame, order: str, n: int, group: str | None = None) -> DataFrame:
-    """Round robin: row k of the order goes to shard k mod n."""
-    w = Window.partitionBy(group).orderBy(order) if group else Window.orderBy(order)
-    return rows.withColumn("shard", F.pmod(F.row_number().over(w) - 1, F.lit(n)))
+    """Round robin: row k of the order (a unique column) goes to shard k mod n."""
+    if group is None:
+        return dense_index(rows, order, "_k").withColumn("shard", F.pmod("_k", F.lit(n)).cast("int")).drop("_k")
+    return rows.withColumn("shard", F.pmod(F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1, F.lit(n)))
 
 
 def oversample(rows: DataFrame, key: str, listed: DataFrame, factor: int) -> DataFrame:

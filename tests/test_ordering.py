@@ -1,6 +1,6 @@
 import random
 
-from gleaner.operators import ordering
+from gleaner.operators import ordering, seeds
 
 
 def test_positions_are_dense_and_in_order(spark):
@@ -12,3 +12,8 @@ def test_positions_are_dense_and_in_order(spark):
         assert got == {n: k for k, n in enumerate(sorted(names))}
     assert len(ordering.cuts(df, "id", 7)) == 6
     assert ordering.dense_index(df.limit(0), "id").collect() == []
+
+
+def test_round_robin(spark):
+    df = spark.range(50)
+    assert {r["id"]: r["shard"] for r in seeds.shard(df, "id", 4).collect()} == {k: k % 4 for k in range(50)}
