@@ -271,16 +271,21 @@ def shards(known: DataFrame, key: list[str], contexts: DataFrame, kind: Kind) ->
 
 
 def chunks(batches, budget: int):
-    """Whole shards of a partition sorted by (anchor, shard), gathered up to ``budget`` bytes of bodies."""
-    held, size, last = [], 0, None
+    """Whole shards of a partition sorted by (anchor, shard), gathered up to ``budget`` bytes of bodies or one shard."""
+    held, group, size, own, last = [], [], 0, 0, None
     for b in batches:
-        cols = [c.to_pylist() for c in b.columns]
-        for row in zip(*cols, strict=True):
-            if size > budget and row[:2] != last:
-                yield held
-                held, size = [], 0
-            last = row[:2]
-            held.append(row)
-            size += len(row[6])
-    if held:
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if row[:2] != last:
+                if held and size + own > budget:
+                    yield held
+                    held, size = [], 0
+                held += group
+                size += own
+                group, own, last = [], 0, row[:2]
+            group.append(row)
+            own += len(row[6])
+    if held and size + own > budget:
         yield held
+        held = []
+    if held or group:
+        yield held + group

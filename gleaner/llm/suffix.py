@@ -21,7 +21,6 @@ from __future__ import annotations
 import tempfile
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 from gleaner.llm import repeats
 from gleaner.llm.common import documents, lean, partitions, tune, Scratch
 
-WIDTH, GRAM, CHUNK, MEMORY, SHORT = 400, 64, 2 << 20, 256 << 20, 16_384
+WIDTH, GRAM, CHUNK, MEMORY, SHORT = 400, 64, 3 << 19, 256 << 20, 16_384
 
 
 def _units(data: np.ndarray, offsets: np.ndarray):
@@ -420,8 +419,9 @@ def _kept(raw: bytes, marks, width: int) -> tuple[bytes, int, int]:
     return np.frombuffer(raw, np.uint8)[~gone].tobytes(), int(np.count_nonzero(gone)), runs
 
 
-def rewrite(docs: DataFrame, key: list[str], marks: DataFrame, width: int = WIDTH) -> DataFrame:
-    """docs' columns with n_bytes, n_removed, n_spans and kept (the remaining bytes) of every row."""
+def rewrite(docs: DataFrame, key: list[str], marks: DataFrame, width: int = WIDTH, decode: bool = False) -> DataFrame:
+    """docs' columns with n_bytes, n_removed, n_spans and kept of every row: the remaining bytes, or their whole characters
+    as a text."""
     names = docs.columns
     own = docs.select(
         *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)], F.coalesce(F.col("doc_id").cast("long"), F.lit(repeats.NO_ID)).alias("doc_id"),
@@ -430,7 +430,7 @@ def rewrite(docs: DataFrame, key: list[str], marks: DataFrame, width: int = WIDT
     both = own.join(marks, key, "left").select(*[f"c{k}" for k in range(len(names))], "text", "marks")
     fields = [*docs.schema.fields]
     schema = both.select(*[f"c{k}" for k in range(len(names))]).schema
-    for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept", "binary")):
+    for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept", "string" if decode else "binary")):
         schema = schema.add(name, kind)
 
     def each(batches):
@@ -439,9 +439,9 @@ def rewrite(docs: DataFrame, key: list[str], marks: DataFrame, width: int = WIDT
             for text, found in zip(b.column(len(names)).to_pylist(), b.column(len(names) + 1).to_pylist(), strict=True):
                 raw = (text or "").encode()
                 left, gone, runs = _kept(raw, found, width) if found else (raw, 0, 0)
-                out.append((len(raw), gone, runs, left))
+                out.append((len(raw), gone, runs, left.decode(errors="ignore") if decode else left))
             cols = list(zip(*out, strict=True)) or [()] * 4
-            arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
+            arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string() if decode else pa.binary()), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *arrays], names=[*(f"c{k}" for k in range(len(names))), "n_bytes", "n_removed", "n_spans", "kept"])
 
     out = both.mapInArrow(lean(each), schema)
@@ -450,24 +450,19 @@ def rewrite(docs: DataFrame, key: list[str], marks: DataFrame, width: int = WIDT
     return out.select(*own, *results)
 
 
-def dedup(docs: DataFrame, kind: repeats.Kind = KIND, memory: int = MEMORY) -> DataFrame:
+def dedup(docs: DataFrame, kind: repeats.Kind = KIND, memory: int = MEMORY, decode: bool = False) -> DataFrame:
     scratch = Scratch(tune(docs.sparkSession))
     known, key = repeats.keyed(docs, with_null=True)
-    return rewrite(docs, key, removals(scratch, known, key, kind, memory), kind.width)
+    return rewrite(docs, key, removals(scratch, known, key, kind, memory), kind.width, decode)
 
 
 def strip_repeats(docs: DataFrame) -> DataFrame:
     """docs' columns with the text that is left. A character that a cut splits is dropped; n_chars, where there is one,
     is counted again for the texts that changed. Null texts stay null."""
     wide = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
-    out = dedup(wide)
+    out = dedup(wide, decode=True)
     changed = F.col("n_removed") > 0
-
-    @F.pandas_udf("string")
-    def whole(kept: pd.Series) -> pd.Series:
-        return kept.map(lambda b: b.decode(errors="ignore"))
-
-    text = F.when(changed, whole("kept")).otherwise(F.col("text"))
+    text = F.when(changed, F.col("kept")).otherwise(F.col("text"))
     cols = {"text": text}
     if "n_chars" in docs.columns:
         cols["n_chars"] = F.when(changed, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
