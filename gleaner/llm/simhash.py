@@ -56,15 +56,15 @@ def fingerprint(hashes: list[int]) -> int:
     return int(np.packbits((2 * votes > len(h)).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and its fingerprint as a signed long; texts are read where they lie."""
+def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, its fingerprint as a signed long, and long columns that are handed on; texts are read where they lie."""
 
     def each(batches):
         for b in batches:
             f = np.array([fingerprint(shingle_hashes(t)) for t in b.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f.view(np.int64), pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f.view(np.int64), pa.int64()), *b.columns[2:]], names=["doc_id", "fp", *more])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(each), "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text", *more).mapInArrow(lean(each), "doc_id long, fp long" + "".join(f", {c} long" for c in more))
 
 
 def bit_planes(fps: np.ndarray) -> np.ndarray:
@@ -189,30 +189,42 @@ def link_forest(scratch: Scratch, nodes: DataFrame, radius: int = RADIUS, bands:
     return dealt.mapInArrow(lean(compare), "u long, v long")
 
 
+def linked(scratch: Scratch, prints: DataFrame, radius: int = RADIUS, bands: int = BANDS, block: int = BLOCK) -> DataFrame:
+    """Every fingerprint of prints with its smallest doc_id (low) and its component's smallest fingerprint (root)."""
+    nodes = scratch.settle(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    roots = components(scratch, scratch.settle(link_forest(scratch, nodes, radius, bands, block)))
+    return scratch.settle(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root")))
+
+
 def groups(docs: DataFrame, radius: int = RADIUS, bands: int = BANDS, block: int = BLOCK) -> DataFrame:
     """doc_id, fp and component_id of every row of docs."""
     spark = tune(docs.sparkSession)
     scratch = Scratch(spark)
     prints = scratch.settle(fingerprints(docs))
-    nodes = scratch.settle(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    roots = components(scratch, scratch.settle(link_forest(scratch, nodes, radius, bands, block)))
-    named = scratch.settle(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root")))
+    named = linked(scratch, prints, radius, bands, block)
     low = scratch.settle(named.groupBy("root").agg(F.min("low").alias("component_id")))
     classes = scratch.settle(named.join(low, "root").select("fp", "component_id"))
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def survivors(scratch: Scratch, docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Of each component the row of its smallest doc_id, then text hash, and of equal rows one; rows without a doc_id stay.
+    found: doc_id, th (XXH64 of the text) and root, the component, of every row of docs. A doc_id may stand in several
+    components, a (doc_id, th) only in one."""
+    first = found.where("doc_id IS NOT NULL").groupBy("root", "doc_id", "th").agg(F.count("*").alias("n"))
+    first = scratch.settle(first.groupBy("root").agg(F.min(F.struct("doc_id", "th", "n")).alias("b")).select(F.col("b.doc_id").alias("_kept"), F.col("b.th").alias("_text"), F.col("b.n").alias("_n")))
+    rows = docs.withColumn("_hash", F.xxhash64("text"))
+    kept = rows.join(first, (F.col("doc_id") == F.col("_kept")) & (F.col("_hash") == F.col("_text")), "left_semi")
+    if first.where("_n > 1").head(1):
+        kept = kept.dropDuplicates(["doc_id", "_hash"])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+
+
 def keep_one(docs: DataFrame, **params) -> DataFrame:
-    """docs without near-duplicates: of each component the row of its smallest doc_id stays (the one with the smallest
-    text hash, if several rows share that id); rows without a doc_id stay."""
-    found = groups(docs, **params)
-    ids = Scratch(docs.sparkSession).settle(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows")).withColumnRenamed("doc_id", "_kept"))
-    kept = docs.join(ids.select("_kept"), F.col("doc_id") == F.col("_kept"), "left_semi")
-    if ids.where("_rows > 1").head(1):
-        kept = kept.withColumn("_hash", F.xxhash64("text"))
-        first = kept.groupBy("doc_id").agg(F.min("_hash").alias("_first")).withColumnRenamed("doc_id", "_kept")
-        kept = kept.join(first, (F.col("doc_id") == F.col("_kept")) & (F.col("_hash") == F.col("_first"))).dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    """docs without near-duplicates: one row of each component, as in ``survivors``."""
+    scratch = Scratch(tune(docs.sparkSession))
+    prints = scratch.settle(fingerprints(docs.withColumn("th", F.xxhash64("text")), "th"))
+    return survivors(scratch, docs, prints.join(linked(scratch, prints, **params), "fp").select("doc_id", "th", "root"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

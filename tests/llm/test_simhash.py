@@ -88,3 +88,11 @@ def test_empty_table_and_keep_one(spark):
     assert run(spark, []) == []
     docs = spark.createDataFrame([(2, "a b c d"), (1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (4, "other words here now")], "doc_id long, text string")
     assert sorted((r["doc_id"] or 0) for r in simhash.keep_one(docs).collect()) == [0, 1, 4]
+
+
+def test_keep_one_keeps_a_row_of_each_component_under_a_shared_doc_id(spark):
+    texts = [" ".join(f"w{i}x{k}" for k in range(40)) for i in range(6)]
+    rows = [(7, t) for t in texts[:4]] + [(7, texts[4]), (5, texts[4]), (7, texts[4]), (9, texts[5]), (9, texts[5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted([(7, t) for t in texts[:4]] + [(5, texts[4]), (9, texts[5])])
+    assert sorted(tuple(r) for r in simhash.keep_one(docs).collect()) == want
