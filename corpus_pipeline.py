@@ -23,7 +23,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages are cut out; characters that a cut splits go as well, and n_chars follows the text."""
+    """Repeated passages of over 50 words are cut out, and n_chars follows the text."""
     return suffix.strip_repeats(docs)
 
 

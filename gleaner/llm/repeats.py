@@ -198,6 +198,7 @@ class Kind:
     cut: Callable  # (text bytes, lists of lo and n) -> contexts as bytes
     codes: Callable  # context bytes -> unit codes
     hot: int = 2_000
+    words: bool = False  # contexts are words' codes, eight bytes each, and ``suffix`` cuts whole words
 
 
 #: Stands for a null doc_id where such rows take part.

@@ -49,6 +49,31 @@ def _codes(body: bytes) -> np.ndarray:
 
 KIND = repeats.Kind(WIDTH, GRAM, False, _units, _coded, _cut, _codes)
 
+#: The pipeline's stage: passages of over 50 words, whatever the length of the words.
+PASSAGE, PASSAGE_GRAM = 51, 8
+
+
+def _word_units(data: np.ndarray, offsets: np.ndarray):
+    first, end, bounds = repeats.words_in(data, offsets)
+    return repeats.word_codes(data, first, end), bounds
+
+
+def _word_coded(codes: np.ndarray) -> np.ndarray:
+    return codes
+
+
+def _word_cut(raw: bytes, at: list[int], n: list[int]) -> list[bytes]:
+    data = np.frombuffer(raw, np.uint8)
+    codes, _ = _word_units(data, np.array([0, len(data)]))
+    return [codes[a : a + k - 1 + PASSAGE].astype("<u8").tobytes() for a, k in zip(at, n, strict=True)]
+
+
+def _word_codes(body: bytes) -> np.ndarray:
+    return np.frombuffer(body, "<u8")
+
+
+WORDS = repeats.Kind(PASSAGE, PASSAGE_GRAM, False, _word_units, _word_coded, _word_cut, _word_codes, words=True)
+
 
 class Store:
     """Arrays in memory, or in scratch files once they would take more than ``memory`` bytes together."""
@@ -330,18 +355,23 @@ def suffix_array(t: np.ndarray, sigma: int, store: Store | None = None, short: i
     return _sorted_by_induction(t, s_type, run, back, order, common, sigma, store)
 
 
-def repeated(bodies: list[bytes], weights: np.ndarray, width: int = WIDTH, memory: int = MEMORY) -> list[np.ndarray]:
+def repeated(bodies: list[bytes], weights: np.ndarray, width: int = WIDTH, memory: int = MEMORY, words: bool = False) -> list[np.ndarray]:
     """For each context the windows (True) whose string starts at two places at least; a context stands for as many
-    copies as its weight."""
-    lengths = np.array([len(b) for b in bodies])
+    copies as its weight. Symbols are bytes, or words' codes of eight bytes by rank."""
+    lengths = np.array([len(b) for b in bodies]) // (8 if words else 1)
     starts = np.cumsum(lengths + 1) - lengths - 1
     store = Store(memory)
-    t = store.array(int(lengths.sum()) + len(bodies) + 1, np.uint16, 1)  # 1 ends a context, 0 the text
-    raw = np.frombuffer(b"\0".join(bodies), np.uint8)
-    t[: len(raw)] = raw
-    t[: len(raw)] += 2
+    t = store.array(int(lengths.sum()) + len(bodies) + 1, np.int32 if words else np.uint16, 1)  # 1 ends a context, 0 the text
+    if words:
+        known, rank = np.unique(np.frombuffer((b"\0" * 8).join(bodies), "<u8"), return_inverse=True)
+        t[: len(rank)], sigma = rank.ravel(), len(known) + 2
+        t[: len(rank)] += 2
+    else:
+        raw, sigma = np.frombuffer(b"\0".join(bodies), np.uint8), 258
+        t[: len(raw)] = raw
+        t[: len(raw)] += 2
     t[starts + lengths], t[-1] = 1, 0
-    sa, common = suffix_array(t, 258, store)
+    sa, common = suffix_array(t, sigma, store)
     # Only whole windows count. Neighbours among them agree as far as the smallest common prefix on the way.
     windows = np.maximum(lengths - width + 1, 0)
     inside = np.zeros(len(t), bool)
@@ -366,7 +396,7 @@ def decide(rows: list[tuple], kind: repeats.Kind = KIND, memory: int = MEMORY) -
     """(anchor, context, n, packed flags) of the contexts of whole shards that have a repeated window."""
     # The same context may stand in several shards of its anchor; it is one text here, and each shard takes its windows.
     unique = list({(r[0], r[3], len(r[6])): r for r in rows}.values())
-    found = dict(zip([(r[0], r[3], len(r[6])) for r in unique], repeated([r[6] for r in unique], np.array([r[4] for r in unique]), kind.width, memory), strict=True))
+    found = dict(zip([(r[0], r[3], len(r[6])) for r in unique], repeated([r[6] for r in unique], np.array([r[4] for r in unique]), kind.width, memory, kind.words), strict=True))
     out = []
     for r in rows:
         flags = found[r[0], r[3], len(r[6])]
@@ -401,12 +431,18 @@ def removals(scratch: Scratch, known: DataFrame, key: list[str], kind: repeats.K
     return marks
 
 
-def _kept(raw: bytes, marks, width: int) -> tuple[bytes, int, int]:
-    """What is left of a text, and how many bytes and maximal runs went."""
-    edge = np.zeros(len(raw) + 1, np.int32)
+def _kept(raw: bytes, marks, width: int, words: bool = False) -> tuple[bytes, int, int]:
+    """What is left of a text, and how many bytes and maximal runs went. Windows of words take the white space after them
+    along."""
+    units, first = len(raw), None
+    if words:
+        data = np.frombuffer(raw, np.uint8)
+        first, _, _ = repeats.words_in(data, np.array([0, len(data)]))
+        units = len(first)
+    edge = np.zeros(units + 1, np.int32)
     for m in marks:
         if m["bits"] is None:  # every window of the block
-            if m["lo"] + m["n"] - 1 + width <= len(raw):
+            if m["lo"] + m["n"] - 1 + width <= units:
                 edge[m["lo"]] += 1
                 edge[m["lo"] + m["n"] - 1 + width] -= 1
             continue
@@ -416,10 +452,12 @@ def _kept(raw: bytes, marks, width: int) -> tuple[bytes, int, int]:
             np.add.at(edge, on + width, -1)
     gone = np.cumsum(edge)[:-1] > 0
     runs = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + gone[0]) if len(gone) else 0
+    if words:  # from byte to word: what stands before the first word stays
+        gone = np.repeat(np.concatenate(([False], gone)), np.diff(np.concatenate(([0], first, [len(raw)]))))
     return np.frombuffer(raw, np.uint8)[~gone].tobytes(), int(np.count_nonzero(gone)), runs
 
 
-def rewrite(docs: DataFrame, key: list[str], marks: DataFrame, width: int = WIDTH, decode: bool = False) -> DataFrame:
+def rewrite(docs: DataFrame, key: list[str], marks: DataFrame, width: int = WIDTH, decode: bool = False, words: bool = False) -> DataFrame:
     """docs' columns with n_bytes, n_removed, n_spans and kept of every row: the remaining bytes, or their whole characters
     as a text."""
     names = docs.columns
@@ -438,7 +476,7 @@ def rewrite(docs: DataFrame, key: list[str], marks: DataFrame, width: int = WIDT
             out = []
             for text, found in zip(b.column(len(names)).to_pylist(), b.column(len(names) + 1).to_pylist(), strict=True):
                 raw = (text or "").encode()
-                left, gone, runs = _kept(raw, found, width) if found else (raw, 0, 0)
+                left, gone, runs = _kept(raw, found, width, words) if found else (raw, 0, 0)
                 out.append((len(raw), gone, runs, left.decode(errors="ignore") if decode else left))
             cols = list(zip(*out, strict=True)) or [()] * 4
             arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string() if decode else pa.binary()), strict=True)]
@@ -453,14 +491,14 @@ def rewrite(docs: DataFrame, key: list[str], marks: DataFrame, width: int = WIDT
 def dedup(docs: DataFrame, kind: repeats.Kind = KIND, memory: int = MEMORY, decode: bool = False) -> DataFrame:
     scratch = Scratch(tune(docs.sparkSession))
     known, key = repeats.keyed(docs, with_null=True)
-    return rewrite(docs, key, removals(scratch, known, key, kind, memory), kind.width, decode)
+    return rewrite(docs, key, removals(scratch, known, key, kind, memory), kind.width, decode, kind.words)
 
 
 def strip_repeats(docs: DataFrame) -> DataFrame:
-    """docs' columns with the text that is left. A character that a cut splits is dropped; n_chars, where there is one,
-    is counted again for the texts that changed. Null texts stay null."""
+    """docs' columns with the text that is left without passages of over 50 words that stand at several places. Words are
+    cut whole; n_chars, where there is one, is counted again for the texts that changed. Null texts stay null."""
     wide = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
-    out = dedup(wide, decode=True)
+    out = dedup(wide, WORDS, decode=True)
     changed = F.col("n_removed") > 0
     text = F.when(changed, F.col("kept")).otherwise(F.col("text"))
     cols = {"text": text}
