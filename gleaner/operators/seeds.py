@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import canonical_json, collapse
+from gleaner.llm.common import components, running_totals, Scratch
 from gleaner.operators.ordering import dense_index
 
 #: Fields of a seed that say how it is worded, not what it asks.
@@ -96,15 +97,31 @@ def longest(rows: DataFrame, group: str, length: str, order: str) -> DataFrame:
     return best.select(group, f"b.{length}", (-F.col("b._o")).alias(order), *[f"b.{c}" for c in fields])
 
 
-def split_groups(rows: DataFrame, group: str, query: str, rounds: int = 50) -> DataFrame:
+def split_groups(rows: DataFrame, group: str, query: str) -> DataFrame:
     """(group, component): groups that share a query, directly or through others, get the smallest group's name."""
-    pairs = rows.select(F.col(group).alias("g"), F.col(query).alias("q")).distinct()
-    labels = pairs.select("g", F.col("g").alias("component")).distinct()
-    for _ in range(rounds):
-        by_query = pairs.join(labels, "g").groupBy("q").agg(F.min("component").alias("m"))
-        by_group = pairs.join(by_query, "q").groupBy("g").agg(F.min("m").alias("m"))
-        new = labels.join(by_group, "g").select("g", F.least("component", "m").alias("component"), (F.col("m") < F.col("component")).alias("moved")).checkpoint()
-        labels = new.drop("moved")
-        if not new.where("moved").head(1):
-            break
-    return labels.select(F.col("g").alias(group), "component")
+    scratch = Scratch(rows.sparkSession)
+    pairs = scratch.settle(rows.select(F.col(group).alias("g"), F.col(query).alias("q"), F.xxhash64(group).alias("node")).distinct())
+    low = pairs.groupBy("q").agg(F.min("node").alias("v"))
+    roots = components(scratch, pairs.join(low, "q").select(F.col("node").alias("u"), "v"))
+    named = pairs.select("g", "node").distinct().join(roots, "node", "left").select("g", F.coalesce("root", "node").alias("root"))
+    named = scratch.settle(named)
+    return named.join(named.groupBy("root").agg(F.min("g").alias("component")), "root").select(F.col("g").alias(group), "component")
+
+
+def assign_splits(rows: DataFrame, group: str, query: str, scenario: str, seed: str, fraction: float) -> DataFrame:
+    """(group, component, split): scenario by scenario in order, components go to validation in the order of the digest of
+    seed and component until ``fraction`` of the scenario's rows is there; one of its components at least is left to train."""
+    scratch = Scratch(rows.sparkSession)
+    found = scratch.settle(split_groups(rows, group, query))
+    key = F.sha2(F.to_json(F.array(F.lit(seed), F.col("component").cast("string"))), 256)
+    sizes = rows.join(found, group).groupBy("component", F.col(scenario).alias("_scenario")).agg(F.count("*").alias("n"))
+    sizes = scratch.settle(sizes.withColumn("digest", key).withColumn("one", F.lit(1).cast("long")))
+    taken = scratch.settle(sizes.select("component").limit(0))
+    for r in sizes.groupBy("_scenario").agg(F.sum("n").alias("n"), F.count("*").alias("m")).orderBy("_scenario").collect():  # a row per scenario
+        here = sizes.where(F.col("_scenario").eqNullSafe(F.lit(r["_scenario"])))
+        had = here.join(taken, "component", "left_semi").agg(F.count("*").alias("m"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+        free = running_totals(scratch, here.join(taken, "component", "left_anti"), ["digest", "component"], ["n", "one"])
+        more = free.where((F.col("n_before") + had["n"] < r["n"] * fraction) & (r["m"] - had["m"] - F.col("one_before") > 1))
+        taken = scratch.settle(taken.union(more.select("component")))
+    split = F.when(F.col("_hit"), "validation").otherwise("train")
+    return found.join(taken.withColumn("_hit", F.lit(True)), "component", "left").select(group, "component", split.alias("split"))

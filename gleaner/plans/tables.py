@@ -259,10 +259,6 @@ def smp_smoke(spark, d):
   n AS (SELECT DISTINCT a.g AS a, b.g AS b FROM e a JOIN e b USING (q)), c(a, b) AS (SELECT a, b FROM n UNION SELECT c.a, n.b FROM c JOIN n ON c.b = n.a)
   SELECT a AS "group", min(b) AS component FROM c GROUP BY 1""")
 def spl_group_split(spark, d):
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
     p = table(spark, d, "part")
     rows = p.select(F.expr("p_partkey div 4").alias("group"), F.expr("p_partkey div 12 * 10 + p_size % 4").alias("q"))
     return sd.split_groups(rows, "group", "q")
