@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.llm.common import Scratch
 from gleaner.operators.seeds import wording_fingerprint
 
 
@@ -81,16 +82,31 @@ def generate(templates: DataFrame, options: DataFrame, groups: int, seed: str =
 
 def rotate_patterns(seeds: DataFrame, excluded: DataFrame) -> DataFrame:
     """One seed per group: the pattern whose turn it is (groups in order take P1, P2, P3 in rotation), the next one if its
-    wording is among the excluded, the first in turn if all are. A wording that several groups would choose stays with the first
-    of them; the others keep their pattern and are marked ``reused``."""
+    wording is among the excluded or chosen by an earlier group, the first in turn if all are; then it is marked ``reused``.
+
+    All groups choose anew from the choices of the groups before them until none changes. The first group's choice holds
+    from the first round on, the second's from the second, and so on, so the rounds end with what choosing one by one gives."""
+    scratch = Scratch(seeds.sparkSession)
     w = wording_fingerprint(seeds)
     groups = w.select("template_id", "variable_group_id").distinct()
     place = Window.orderBy("template_id", "variable_group_id")
     groups = groups.withColumn("_k", F.row_number().over(place) - 1)  # a row per group
     old = wording_fingerprint(excluded).select("wording").distinct().withColumn("_old", F.lit(1))
-    r = w.join(groups, ["template_id", "variable_group_id"]).join(old, "wording", "left")
     turn = F.pmod(F.substring("question_pattern_id", 2, 9).cast("int") - 1 - F.col("_k"), F.lit(3))
-    best = r.groupBy("template_id", "variable_group_id", "_k").agg(F.min(F.struct(F.coalesce("_old", F.lit(0)).alias("o"), turn.alias("t"), "seed_id", "question_pattern_id", "wording")).alias("b"))
-    out = best.select("template_id", "variable_group_id", "_k", "b.seed_id", "b.question_pattern_id", "b.wording", (F.col("b.o") == 1).alias("_old"))
-    first = out.groupBy("wording").agg(F.min("_k").alias("_first"))
-    return out.join(first, "wording").select("template_id", "variable_group_id", "seed_id", "question_pattern_id", (F.col("_old") | (F.col("_k") > F.col("_first"))).alias("reused"))
+    rows = w.join(groups, ["template_id", "variable_group_id"]).join(old, "wording", "left")
+    rows = scratch.settle(rows.select("template_id", "variable_group_id", "_k", "seed_id", "question_pattern_id", "wording", F.coalesce("_old", F.lit(0)).alias("_old"), turn.alias("_turn")))
+    last = None
+    while True:
+        r = rows.withColumn("_first", F.lit(None).cast("int"))
+        if last is not None:
+            r = rows.join(last.groupBy("wording").agg(F.min("_k").alias("_first")), "wording", "left")
+        taken = F.when((F.col("_old") == 1) | F.coalesce(F.col("_first") < F.col("_k"), F.lit(False)), 1).otherwise(0)
+        best = r.groupBy("template_id", "variable_group_id", "_k").agg(F.min(F.struct(taken.alias("o"), F.col("_turn").alias("t"), "seed_id", "question_pattern_id", "wording")).alias("b"))
+        out = scratch.settle(best.select("template_id", "variable_group_id", "_k", "b.seed_id", "b.question_pattern_id", "b.wording", (F.col("b.o") == 1).alias("reused")))
+        if last is not None:
+            now = ["_k", "seed_id", "reused"]
+            if not out.select(now).exceptAll(last.select(now)).head(1):
+                break
+            scratch.drop(last)
+        last = out
+    return out.select("template_id", "variable_group_id", "seed_id", "question_pattern_id", "reused")
