@@ -9,8 +9,8 @@ all others are induced from them. The queues of the induction are monotone prior
 bucket per symbol, in symbol order, which carry tuples of a suffix and its common prefix with the one before, in step
 through whole batches of buckets (a batch ends before the first bucket that still waits for an entry of the batch itself).
 Recursion hands up the order and the common prefixes of the LMS suffixes, and induction extends both to all suffixes. The
-queues and the text lie in memory-mapped scratch files as soon as a shard exceeds ``memory`` bytes, so a shard may be far
-larger than memory. Scratch files belong to one task, like Spark's own spills, and go with it.
+text, queues and output lie in memory-mapped scratch files once they exceed ``memory`` bytes. Bodies, types, names, flags and
+range minima stay in memory, so a shard must fit there; shards are gathered to CHUNK bytes. Scratch files belong to one task, like Spark's own spills, and go with it.
 
 Defined results: a null text is empty; null doc_ids take part; rows that share doc_id, or are equal, are different
 places, so equal rows of WIDTH bytes remove each other; overlaps count; an empty table gives an empty result.
