@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import Scratch
+from gleaner.settled import Scratch
 from gleaner.operators.seeds import wording_fingerprint
 
 

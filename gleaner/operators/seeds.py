@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import canonical_json, collapse
-from gleaner.llm.common import components, running_totals, Scratch
 from gleaner.operators.ordering import dense_index
+from gleaner.settled import Scratch, components, running_totals
 
 #: Fields of a seed that say how it is worded, not what it asks.
 WORDING = ("seed_id", "variable_group_id", "question_pattern_id", "user_turns")

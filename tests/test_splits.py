@@ -6,10 +6,10 @@ from gleaner.operators import seeds as sd
 
 
 def test_a_chain_of_groups_is_one_component(spark):
-    rows = [(i, i + k) for i in range(120) for k in (0, 1)] + [(500, 900), (501, 900), (700, 901)]
+    rows = [(i, i + k) for i in range(320) for k in (0, 1)] + [(500, 900), (501, 900), (700, 901)]
     df = spark.createDataFrame(rows, "g long, q long")
     got = {r["g"]: r["component"] for r in sd.split_groups(df, "g", "q").collect()}
-    assert got == {**{i: 0 for i in range(120)}, 500: 500, 501: 500, 700: 700}
+    assert got == {**{i: 0 for i in range(320)}, 500: 500, 501: 500, 700: 700}
 
 
 def test_validation_is_what_the_sequential_rule_takes(spark):
