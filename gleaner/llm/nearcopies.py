@@ -1,12 +1,12 @@
-"""Near-duplicates by the Jaccard similarity of word shingles.
+"""SimHash near-dedup at a wide radius: texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 at least.
 
-Two texts are linked if the sets of their 5-word shingles (``simhash.shingle_hashes``) have a Jaccard similarity of 0.8 at
-least. Texts with equal sets are one node. Candidates share one of BANDS keys of ROWS minimum hashes each: a pair at 0.8
-shares none with a probability of 3e-6, less above. Fingerprints of 64 bits would have to be compared up to some 16 bits
-apart for that, where their bands no longer tell texts apart.
+Texts with equal sets are one node. At a similarity of 0.8 the fingerprints of two sets differ in some 10 of 64 bits, in at
+most RADIUS with all but a chance of 1e-6; bands of a fingerprint can't be narrow enough for that and still tell texts
+apart. So candidates come from BANDS keys of ROWS minimum hashes each (a pair at 0.8 shares none with a probability of
+3e-6, less above), inside a bucket the fingerprints are compared bit-sliced as in ``simhash``, and what lies within
+RADIUS is compared exactly.
 
-Buckets with the same members are one. A bucket's sets are compared exactly: a search from node to node along verified
-links gives a spanning forest, so a bucket of copies costs little more than one pass. A bucket larger than BLOCK is dealt
+Buckets with the same members are one. A bucket gives a spanning forest of its links. A bucket larger than BLOCK is dealt
 out as pairs of blocks, as in ``simhash``. No bucket is capped.
 
 Defined results: texts of fewer than five words are one shingle; null, empty and blank texts have the empty set and are
@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import components, lean, partitions, tune, Scratch
-from gleaner.llm.simhash import shingle_hashes, survivors
+from gleaner.llm.simhash import fingerprint, hits, shingle_hashes, survivors
 
-SHINGLE, NUMERATOR, DENOMINATOR, BANDS, ROWS, BLOCK, SLICE = 5, 4, 5, 32, 5, 1024, 2048
+SHINGLE, NUMERATOR, DENOMINATOR, RADIUS, BANDS, ROWS, BLOCK, SLICE = 5, 4, 5, 28, 32, 5, 1024, 2048
 _DRAW = np.random.default_rng(5)
 _FLIP, _SCALE = (_DRAW.integers(0, 1 << 64, (BANDS * ROWS, 1), dtype=np.uint64) for _ in range(2))
 _SCALE |= np.uint64(1)
@@ -48,30 +48,29 @@ def band_keys(units: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(rows[b].tobytes(), b) for b in range(BANDS)], np.uint64)
 
 
-def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Spanning edges, as index pairs, of the graph of all pairs with a similarity of NUMERATOR / DENOMINATOR at least."""
+def forest(sets: list[np.ndarray], radius: int = RADIUS) -> list[tuple[int, int]]:
+    """Spanning edges, as index pairs, of the graph of all pairs whose fingerprints lie within the radius and whose
+    similarity is NUMERATOR / DENOMINATOR at least."""
     size = np.array([len(s) for s in sets])
     flat, out = np.unique(np.concatenate(sets), return_inverse=True)[1].ravel(), []
     start = np.concatenate(([0], np.cumsum(size)))
     mark = np.zeros(int(flat.max()) + 1 if len(flat) else 1, bool)
-    left = np.flatnonzero(size)  # not reached yet; the empty set is one node and has no copies
-    while len(left) > 1:
-        todo, left = [int(left[0])], left[1:]
-        while todo and len(left):
-            i = todo.pop()
-            near = left[(DENOMINATOR * np.minimum(size[left], size[i]) >= NUMERATOR * np.maximum(size[left], size[i]))]
-            if not len(near):
-                continue
-            mine = flat[start[i] : start[i + 1]]
-            mark[mine] = True
-            ends = np.cumsum(size[near])
-            at = np.repeat(start[near] - ends + size[near], size[near]) + np.arange(ends[-1])
-            both = np.add.reduceat(mark[flat[at]], ends - size[near], dtype=np.int64)
-            mark[mine] = False
-            hit = near[DENOMINATOR * both >= NUMERATOR * (size[near] + size[i] - both)]
-            out += [(i, int(j)) for j in hit]
-            todo += hit.tolist()
-            left = np.setdiff1d(left, hit, assume_unique=True)
+    label = np.arange(len(sets))
+    for i, j in hits(np.array([fingerprint(s) for s in sets], np.uint64), radius):
+        near = j[(label[j] != label[i]) & (size[j] > 0)]  # the empty set is one node and has no copies
+        near = near[DENOMINATOR * np.minimum(size[near], size[i]) >= NUMERATOR * np.maximum(size[near], size[i])]
+        if not size[i] or not len(near):
+            continue
+        mine = flat[start[i] : start[i + 1]]
+        mark[mine] = True
+        ends = np.cumsum(size[near])
+        at = np.repeat(start[near] - ends + size[near], size[near]) + np.arange(ends[-1])
+        both = np.add.reduceat(mark[flat[at]], ends - size[near], dtype=np.int64)
+        mark[mine] = False
+        for k in near[DENOMINATOR * both >= NUMERATOR * (size[near] + size[i] - both)].tolist():
+            if label[k] != label[i]:
+                out.append((i, k))
+                label[label == label[k]] = label[i]
     return out
 
 

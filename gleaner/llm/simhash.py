@@ -2,7 +2,8 @@
 
 Fingerprints: a document's 3-word shingles vote on 64 bits with their XXH64. Each distinct fingerprint is one node,
 however many documents share it. Fingerprints at most RADIUS bits apart agree in all but RADIUS of the BANDS bands, so
-every link lies in a bucket of some choice of BANDS - RADIUS bands. Inside a bucket the fingerprints are stored
+every link lies in a bucket of some choice of BANDS - RADIUS bands: of 40 bits and more, so that buckets stay small where
+fingerprints are many. Inside a bucket the fingerprints are stored
 vertically, one bit plane per fingerprint bit; 64 distances at a time are counted by carry-save adders over the planes,
 and a block is abandoned as soon as every lane is over the radius. A bucket gives its spanning forest, not its pairs.
 A bucket larger than BLOCK is dealt out as pairs of blocks to separate tasks, so no bucket is capped and none is one
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import components, documents, lean, partitions, tune, Scratch
 
-SHINGLE, RADIUS, BANDS, BLOCK, SEED = 3, 2, 3, 8192, 42
+SHINGLE, RADIUS, BANDS, BLOCK, SEED = 3, 2, 6, 8192, 42
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -45,9 +46,9 @@ def shingle_hashes(text: str | None, k: int = SHINGLE) -> list[int]:
     return [digest(joined[a:b], SEED) for a, b in zip(starts, ends[k - 1 :], strict=True)]
 
 
-def fingerprint(hashes: list[int]) -> int:
+def fingerprint(hashes: list[int] | np.ndarray) -> int:
     """A bit is 1 if it is set in over half of the hashes."""
-    if not hashes:
+    if not len(hashes):
         return 0
     h = np.array(hashes, dtype="<u8")
     votes = np.zeros(64, np.int64)
@@ -77,40 +78,46 @@ def bit_planes(fps: np.ndarray) -> np.ndarray:
 
 
 def hits(fps: np.ndarray, radius: int = RADIUS):
-    """For each fingerprint i that has any: (i, positions above i at most radius (under 4) bits away), by bit-sliced
-    counting. What is held at a time is bounded by a batch of queries, however many links there are."""
+    """For each fingerprint i that has any: (i, positions above i at most radius bits away), by bit-sliced counting. What is
+    held at a time is bounded by a batch of queries, however many links there are."""
     planes = bit_planes(fps)
     words = planes.shape[1]
     valid = np.zeros(words * 64, np.uint8)
     valid[: len(fps)] = 1
     valid = np.packbits(valid, bitorder="little").view("<u8")
     step = max(1, (1 << 15) // words)
+    size = max(1, radius.bit_length())
+
+    def within(count, over):
+        """Lanes whose counters hold at most the radius, compared from the highest digit down."""
+        above, equal = over.copy(), ~over
+        for k in reversed(range(size)):
+            if radius >> k & 1:
+                equal &= count[k]
+            else:
+                above |= equal & count[k]
+                equal &= ~count[k]
+        return ~above
+
     for at in range(0, len(fps), step):
         q = fps[at : at + step]
-        # One set of counters (ones, twos, over) per query and block of 64 lanes; blocks below the queries are done.
+        # One set of counters per query and block of 64 lanes; blocks below the queries are done.
         low = at // 64
         row, block = (x.ravel() for x in np.meshgrid(np.arange(len(q)), np.arange(low, words), indexing="ij"))
-        ones, twos, over = (np.zeros(len(row), np.uint64) for _ in range(3))
+        count, over = [np.zeros(len(row), np.uint64) for _ in range(size)], np.zeros(len(row), np.uint64)
         for b in range(64):
             flip = np.where((q >> np.uint64(b)) & np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))
-            differ = planes[b][block] ^ flip[row]
-            carry = ones & differ
-            ones ^= differ
-            over |= twos & carry  # a fourth difference
-            twos ^= carry
-            if radius == 2:
-                over |= twos & ones
-            elif radius == 1:
-                over |= twos
-            elif radius == 0:
-                over |= twos | ones
-            if b % 4 == 3:
-                live = (valid[block] & ~over) != 0
+            carry = planes[b][block] ^ flip[row]
+            for c in count:  # carry-save: each digit takes the carry of the one below
+                carry, c[:] = c & carry, c ^ carry
+            over |= carry
+            if b % 4 == 3 and b >= radius:
+                live = (valid[block] & within(count, over)) != 0
                 if not live.all():  # abandoned: every lane of the block is over the radius
-                    row, block, ones, twos, over = (x[live] for x in (row, block, ones, twos, over))
+                    row, block, over, *count = (x[live] for x in (row, block, over, *count))
                     if not len(row):
                         break
-        good = valid[block] & ~over
+        good = valid[block] & within(count, over)
         cut = np.searchsorted(row, np.arange(len(q) + 1))
         for i in range(len(q)):
             mine = slice(cut[i], cut[i + 1])
@@ -145,9 +152,11 @@ def link_forest(scratch: Scratch, nodes: DataFrame, radius: int = RADIUS, bands:
             key = F.shiftleft(key, w).bitwiseOR(p)
         keys.append(F.struct(F.lit(t).alias("t"), key.alias("key")))
     rows = nodes.select("fp", F.explode(F.array(*keys)).alias("b")).select("fp", "b.t", "b.key")
-    full = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    full = scratch.settle(full)
+    # Buckets with the same members are one.
+    full = rows.groupBy("t", "key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("fp").cast("decimal(38,0)")).alias("members")).where("n > 1")
+    full = scratch.settle(full.groupBy("n", "members").agg(F.min(F.struct("t", "key")).alias("b")).select("n", "b.t", "b.key"))
     rows = scratch.settle(rows.join(full, ["t", "key"]))
+    scratch.drop(full)
     # A bucket of g blocks is g * (g + 1) / 2 pairs of blocks; a fingerprint goes to the g pairs its block is in.
     g = F.ceil(F.col("n") / F.lit(block)).cast("int")
     rows = rows.withColumn("g", g).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("g")).cast("int"))

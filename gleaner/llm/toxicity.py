@@ -6,8 +6,8 @@ little. It is divided by the norms of its arguments; a word's norm is that of a
 all differ. Before words are formed, punctuation inside them is dropped and runs of three or more single characters are
 joined, so spaced-out and dotted spellings are one word with its gaps.
 
-Training: labels belong to documents, so every sentence of a document carries its label, and a sentence counts as
-its most telling word. Landmarks are the words of the bounded training sample that separate the labels best, one half
+Training: labels belong to documents, and an insult is inside one word, whatever is inserted between its letters; so the
+labelled instances are words, not whole sentences: each word of a document carries the document's label. Landmarks are the words of the bounded training sample that separate the labels best, one half
 for each side. Words are mapped by K(x, Z) K(Z, Z)^(-1/2); a linear SVM is fitted on clean sentences' words and the
 witnesses of toxic documents, which are chosen anew in each round (multiple-instance learning). Because the decision
 function is a sum over subsequences, the landmarks fold into one hashed weight table, and scoring costs a few
@@ -354,8 +354,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
                 [pa.array([model.table.tobytes()]), pa.array([model.bias]), pa.array([model.curve.tolist()])], names=["t", "b", "c"]
             )
 
-    # The sample is bounded, so one task may hold it.
-    got = rows.coalesce(1).mapInArrow(lean(learn), "t binary, b double, c array<double>").collect()
+    # The sample is bounded, so one task may hold it; the shuffle before it keeps scan and join in tasks of their own.
+    got = rows.repartition(1).mapInArrow(lean(learn), "t binary, b double, c array<double>").collect()
     return Model(np.frombuffer(got[0]["t"], np.float32), got[0]["b"], got[0]["c"]) if got else None
 
 
