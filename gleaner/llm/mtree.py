@@ -8,11 +8,15 @@ parent's centre. A query goes through a tree best-first: pages wait in a heap by
 stored parent distance rules out by the triangle inequality is dropped without computing a distance, and the search
 ends when the best waiting page can't reach the k-th score. Leaf entries are scored in whole numbers, so results and ties are exact.
 
-Every block of data meets every block of queries: a stated query set against all rows. Only k rows a query leave a tree.
+Every block of data meets every query: a stated query set against all rows. A block's rows come first in its task, its
+tree is built once, and the queries stream past it; only past QUERIES queries is a block dealt out again. Before that each
+query is scored against FLOOR rows chosen by hash, the same for all: its k-th best score there is a floor below which no
+candidate counts, so whole pages and blocks are passed over, and only what can still be among the k best leaves a tree.
 
 Defined results: vectors that are null, or hold a null, a NaN or an infinity, take no part; vectors of other lengths
 than the query's aren't comparable and are searched apart; a null id takes no part; rows that share an id are separate
-candidates, none of which is the query itself; equal scores go to the smaller id; an empty table gives an empty result.
+candidates, and no row of the query's own id is one of its candidates; rows that ask with the same id and vector are
+answered once each; equal scores go to the smaller id; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,13 +24,13 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import Scratch, documents, tune
+from gleaner.llm.common import Scratch, documents, lean, partitions, tune
 
-K, SCALE, EVERY, PAGE, BLOCK, QUERIES = 20, 64, 20, 1024, 16384, 1024
+K, SCALE, EVERY, PAGE, BLOCK, LEAST, QUERIES, FLOOR = 20, 64, 20, 512, 32768, 4096, 1 << 18, 2048
 SLACK = 1e-7
 
 
@@ -98,18 +102,18 @@ class MTree:
             # Triangle inequality with the stored parent distances, before anything is computed.
             near = np.abs(away - node.parent)
             if node.children is None:
-                alive = reach(near) >= worst
+                alive = (reach(near) >= worst) & (node.ids != own)
                 whole = alive.all()
                 scores = (node.vectors if whole else node.vectors[alive]) @ exact
                 ids = node.ids if whole else node.ids[alive]
                 self.computed += len(scores)
-                if len(best) < k and len(scores) > k + 1:  # no more than the page's k + 1 best can enter
-                    worst_here = np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
+                if len(best) < k and len(scores) > k:  # no more than the page's k best, and their equals, can enter
+                    worst_here = np.partition(scores, len(scores) - k)[len(scores) - k]
                     enter = np.flatnonzero(scores >= max(worst, worst_here))
                 else:
                     enter = np.flatnonzero(scores >= worst)
                 for s, i in zip(scores[enter].tolist(), ids[enter].tolist(), strict=True):
-                    if i == own or s < worst:
+                    if s < worst:
                         continue
                     if len(best) < k:
                         heapq.heappush(best, (s, -i))
@@ -139,31 +143,103 @@ def scaled(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     return rows.withColumn("dim", F.size("v")).withColumn("norm", F.aggregate("v", F.lit(0).cast("long"), lambda a, c: a + c * c))
 
 
-def search(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE) -> DataFrame:
+def matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """The rows of a list column of one length as whole numbers."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, dim)
+
+
+def floors(asks: DataFrame, rows: DataFrame, k: int, sample: int = FLOOR) -> DataFrame:
+    """Adds ``floor`` to the asking rows: the k-th best score among at most ``sample`` rows, the same for every query; null
+    where those have fewer than k other rows of the query's length."""
+    held = rows.orderBy(F.xxhash64("vec_id", "v"), "vec_id").select("vec_id", "v", "dim").limit(sample).collect()  # a bounded number of rows
+    by: dict = {}
+    for r in held:
+        by.setdefault(r["dim"], []).append((r["vec_id"], r["v"]))
+    known = asks.sparkSession.sparkContext.broadcast({d: (np.array([i for i, _ in x]), np.array([v for _, v in x], np.float64).reshape(len(x), d)) for d, x in by.items()})
+
+    def each(batches):
+        for b in batches:
+            dims, out = b.column(b.schema.get_field_index("dim")).to_numpy(), [None] * b.num_rows
+            for d in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == d)
+                ids, x = known.value.get(d, (np.zeros(0, np.int64), np.zeros((0, d))))
+                if len(ids) < k:
+                    continue
+                part = b.take(pa.array(at))
+                # Below 2^53 doubles are exact; beyond, the last digits are given away.
+                scores = matrix(part.column(b.schema.get_field_index("v")), d).astype(np.float64) @ x.T
+                scores[ids[None, :] == part.column(b.schema.get_field_index("vec_id")).to_numpy()[:, None]] = -np.inf
+                least = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
+                for r, s in zip(at.tolist(), least.tolist(), strict=True):
+                    out[r] = None if s == -np.inf else int(s - (0 if abs(s) < 1 << 52 else abs(s) * 1e-12))
+            yield b.append_column("floor", pa.array(out, pa.int64()))
+
+    return asks.mapInArrow(each, "vec_id long, v array<long>, dim int, times long, floor long")
+
+
+def search(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE, block: int = BLOCK, queries: int = QUERIES, least: int = LEAST) -> DataFrame:
     """query_id, rank, vec_id, score for every vector whose id is divisible by ``every``."""
     spark = tune(vectors.sparkSession)
     scratch = Scratch(spark)
     rows = scratch.settle(scaled(vectors, scale))
-    stats = rows.agg(F.count("*").alias("n"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("q"), F.max("norm").alias("top")).first()
-    blocks, decks = max(1, -(-stats["n"] // BLOCK)), max(1, -(-stats["q"] // QUERIES))
+    # A vector that asks several times under one id is searched once and answered each time.
+    asks = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id", "v", "dim").agg(F.count("*").alias("times"))
+    asks = scratch.settle(floors(asks, rows, k))
+    stats, q = rows.agg(F.count("*").alias("n"), F.max("norm").alias("top")).first(), asks.count()
+    # Blocks of a bounded size, and enough of them for all tasks where rows are few.
+    blocks = max(1, -(-stats["n"] // block), min(partitions(spark), stats["n"] // least))
+    decks = max(1, -(-q // queries))
     top = float(stats["top"] or 0)
-    # Even blocks: hashed on id and content; a vector that many rows share is spread like any other.
-    data = rows.select(F.lit(False).alias("asks"), "vec_id", "v", "dim", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(decks - 1))).alias("deck"))
-    asks = rows.where(F.col("vec_id") % every == 0).select(F.lit(True).alias("asks"), "vec_id", "v", "dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(decks)).cast("int").alias("deck"))
+    # Even blocks: hashed on id and content; a vector that many rows share is spread like any other, equal rows in turn.
+    place = F.pmod(F.xxhash64("vec_id", "v", F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
+    none = F.lit(None).cast("long")
+    data = rows.select(place.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(decks - 1))).alias("deck"), "dim", F.lit(False).alias("asks"), "vec_id", "v", none.alias("floor"))
+    asking = asks.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(decks)).cast("int").alias("deck"), "dim", F.lit(True).alias("asks"), "vec_id", "v", "floor")
+    name = ["block", "deck", "dim"]
+    # In a task the rows of a block come before those that ask.
+    dealt = data.unionByName(asking).repartition(max(partitions(spark), 1), *name).sortWithinPartitions(*name, "asks")
 
-    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        held, asked = pdf[~pdf["asks"]], pdf[pdf["asks"]]
-        out = []
-        if len(held) and len(asked):
-            tree = MTree(np.array(held["v"].tolist(), np.int64), held["vec_id"].to_numpy(), top)
-            for i, q in zip(asked["vec_id"].to_numpy(), np.array(asked["v"].tolist(), np.int64), strict=True):
-                out += [(int(i), other, s) for s, other in tree.search(q, int(i), k)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+    def answer(batches):
+        last, held, tree = None, [], None
+        for b in batches:
+            keys = [tuple(x) for x in zip(*(b.column(c).to_pylist() for c in name), strict=True)]
+            cut = [k for k in range(1, len(keys)) if keys[k] != keys[k - 1]]
+            out: list[tuple] = []
+            for lo, hi in zip([0, *cut], [*cut, len(keys)], strict=True):
+                if lo == hi:
+                    continue
+                if keys[lo] != last:
+                    last, held, tree = keys[lo], [], None
+                part = b.slice(lo, hi - lo)
+                dim, asked = last[2], part.column(3).to_numpy(zero_copy_only=False).astype(bool)
+                own = part.filter(pa.array(~asked))
+                if own.num_rows:
+                    held.append((matrix(own.column(5), dim), own.column(4).to_numpy()))
+                asking = part.filter(pa.array(asked))
+                if not asking.num_rows:
+                    continue
+                if tree is None and held:
+                    tree = MTree(np.concatenate([x for x, _ in held]), np.concatenate([i for _, i in held]), top)
+                    held = []
+                if tree is None:
+                    continue
+                for i, q, f in zip(asking.column(4).to_numpy(), matrix(asking.column(5), dim), asking.column(6).to_pylist(), strict=True):
+                    found = tree.search(q, int(i), k, f)
+                    if found:
+                        out.append((int(i), q.tolist(), [{"vec_id": other, "score": s} for s, other in found]))
+            if out:
+                cols = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.int64())]))), strict=True)], names=["query_id", "v", "found"])
 
-    found = data.unionByName(asks).groupBy("deck", "block", "dim").applyInPandas(answer, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    # A query's candidates are k a block: bounded by k times the number of blocks.
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found = dealt.mapInArrow(lean(answer), "query_id long, v array<long>, found array<struct<vec_id:long,score:long>>")
+    each = found.select("query_id", "v", F.explode("found").alias("f")).select("query_id", "v", "f.*")
+    best = Window.partitionBy("query_id", "v").orderBy(F.col("score").desc(), "vec_id")
+    # A query's candidates are k a block at most, and few beyond the floor.
+    ranked = each.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    again = asks.where("times > 1").select(F.col("vec_id").alias("query_id"), "v", "times")
+    if again.head(1):
+        ranked = ranked.join(again, ["query_id", "v"], "left").withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("times", F.lit(1).cast("long")))))
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,9 +251,10 @@ WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda c: floor(64 * c::DOUBLE)) AS x FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
     AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), n AS (SELECT row_number() OVER () AS asked, * FROM v
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x)::BIGINT AS score
-  FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.x) = len(q.x) WHERE q.vec_id % 20 = 0
-), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+  SELECT asked, q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x)::BIGINT AS score
+  FROM n q JOIN v c ON c.vec_id <> q.vec_id AND len(c.x) = len(q.x) WHERE q.vec_id % 20 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
 """
