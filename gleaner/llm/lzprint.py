@@ -5,13 +5,15 @@ set is hashed and sketched by one-permutation minimum hashing with SLOTS slots o
 the next full one). The share of equal slots, corrected for chance, estimates the Jaccard similarity of two phrase sets,
 a cheap stand-in for compression distance.
 
-Neighbours: documents are cut into ranges of doc_id that hold about equal numbers of rows. The first document of each
-range also goes to the range before it (the first of all to the last), so every task finds its documents' successors
-among its own rows and the texts move once. An edited text shares the parse of its unchanged front with the original.
+Neighbours: documents stand in the order of doc_id, then text hash. Running totals of their bytes over that order cut it into
+ranges of about equal bytes; the first document of each range also goes to the range before it (the first of all to the
+last), so every task finds its documents' successors among its own rows and the texts move once. A task streams its
+sorted rows and holds a batch and one document at a time. Rows that are equal in doc_id and text are one row with a count: all but the
+last of them are followed by their like. An edited text shares the parse of its unchanged front with the original.
 
 Defined results: a null text is empty, has no phrase and the fingerprint of the empty set; equal phrase sets have
-likeness 1; a null doc_id sorts first; rows that share doc_id are ordered by text (null first) and then alike; a
-table of one row is its own successor; an empty table gives an empty result; other columns are ignored.
+likeness 1; a null doc_id sorts first; rows that share doc_id are ordered by text (null first, then by hash) and give a
+row each; a table of one row is its own successor; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,10 +22,11 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import Scratch, documents, partitions, tune
+from gleaner.llm.common import Scratch, documents, lean, partitions, running_totals, tune
 
 SLOTS = 128
 
@@ -93,51 +96,82 @@ def print_pair(text: str, following: str) -> tuple[bytes, bytes, str]:
 FIELDS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _walk(rows: pd.DataFrame) -> pd.DataFrame:
-    """One range in order. A ghost is the next range's first document: it ends the walk and is no result."""
-    rows = rows.sort_values(["ghost", "doc_id", "_blank", "text"], kind="stable", na_position="first")
-    texts = [t or "" for t in rows["text"]]
-    ghosts = int(rows["ghost"].sum())
-    own = len(texts) - ghosts
-    out, prints = [], []
-    for k in range(own):
-        a, e, edited = print_pair(texts[k], texts[k + 1])
-        prints.append(a)
-        out.append((len(texts[k]), hashlib.sha256(edited.encode()).hexdigest(), a.hex(), e.hex(), likeness(a, e)))
-    if own:
-        prints.append(print_of(texts[own]))
-    done = pd.DataFrame(out, columns=["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited"])
-    done["near_next"] = [likeness(a, b) for a, b in zip(prints, prints[1:], strict=False)]
-    done["doc_id"] = rows["doc_id"].iloc[:own].where(~rows["_null"].iloc[:own], pd.NA).astype("Int64").to_numpy()
-    return done[[f.split()[0] for f in FIELDS.split(", ")]]
+ORDER = ["doc_id", "solid", "th"]
+LOWEST = -(1 << 63)
+
+
+def _walk(batches):
+    """Ranges in order (part, ghost, doc_id, solid, text, n). A ghost is the next range's first document: it ends the
+    walk of its range and is no result."""
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    names = [f.split()[0] for f in FIELDS.split(", ")]
+    last = None  # the document that waits for its successor's text: part, id, text, n
+    held = None  # the one before it, whose result waits for the successor's fingerprint
+
+    for b in batches:
+        out: list[tuple] = []
+
+        def emit(doc, pair, near_next, times=1):
+            a, e, edited = pair
+            row = (None if doc[1] == LOWEST else doc[1], len(doc[2]), hashlib.sha256(edited.encode()).hexdigest(), a.hex(), e.hex(), likeness(a, e), near_next)
+            out.extend([row] * times)
+
+        for part, ghost, doc_id, text, n in zip(*(b.column(c).to_pylist() for c in ("part", "ghost", "doc_id", "text", "n")), strict=True):
+            doc = (part, doc_id, text or "", n)
+            if last is not None and last[0] == part:
+                pair = print_pair(last[2], doc[2])
+                if held is not None:
+                    emit(*held, likeness(held[1][0], pair[0]))
+                if last[3] > 1:
+                    emit(last, print_pair(last[2], last[2]), 1.0, last[3] - 1)
+                held = (last, pair)
+            if ghost:
+                if held is not None:
+                    emit(*held, likeness(held[1][0], print_of(doc[2])))
+                last = held = None
+            else:
+                last = doc
+        cols = list(zip(*out, strict=True)) or [()] * len(types)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
 
 def fingerprints(docs: DataFrame, ranges_per_partition: int = 4) -> DataFrame:
     """FIELDS of every row of docs."""
     spark = tune(docs.sparkSession)
     scratch = Scratch(spark)
-    lowest = -(1 << 63)
     docs = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("doc_id"), "text",
-        F.col("text").isNotNull().cast("int").alias("_blank"), F.col("doc_id").isNull().alias("_null"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc_id"), F.col("text").isNotNull().cast("int").alias("solid"),
+        F.xxhash64("text").alias("th"), "text",
     )
-    ids = scratch.settle(docs.groupBy("doc_id").agg(F.count("*").alias("n")))
-    n = ranges_per_partition * partitions(spark)
-    cuts = ids.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.1 / n) if ids.head(1) else []
-    cuts = sorted({int(c) for c in cuts})  # a bounded number of ranges
+    size = F.max(F.coalesce(F.octet_length("text"), F.lit(0)) + 64).cast("long").alias("size")
+    keys = scratch.settle(docs.groupBy(*ORDER).agg(F.count("*").alias("n"), size))
+    stats = keys.agg(F.sum("size").alias("size"), F.max("n").alias("n")).first()
+    budget = max(1, -(-(stats["size"] or 0) // (ranges_per_partition * partitions(spark))))
+    placed = running_totals(scratch, keys.drop("n"), ORDER, ["size"])
+    # A row per range: a bounded number.
+    first = sorted(tuple(r["h"]) for r in placed.groupBy(F.expr(f"size_before div {budget}")).agg(F.min(F.struct(*ORDER)).alias("h")).collect())
+    scratch.drop(keys)
+    at = np.array([h[0] for h in first], np.int64)
 
     @F.pandas_udf("int")
-    def range_of(doc_id: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(np.array(cuts, np.int64), doc_id.to_numpy(), side="right").astype(np.int32))
-
-    ids = ids.withColumn("part", range_of("doc_id"))
-    first = ids.groupBy("part").agg(F.min("doc_id").alias("doc_id")).orderBy("part").collect()  # a row per range
-    heads = [(r["doc_id"], first[k - 1]["part"]) for k, r in enumerate(first)] or [(0, 0)]
-    head = spark.createDataFrame(heads, "doc_id long, _before int")
-    rows = docs.withColumn("part", range_of("doc_id")).join(F.broadcast(head), "doc_id", "left")
+    def range_of(doc_id: pd.Series, solid: pd.Series, th: pd.Series) -> pd.Series:
+        low, high = (np.searchsorted(at, doc_id.to_numpy(), side=s) for s in ("left", "right"))
+        out = high - 1
+        for k in np.flatnonzero(high > low):  # ranges that begin with this doc_id
+            key = (doc_id.iat[k], solid.iat[k], th.iat[k])
+            out[k] = low[k] - 1 + sum(h <= key for h in first[low[k] : high[k]])
+        return pd.Series(out.astype(np.int32))
+
+    heads = [(*h, (k - 1) % len(first)) for k, h in enumerate(first)] or [(0, 0, 0, 0)]
+    head = spark.createDataFrame(heads, "doc_id long, solid int, th long, _before int")
+    rows = docs.withColumn("n", F.lit(1).cast("long"))
+    if (stats["n"] or 0) > 1:  # rows that are equal in id and text
+        rows = docs.groupBy(*ORDER).agg(F.first("text").alias("text"), F.count("*").alias("n"))
+    rows = rows.withColumn("part", range_of(*ORDER)).join(F.broadcast(head), ORDER, "left")
     places = F.when(F.col("_before").isNull(), F.array("part")).otherwise(F.array("part", "_before"))
-    rows = rows.select("doc_id", "_blank", "_null", "text", F.posexplode(places).alias("ghost", "part"))
-    return rows.groupBy("part").applyInPandas(_walk, FIELDS)
+    rows = rows.select(*ORDER, "text", "n", F.posexplode(places).alias("ghost", "part"))
+    dealt = rows.repartition(partitions(spark), "part").sortWithinPartitions("part", "ghost", *ORDER)
+    return dealt.mapInArrow(lean(_walk), FIELDS)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
