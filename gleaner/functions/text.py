@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 MISSING = "未提供"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: a lambda's variable is not repeated where it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def canonical_json(text: Column) -> Column:
     """Compact JSON with sorted keys; null where the text is no JSON."""
     return F.to_json(F.try_parse_json(text))
@@ -79,28 +84,45 @@ def resolve_date(text: Column, base: Column) -> Column:
     return F.when(iso != "", full).when((month != "") & (best["d"] <= 31), best["c"])
 
 
-#: Head of a weather report, and where its forecast section begins and ends. Fixed values.
+#: Head of a weather report, where its forecast section begins and ends, one day's line, and what other lines may say. Fixed values.
 HEAD, SECTION, TAIL = r"^您查询的位置是[：:]\s*([^\n]+)", "未来7天预报：", "（如需"
 ROW = r"^(.+?)[:：]\s*([^，,]+)[，,]\s*气温\s*(-?\d+(?:\.\d+)?)\s*[°℃度]*\s*[~～至]\s*(-?\d+(?:\.\d+)?)\s*[°℃度]*\s*$"
+FIELD_PATTERNS = {
+    "hourly_temperature": r"(?:15[:：]00|下午(?:三|3)点|15点).*?(?:温度|气温)",
+    "hourly_rain": r"(?:降雨时间|开始下雨时间|(?:\d{1,2}[:：]\d{2}|\d{1,2}点).*?(?:下雨|降雨))",
+    "minute_rain": r"(?:\d{1,2}[:：]\d{2}|\d{1,2}点\d{1,2}分).*?(?:开始下雨|开始降雨)",
+    "rain_probability": r"(?:降水概率|降雨概率).*?\d+(?:\.\d+)?\s*%",
+    "rain_duration": r"(?:雨|降水).*?持续.*?\d+(?:\.\d+)?\s*(?:小时|分钟)",
+}
+#: Where a text's lines end, as Unicode has it.
+LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+_CUT = "\u0001"
 
 
 def parse_report(text: Column, base: Column) -> Column:
-    """struct(city, forecast[(date, weather, low, high)], error); null if the text is no report. Only the first error in
-    the order of the checks is given, and with it no forecast."""
-    city = F.trim(F.regexp_extract(text, HEAD, 1))
-    body = F.substring_index(F.substring_index(text, SECTION, -1), TAIL, 1)
-    lines = F.filter(F.transform(F.split(body, r"\r\n|\n|\r"), strip_all), lambda x: x != "")
-    rows = F.transform(
-        F.filter(lines, lambda x: F.regexp_like(x, F.lit(ROW))),
-        lambda x: F.struct(
-            resolve_date(F.regexp_extract(x, ROW, 1), base).alias("date"), F.trim(F.regexp_extract(x, ROW, 2)).alias("weather"),
-            F.regexp_extract(x, ROW, 3).cast("double").alias("low"), F.regexp_extract(x, ROW, 4).cast("double").alias("high"),
-        ),
+    """struct(city, forecast[(date, weather, low, high)], error); null if the text is no report. The first faulty line gives the
+    error, and with an error there is no forecast. Each line is matched once. Put it in a column of its own before its
+    fields are used, or each use parses again."""
+    body = F.substring_index(F.substr(text, F.instr(text, SECTION) + F.lit(len(SECTION))), TAIL, 1)
+    lines = F.filter(F.transform(F.split(body, LINE_END), strip_all), lambda x: x != "")
+    fields = F.transform(lines, lambda x: F.split(F.regexp_replace(x, ROW, f"$1{_CUT}$2{_CUT}$3{_CUT}$4"), _CUT))
+    spoken = lambda x: F.regexp_like(x, F.lit("|".join(FIELD_PATTERNS.values())))
+    day = F.transform(fields, lambda p: F.when(F.size(p) == 4, F.struct(
+        resolve_date(p[0], base).alias("date"), strip_all(p[1]).alias("weather"), p[2].try_cast("double").alias("low"), p[3].try_cast("double").alias("high"))).otherwise(
+        F.when(spoken(F.get(p, F.lit(0))), F.struct(F.lit(None).cast("date").alias("date"), F.lit("").alias("weather"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high")))))
+    # A line is a day (low is known), something else that may be said (low is null), or neither (null).
+    fault = lambda r: (
+        F.when(r.isNull(), "invalid_forecast_row").when(r["low"].isNotNull(), F.when(r["date"].isNull(), "invalid_forecast_date").when(r["low"] > r["high"], "invalid_temperature_range"))
     )
-    odd = F.exists(lines, lambda x: ~F.regexp_like(x, F.lit(ROW)) & ~F.regexp_like(x, F.lit("湿度|风|紫外线|降水|气压|能见度|日出|日落")))
-    error = (
-        F.when(~F.contains(text, F.lit(SECTION)), "missing_forecast_section").when(odd, "invalid_forecast_row")
-        .when(F.exists(rows, lambda r: r["date"].isNull()), "invalid_forecast_date").when(F.exists(rows, lambda r: r["low"] > r["high"]), "invalid_temperature_range")
-        .when(F.size(rows) == 0, "empty_forecast").when(F.size(F.array_distinct(F.transform(rows, lambda r: r["date"]))) < F.size(rows), "duplicate_forecast_date")
-    )
-    return F.when(F.regexp_like(text, F.lit(HEAD)), F.struct(city.alias("city"), F.when(error.isNull(), rows).alias("forecast"), error.alias("error")))
+
+    def judged(rows: Column) -> Column:
+        days = F.filter(rows, lambda r: r["low"].isNotNull())
+        error = F.coalesce(
+            F.when(~F.contains(text, F.lit(SECTION)), "missing_forecast_section"),
+            F.get(F.array_compact(F.transform(rows, fault)), F.lit(0)),
+            F.when(F.size(days) == 0, "empty_forecast"),
+            F.when(F.size(F.array_distinct(F.transform(days, lambda r: r["date"]))) < F.size(days), "duplicate_forecast_date"),
+        )
+        return let(error, lambda e: F.struct(strip_all(F.regexp_extract(text, HEAD, 1)).alias("city"), F.when(e.isNull(), days).alias("forecast"), e.alias("error")))
+
+    return F.when(F.regexp_like(text, F.lit(HEAD)), let(day, judged))

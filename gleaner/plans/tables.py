@@ -370,17 +370,48 @@ def fn_resolve_date(spark, d):
     return table(spark, d, "orders").select("o_orderkey", day.alias("day"), tx.resolve_date(text, base).alias("resolved"))
 
 
-@query("""SELECT o_orderkey, c_name AS city, CASE WHEN o_orderkey % 5 = 0 THEN 'invalid_temperature_range' WHEN o_orderkey % 5 = 1 THEN 'invalid_forecast_row' WHEN o_orderkey % 5 = 2 THEN 'duplicate_forecast_date' END AS error,
-  CASE WHEN o_orderkey % 5 < 3 THEN NULL ELSE o_orderdate::DATE END AS first_day, CASE WHEN o_orderkey % 5 < 3 THEN NULL ELSE 2 END AS days FROM orders JOIN customer ON c_custkey = o_custkey""")
+#: What is written after a report's head, by the order's number modulo their count; {a}, {b} are days, {m} a day without its year.
+REPORTS = [
+    "未来7天预报：\n{a}：晴，气温 9~3°\n{b}晴 3\n（如需更多",
+    "未来7天预报：\n{a}晴 3\n{b}：小雨，气温 1至2度",
+    "未来7天预报：\n{a}：晴，气温 -3~9.5℃\n{a}：小雨，气温 1至2度\n（如需更多",
+    "未来7天预报：\n{a}：晴，气温 -3~9.5℃\n\n 15:00气温为20度\n{b}: 小雨, 气温 1至2度\n（如需更多\n{a}晴",
+    "前三天：\n{a}：晴，气温 1~2",
+    "未来7天预报：\n降水概率30%\n（如需",
+    "未来7天预报：\n{m}：多云，气温 2～8\n{b}：阴，气温 0~0\n",
+    "未来7天预报：\n某天：晴，气温 1~2\n{b}：晴，气温 5~1",
+    "未来7天预报：\n湿度五十\n未来7天预报：\n{a}：晴，气温 1~2",
+]
+
+
+def _report(sql: bool, head: str, a: str, b: str, m: str, n: str):
+    """The report's text as SQL of either engine, from the same patterns."""
+    parts = " ".join(f"WHEN {k} THEN '" + t.replace("\n", "' || chr(10) || '") + "'" for k, t in enumerate(REPORTS))
+    return f"({head} || chr(10) || replace(replace(replace(CASE {n} % {len(REPORTS)} {parts} END, '{{a}}', {a}), '{{b}}', {b}), '{{m}}', {m}))"
+
+
+_ROW_SQL = tx.ROW.replace("'", "''")
+_FIELDS_SQL = "|".join(tx.FIELD_PATTERNS.values())
+
+
+@query(f"""WITH t AS (SELECT o_orderkey, o_orderdate::DATE AS d, {_report(True, "'您查询的位置是：' || c_name", "strftime(o_orderdate::DATE, '%Y-%m-%d')", "strftime(o_orderdate::DATE + 1, '%Y-%m-%d')",
+    "(month(o_orderdate::DATE + 3)::VARCHAR || '月' || day(o_orderdate::DATE + 3)::VARCHAR || '日')", "o_orderkey")} AS x FROM orders JOIN customer ON c_custkey = o_custkey),
+  b AS (SELECT *, string_split(substr(x, instr(x, '未来7天预报：') + 8), '（如需')[1] AS body FROM t),
+  l AS (SELECT o_orderkey, d, unnest(string_split(body, chr(10))) AS line, unnest(range(len(string_split(body, chr(10))))) AS k FROM b WHERE contains(x, '未来7天预报：')),
+  p AS (SELECT o_orderkey, k, d, trim(line) AS line, regexp_extract(trim(line), '{_ROW_SQL}', 1) AS day, try_cast(regexp_extract(trim(line), '{_ROW_SQL}', 3) AS DOUBLE) AS low, try_cast(regexp_extract(trim(line), '{_ROW_SQL}', 4) AS DOUBLE) AS high FROM l WHERE trim(line) <> ''),
+  r AS (SELECT *, coalesce(try_cast(regexp_extract(day, '\\d+-\\d+-\\d+') AS DATE),
+      (SELECT arg_min(c, abs(c - d)) FROM (SELECT try_cast((year(d) + y)::VARCHAR || '-' || regexp_extract(day, '(\\d+)月(\\d+)日', 1) || '-' || regexp_extract(day, '(\\d+)月(\\d+)日', 2) AS DATE) AS c FROM (VALUES (-1), (0), (1)) v(y)))) AS date FROM p),
+  e AS (SELECT *, CASE WHEN low IS NULL THEN CASE WHEN NOT regexp_matches(line, '{_FIELDS_SQL}') THEN 'invalid_forecast_row' END WHEN date IS NULL THEN 'invalid_forecast_date' WHEN low > high THEN 'invalid_temperature_range' END AS fault FROM r),
+  g AS (SELECT o_orderkey, arg_min(fault, k) FILTER (WHERE fault IS NOT NULL) AS fault, count(date) AS days, count(DISTINCT date) AS different, arg_min(date, k) FILTER (WHERE date IS NOT NULL) AS first_day, max(high) AS high FROM e GROUP BY 1),
+  z AS (SELECT t.o_orderkey, regexp_extract(x, '^您查询的位置是[：:]\\s*([^\\n]+)', 1) AS city, CASE WHEN NOT contains(x, '未来7天预报：') THEN 'missing_forecast_section' WHEN fault IS NOT NULL THEN fault WHEN coalesce(days, 0) = 0 THEN 'empty_forecast'
+    WHEN different < days THEN 'duplicate_forecast_date' END AS error, first_day, days, high FROM t LEFT JOIN g USING (o_orderkey))
+  SELECT o_orderkey, city, error, CASE WHEN error IS NULL THEN first_day END AS first_day, CASE WHEN error IS NULL THEN days END AS days, CASE WHEN error IS NULL THEN high END AS highest FROM z""")
 def chk_parse_report(spark, d):
-    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
-    day, n = F.col("o_orderdate").cast("date"), F.col("o_orderkey") % 5
-    nxt = F.when(n == 2, day).otherwise(F.date_add(day, 1))
-    text = F.concat(
-        F.lit("您查询的位置是："), F.col("c_name"), F.lit("\n未来7天预报：\n"), day.cast("string"), F.when(n == 0, "：晴，气温 9~3°").when(n == 1, "晴 3").otherwise("：晴，气温 -3~9.5℃"), F.lit("\n"),
-        nxt.cast("string"), F.lit("：小雨，气温 1至2度\n（如需更多"))
-    r = tx.parse_report(text, day)
-    return o.select("o_orderkey", r["city"].alias("city"), r["error"].alias("error"), F.get(r["forecast"], F.lit(0))["date"].alias("first_day"), F.when(r["forecast"].isNotNull(), F.size(r["forecast"])).alias("days"))
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey")).withColumn("_d", F.col("o_orderdate").cast("date"))
+    text = _report(False, "'您查询的位置是：' || c_name", "cast(_d AS string)", "cast(date_add(_d, 1) AS string)", "(cast(month(date_add(_d, 3)) AS string) || '月' || cast(day(date_add(_d, 3)) AS string) || '日')", "o_orderkey")
+    r = o.select("o_orderkey", "_d", F.expr(text).alias("x")).select("o_orderkey", tx.parse_report(F.col("x"), F.col("_d")).alias("r"))
+    days = F.col("r.forecast")
+    return r.select("o_orderkey", "r.city", "r.error", F.get(days, F.lit(0))["date"].alias("first_day"), F.when(days.isNotNull(), F.size(days).cast("long")).alias("days"), F.array_max(F.transform(days, lambda x: x["high"])).alias("highest"))
 
 
 @query("""WITH s AS (SELECT conv_id AS sample_id, count(*) AS messages FROM conversations GROUP BY 1) SELECT sample_id, CASE WHEN messages % 2 = 0 THEN 'snapshot' ELSE 'target' END AS provenance FROM s""")
