@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A trace's message: schema of the ``messages`` array.
-MESSAGES = (
-    "array<struct<role:string,content:string,tool_calls:array<struct<id:string,type:string,"
-    "function:struct<name:string,arguments:string>>>,tool_call_id:string>>"
-)
-#: Reason codes in order of precedence inside one message; the smallest (message_index, rank) of a trace wins.
-TRACE_CODES = ["incomplete_trace", "runtime_injected_messages", "missing_initial_system", "invalid_system", "system_hash_mismatch"]
+from gleaner.operators import schemas
+
+#: A message's tool calls, and the schema of the ``messages`` array.
+CALLS = "array<struct<id:string,type:string,function:struct<name:string,arguments:string>>>"
+MESSAGES = f"array<struct<role:string,content:string,tool_calls:{CALLS},tool_call_id:string>>"
+#: What becomes of a sample.
+DISPOSITIONS = ("passed_sample", "failed_sample", "duplicate", "quarantine")
 
 
 def messages_of(traces: DataFrame) -> DataFrame:
@@ -63,56 +63,88 @@ def trace_reasons(messages: DataFrame) -> DataFrame:
     )
 
 
-def validate(traces: DataFrame) -> DataFrame:
-    """sample_id and reason of whole traces (sample_id, messages, context, seed): context rules come first, then the
-    messages in order, then call ids and answers, then the end of the trace and the user turns."""
-    m = messages_of(traces).withColumn("n_calls", F.greatest(F.size("tool_calls"), F.lit(0)))
-    own = trace_reasons(m)
-    calls = calls_of(traces)
-    bad_ids = calls.groupBy("sample_id").agg(
-        (F.sum(F.when(F.coalesce(F.col("call_id"), F.lit("")) == "", 1).otherwise(0)) + F.count("call_id") - F.count_distinct("call_id")).alias("_ids"),
-        F.sum(F.when(F.coalesce(F.col("type"), F.lit("")) != "function", 1).otherwise(0)).alias("_types"),
-    )
-    answers = m.where("role = 'tool'").select("sample_id", F.col("tool_call_id").alias("call_id"), F.col("message_index").alias("_at"))
-    # An answer belongs to a call of an earlier message, and to one only.
-    linked = answers.join(calls.select("sample_id", "call_id", "message_index"), ["sample_id", "call_id"], "left")
-    orphans = linked.where("message_index IS NULL OR message_index >= _at").select("sample_id").union(
-        answers.groupBy("sample_id", "call_id").count().where("count > 1").select("sample_id")
-    ).distinct().withColumn("_orphan", F.lit(True))
-    turns = m.where("role = 'user'").groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("message_index", "content"))).alias("_t"))
-    all_ = traces.join(own, "sample_id", "left").join(bad_ids, "sample_id", "left").join(orphans, "sample_id", "left").join(turns, "sample_id", "left")
-    said = F.coalesce(F.transform("_t", lambda t: t["content"]), F.array().cast("array<string>"))
-    first = F.get("messages", F.lit(0))
-    reason = F.coalesce(
-        F.when(~F.coalesce(F.col("context.trace_complete"), F.lit(False)), "incomplete_trace"),
-        F.when(F.size("context.internal_message_indices") > 0, "runtime_injected_messages"),
-        F.when(F.size("messages") <= 0, "missing_initial_system"),
-        F.when(F.col("reason").isin("missing_initial_system", "invalid_system"), F.col("reason")),
-        F.when(F.coalesce(F.col("context.system_prompt_sha256"), F.lit("")).isin("") == F.lit(False), F.when(F.sha2(first["content"], 256) != F.col("context.system_prompt_sha256"), "system_hash_mismatch")),
-        F.col("reason").alias("r"),
-        F.when(F.col("_ids") > 0, "duplicate_or_missing_tool_id"),
-        F.when(F.col("_types") > 0, "invalid_tool_type"),
-        F.when(F.col("_orphan"), "orphan_or_duplicate_tool_response"),
-        F.when(said != F.col("seed.user_turns"), "user_turns_mismatch"),
+def trace_state(messages: Column, context: Column, user_turns: Column, tools: Column, strict: Column) -> Column:
+    """struct(reason, issues) of a whole trace: the first rule that is broken, in the order of the messages and, inside one, of the
+    rules; null for a sound trace. strict: a call that its tools (schemas.TOOLS) can't take is a reason; otherwise it is
+    one of the issues (tool, reason). One pass over the array; no shuffle."""
+    none, texts = F.array().cast(CALLS), F.array().cast("array<string>")
+
+    def checked(m: Column) -> Column:
+        calls = F.coalesce(m["tool_calls"], none)
+        found = F.transform(calls, lambda c: schemas.issue(c["function"]["name"], c["function"]["arguments"], tools))
+        return F.struct(m.alias("m"), calls.alias("calls"), F.transform(calls, lambda c: c["id"]).alias("ids"), found.alias("found"))
+
+    rest = F.transform(F.slice(messages, 2, F.greatest(F.size(messages), F.lit(1))), checked)
+    zero = F.struct(
+        F.lit("system").alias("previous"), F.lit(False).alias("called"), texts.alias("pending"), texts.alias("ids"), F.array().cast("array<struct<tool:string,reason:string>>").alias("issues"), F.lit(None).cast("string").alias("reason"))
+
+    def step(s: Column, x: Column) -> Column:
+        m, role, has = x["m"], F.coalesce(x["m"]["role"], F.lit("")), F.size(x["calls"]) > 0
+
+        def call_reason(c: Column, k: Column) -> Column:
+            known = F.coalesce(c["id"], F.lit("")) == ""
+            again = F.array_contains(s["ids"], c["id"]) | (F.array_position(x["ids"], c["id"]) != k + 1)
+            return F.coalesce(
+                F.when(known | F.coalesce(again, F.lit(False)), "duplicate_or_missing_tool_id"), F.when(~c["type"].eqNullSafe(F.lit("function")), "invalid_tool_type"),
+                F.when(F.try_parse_json(c["function"]["arguments"]).isNull(), "invalid_arguments_json"), F.when(strict, F.get(x["found"], k)))
+
+        reason = (
+            F.when(~role.isin("user", "assistant", "tool"), "invalid_message_role")
+            .when((F.size(s["pending"]) > 0) & (role != "tool"), "missing_tool_response")
+            .when((role == "user") & ~s["previous"].isin("system", "assistant"), "invalid_user_order")
+            .when((role == "assistant") & ~s["previous"].isin("user", "tool"), "invalid_assistant_order")
+            .when(has & (role != "assistant"), "invalid_tool_calls")
+            .when(has, F.get(F.array_compact(F.transform(x["calls"], call_reason)), F.lit(0)))
+            .when(F.coalesce(m["content"], F.lit("")) == "", "empty_message")
+            .when((role == "tool") & ~F.coalesce(F.array_contains(s["pending"], m["tool_call_id"]), F.lit(False)), "orphan_or_duplicate_tool_response")
+        )
+        bad = F.filter(F.transform(x["calls"], lambda c, k: F.struct(c["function"]["name"].alias("tool"), F.get(x["found"], k).alias("reason"))), lambda i: i["reason"].isNotNull())
+        return F.struct(
+            role.alias("previous"), has.alias("called"),
+            F.when(role == "tool", F.array_remove(s["pending"], F.coalesce(m["tool_call_id"], F.lit("")))).otherwise(F.array_union(s["pending"], x["ids"])).alias("pending"),
+            F.concat(s["ids"], x["ids"]).alias("ids"), F.concat(s["issues"], F.when(strict, F.array().cast("array<struct<tool:string,reason:string>>")).otherwise(bad)).alias("issues"),
+            F.coalesce(s["reason"], reason).alias("reason"),
+        )
+
+    first, said = F.get(messages, F.lit(0)), F.transform(F.filter(messages, lambda m: m["role"] == "user"), lambda m: m["content"])
+    before = F.coalesce(
+        F.when(~F.coalesce(context["trace_complete"], F.lit(False)), "incomplete_trace"),
+        F.when(F.size(context["internal_message_indices"]) > 0, "runtime_injected_messages"),
+        F.when(~F.coalesce(first["role"] == "system", F.lit(False)), "missing_initial_system"),
+        F.when(first["content"].isNull(), "invalid_system"),
+        F.when((context["system_prompt_sha256"] != "") & (F.sha2(first["content"], 256) != context["system_prompt_sha256"]), "system_hash_mismatch"),
     )
-    return all_.select("sample_id", reason.alias("reason"))
+
+    def finish(s: Column) -> Column:
+        over = (F.size(s["pending"]) > 0) | (s["previous"] != "assistant") | s["called"]
+        return F.struct(F.coalesce(before, s["reason"], F.when(over, "unfinished_conversation"), F.when(~said.eqNullSafe(user_turns), "user_turns_mismatch")).alias("reason"), s["issues"].alias("issues"))
+
+    empty = F.struct(F.coalesce(before, F.lit("missing_initial_system")).alias("reason"), F.array().cast("array<struct<tool:string,reason:string>>").alias("issues"))
+    return F.coalesce(F.aggregate(rest, zero, step, finish), empty)
+
+
+def validate(traces: DataFrame) -> DataFrame:
+    """sample_id and reason of whole traces (sample_id, messages, context, seed, and tools where calls are to be checked)."""
+    tools = F.col("tools") if "tools" in traces.columns else F.lit(None).cast(schemas.TOOLS)
+    state = trace_state(F.col("messages"), F.col("context"), F.col("seed.user_turns"), tools, F.lit("tools" in traces.columns))
+    return traces.select("sample_id", state["reason"].alias("reason"))
+
+
+def normalized(messages: Column) -> Column:
+    """A trace's messages without the system message: four keys, call ids call_1.. in trace order, answers relinked to them,
+    arguments as canonical JSON."""
+    rest = F.slice(messages, 2, F.greatest(F.size(messages), F.lit(1)))
+    ids = F.flatten(F.transform(rest, lambda m: F.transform(F.coalesce(m["tool_calls"], F.array().cast(CALLS)), lambda c: c["id"])))
+    new = lambda i: F.when(F.array_contains(ids, i), F.concat(F.lit("call_"), F.array_position(ids, i).cast("string")))
+    call = lambda c: F.struct(new(c["id"]).alias("id"), F.lit("function").alias("type"), F.struct(
+        c["function"]["name"].alias("name"), F.coalesce(F.to_json(F.try_parse_json(c["function"]["arguments"])), c["function"]["arguments"]).alias("arguments")).alias("function"))
+    return F.transform(rest, lambda m: F.struct(
+        m["role"].alias("role"), m["content"].alias("content"), F.when(F.size(m["tool_calls"]) > 0, F.transform(m["tool_calls"], call)).alias("tool_calls"), F.when(m["role"] == "tool", new(m["tool_call_id"])).alias("tool_call_id")))
 
 
 def normalize(traces: DataFrame) -> DataFrame:
-    """sample_id and messages without the system message: four keys, call ids call_1.. in trace order, answers relinked
-    to them, arguments as canonical JSON."""
-    calls = calls_of(traces).withColumn("new_id", F.concat(F.lit("call_"), F.col("call_number").cast("string")))
-    per_message = calls.groupBy("sample_id", "message_index").agg(
-        F.sort_array(F.collect_list(F.struct("call_index", F.col("new_id").alias("id"), F.col("name"), F.coalesce(F.to_json(F.try_parse_json("arguments")), F.col("arguments")).alias("arguments")))).alias("_c")
-    )
-    m = messages_of(traces).where("message_index > 0")
-    ids = calls.select("sample_id", F.col("call_id").alias("tool_call_id"), "new_id")
-    m = m.join(per_message, ["sample_id", "message_index"], "left").join(ids, ["sample_id", "tool_call_id"], "left")
-    tool_calls = F.transform("_c", lambda c: F.struct(c["id"].alias("id"), F.lit("function").alias("type"), F.struct(c["name"].alias("name"), c["arguments"].alias("arguments")).alias("function")))
-    row = F.struct("message_index", "role", "content", tool_calls.alias("tool_calls"), F.col("new_id").alias("tool_call_id"))
-    out = m.groupBy("sample_id").agg(F.sort_array(F.collect_list(row)).alias("_m"))
-    clean = F.transform("_m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"), x["tool_calls"].alias("tool_calls"), x["tool_call_id"].alias("tool_call_id")))
-    return out.select("sample_id", clean.alias("messages"))
+    """sample_id and the normalised messages."""
+    return traces.select("sample_id", normalized(F.col("messages")).alias("messages"))
 
 
 def argument_issues(calls: DataFrame, tools: DataFrame) -> DataFrame:
@@ -149,19 +181,20 @@ def argument_issues(calls: DataFrame, tools: DataFrame) -> DataFrame:
 
 
 def disposition(rows: DataFrame) -> DataFrame:
-    """rows (id, digest, reason, failed): review for a reason, fail for a failed score, and of passing rows with equal
-    digests the first by id passes, the others are its duplicates. Adds disposition, duplicate_of and row_index."""
-    route = F.when(F.col("reason").isNotNull(), "review").when(F.col("failed"), "fail").otherwise("pass")
+    """rows (id, digest, reason, failed): quarantine for a reason, failed_sample for a failed score, and of passing rows with
+    equal digests the first by id is the passed_sample, the others are its duplicates. Adds disposition and duplicate_of."""
+    route = F.when(F.col("reason").isNotNull(), "quarantine").when(F.col("failed"), "failed_sample").otherwise("passed_sample")
     r = rows.withColumn("_route", route)
     # The first of each digest is an aggregate and a join, so a digest that many rows share is no window of one task.
-    first = r.where("_route = 'pass'").groupBy("digest").agg(F.min("id").alias("_first"))
+    first = r.where("_route = 'passed_sample'").groupBy("digest").agg(F.min("id").alias("_first"))
     r = r.join(first, "digest", "left")
-    dup = (F.col("_route") == "pass") & (F.col("id") != F.col("_first"))
+    dup = (F.col("_route") == "passed_sample") & (F.col("id") != F.col("_first"))
     return r.select(*rows.columns, F.when(dup, "duplicate").otherwise(F.col("_route")).alias("disposition"), F.when(dup, F.col("_first")).alias("duplicate_of"))
 
 
-def tool_provenance(calls: Column, own_tools: Column) -> Column:
-    return F.when(calls == 0, "no_calls").when(own_tools, "snapshot").otherwise("target")
+def tool_provenance(scenario: Column, saved: Column) -> Column:
+    """Where a sample's tool definitions come from: its own trace, the shared weather contract, or nowhere."""
+    return F.when(saved, "saved_trace").when(scenario == "weather", "reconstructed_contract_aligned_with_latest_rules").otherwise("missing_snapshot")
 
 
 def turns_of(messages: DataFrame) -> DataFrame:

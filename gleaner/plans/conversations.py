@@ -87,10 +87,10 @@ ROUTED = REASONS + """, k AS (
 ), d0 AS (
   SELECT format('conversation:{:06d}', k.sample_id) AS id, digest, nullif(reason, 'missing_initial_system') AS reason, coalesce(quality = 0, false) AS failed
   FROM k JOIN t USING (sample_id) LEFT JOIN labels l ON l.doc_id = k.sample_id
-), d1 AS (SELECT *, CASE WHEN reason IS NOT NULL THEN 'review' WHEN failed THEN 'fail' ELSE 'pass' END AS route FROM d0),
-d2 AS (SELECT *, min(id) FILTER (WHERE route = 'pass') OVER (PARTITION BY digest) AS f FROM d1),
-d AS (SELECT id, digest, reason, failed, CASE WHEN route = 'pass' AND id <> f THEN 'duplicate' ELSE route END AS disposition,
-             CASE WHEN route = 'pass' AND id <> f THEN f END AS duplicate_of FROM d2)"""
+), d1 AS (SELECT *, CASE WHEN reason IS NOT NULL THEN 'quarantine' WHEN failed THEN 'failed_sample' ELSE 'passed_sample' END AS route FROM d0),
+d2 AS (SELECT *, min(id) FILTER (WHERE route = 'passed_sample') OVER (PARTITION BY digest) AS f FROM d1),
+d AS (SELECT id, digest, reason, failed, CASE WHEN route = 'passed_sample' AND id <> f THEN 'duplicate' ELSE route END AS disposition,
+             CASE WHEN route = 'passed_sample' AND id <> f THEN f END AS duplicate_of FROM d2)"""
 
 
 @query(f"WITH {ROUTED} SELECT * FROM d")
@@ -103,9 +103,9 @@ def agg_disposition_counts(spark, d):
     return routed(spark, d).groupBy("disposition").agg(F.count("*").alias("traces"))
 
 
-@query(f"WITH {ROUTED} SELECT id, row_number() OVER (ORDER BY id) - 1 AS row_index FROM d WHERE disposition = 'pass'")
+@query(f"WITH {ROUTED} SELECT id, row_number() OVER (ORDER BY id) - 1 AS row_index FROM d WHERE disposition = 'passed_sample'")
 def win_row_index(spark, d):
-    return dense_index(routed(spark, d).where("disposition = 'pass'").select("id"), "id")
+    return dense_index(routed(spark, d).where("disposition = 'passed_sample'").select("id"), "id")
 
 
 @query(f"""WITH {M} SELECT sample_id, message_index, role, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END)

@@ -83,7 +83,7 @@ def test_strict_argument_types(spark):
 def test_disposition_of_a_batch(spark):
     rows = spark.createDataFrame([("a", "x", None, False), ("b", "x", None, False), ("c", "x", None, True), ("d", "y", "runtime_injected_messages", False), ("e", "x", None, False)], "id string, digest string, reason string, failed boolean")
     got = {r["id"]: (r["disposition"], r["duplicate_of"]) for r in tr.disposition(rows).collect()}
-    assert got == {"a": ("pass", None), "b": ("duplicate", "a"), "c": ("fail", None), "d": ("review", None), "e": ("duplicate", "a")}
+    assert got == {"a": ("passed_sample", None), "b": ("duplicate", "a"), "c": ("failed_sample", None), "d": ("quarantine", None), "e": ("duplicate", "a")}
 
 
 def test_distribution_and_empty_population(spark):
