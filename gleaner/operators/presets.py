@@ -47,22 +47,51 @@ def public_catalog(devices: Column, hidden: Column) -> Column:
 
 
 def expand(presets: DataFrame, variants: int = 8, seed: str = "presets") -> DataFrame:
-    """Variants of presets (preset, devices, locked): devices in a drawn order, states of free controllable ones flipped by a
-    fair draw; variants equal to their original are dropped. Adds derived_from and changed."""
+    """Variants of presets (preset, devices, locked: the ids that rules bind): devices in a drawn order, states of free controllable ones
+    flipped by a fair draw; in every second variant the first locked device changes places with a drawn free one, states
+    included. Variants equal to their original are dropped. Adds derived_from, changed, moved_from and moved_to; rules go with
+    ``remap`` of the two."""
     rows = presets.withColumn("_v", F.explode(F.sequence(F.lit(1), F.lit(variants)))).withColumn("derived_from", F.col("preset"))
     key = lambda d: (F.col("preset"), F.col("_v"), d["entity_id"])
-    flips = lambda d: d["controllable"] & ~F.array_contains("locked", d["entity_id"]) & (draw(seed + ":flip", *key(d)) < 0.5)
+    free = lambda d: d["controllable"] & ~F.array_contains("locked", d["entity_id"])
+    flips = lambda d: free(d) & (draw(seed + ":flip", *key(d)) < 0.5)
     other = lambda d: F.when(flips(d), F.when(d["state"] == "on", "off").otherwise("on")).otherwise(d["state"])
     placed = F.array_sort(F.transform("devices", lambda d: F.struct(draw(seed + ":order", *key(d)).alias("o"), d.withField("state", other(d)).alias("d"))))
     changed = F.transform(F.filter("devices", flips), lambda d: d["entity_id"])
-    out = rows.select(F.format_string("%s_%02d", "preset", "_v").alias("preset"), "derived_from", F.transform(placed, lambda x: x["d"]).alias("devices"), changed.alias("changed"), F.col("devices").alias("_old"))
-    return out.where(F.to_json("devices") != F.to_json("_old")).drop("_old")
-
-
-def remap(names: Column, mapping: dict[str, str]) -> Column:
-    """Names with a mapping applied; others stay."""
-    m = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv]) if mapping else None
-    return names if m is None else F.transform(names, lambda n: F.coalesce(F.try_element_at(m, n), n))
+    drawn = F.array_min(F.transform(F.filter("devices", free), lambda d: F.struct(draw(seed + ":fault", *key(d)).alias("o"), d["entity_id"].alias("e"))))["e"]
+    swaps = (F.col("_v") % 2 == 0) & (F.size("locked") > 0) & drawn.isNotNull()
+    rows = rows.withColumn("_d", F.transform(placed, lambda x: x["d"])).withColumn("changed", changed).withColumn("moved_from", F.when(swaps, F.array_min("locked"))).withColumn("moved_to", F.when(swaps, drawn))
+    state_of = lambda e: F.get(F.filter("_d", lambda d: d["entity_id"] == e), F.lit(0))["state"]
+    swapped = F.transform("_d", lambda d: d.withField("state", F.when(d["entity_id"] == F.col("moved_from"), state_of(F.col("moved_to"))).when(d["entity_id"] == F.col("moved_to"), state_of(F.col("moved_from"))).otherwise(d["state"])))
+    out = rows.select(F.format_string("%s_%02d", "preset", "_v").alias("preset"), "derived_from", swapped.alias("devices"), "changed", "moved_from", "moved_to", F.col("devices").alias("_old"))
+    return out.where((F.to_json("devices") != F.to_json("_old")) | F.col("moved_from").isNotNull()).drop("_old")
+
+
+def swap(value: Column, a: Column, b: Column) -> Column:
+    """JSON text with two ids exchanged wherever they stand as a whole text, as a key or as a value, at any depth."""
+    quoted = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+    held = F.replace(value, quoted(a), F.lit('"\u0001"'))
+    return F.when(a.isNull() | b.isNull(), value).otherwise(F.replace(F.replace(held, quoted(b), quoted(a)), F.lit('"\u0001"'), quoted(b)))
+
+
+def remap(value: Column, mapping: dict[str, str]) -> Column:
+    """An array of names with a mapping applied; the others stay."""
+    if not mapping:
+        return value
+    m = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
+    renamed = lambda n: F.coalesce(F.try_element_at(m, n), n)
+    return F.transform(value, renamed)
+
+
+def remap_json(value: Column, mapping: dict[str, str]) -> Column:
+    """JSON text with a mapping applied to keys and values that are a whole text, at any depth. All names change at once, so two may
+    change places."""
+    out = value
+    for k, old in enumerate(mapping):
+        out = F.replace(out, F.lit(f'"{old}"'), F.lit(f'"\u0001{k}\u0001"'))
+    for k, new in enumerate(mapping.values()):
+        out = F.replace(out, F.lit(f'"\u0001{k}\u0001"'), F.lit(f'"{new}"'))
+    return out
 
 
 def generate(templates: DataFrame, options: DataFrame, groups: int, seed: str = "seeds", patterns: tuple[str, ...] = ("P1", "P2", "P3")) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+from math import ceil
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import canonical_json, collapse
@@ -50,10 +53,61 @@ def exclude(candidates: DataFrame, excluded: DataFrame, fingerprint: str, reason
     return candidates.join(ex, fingerprint, "left").withColumnRenamed("_hit", "rejected")
 
 
-def fill_quota(candidates: DataFrame, group: str, order: list[str], quota: str = "quota") -> DataFrame:
-    """The first candidates of each group up to its quota."""
+def apportion(counts: DataFrame, name: str, count: str, ratio: float, patterns: int = 3) -> DataFrame:
+    """Quotas of groups over names for a share of all seeds: a third of the seeds that the share asks for (halves round to even),
+    rounded up, and one group each at least."""
+    if not 0 < ratio <= 1:
+        raise ValueError("ratio_out_of_range")
+    r = counts.agg(F.sum(count).alias("n"), F.count("*").alias("k"), F.min(count).alias("low")).first()  # one row
+    if not r["k"] or r["low"] is None or r["low"] <= 0:
+        raise ValueError("counts_not_positive")
+    return largest_remainder(counts, name, count, max(ceil(round(r["n"] * ratio) / patterns), r["k"]))
+
+
+def fill_quota(candidates: DataFrame, group: str, order: list[str], quota: str = "quota", semantic: str | None = None, excluded: DataFrame | None = None) -> DataFrame:
+    """Candidates in order with ``state``: accepted up to their group's quota; source_semantic where the meaning is excluded;
+    evaluation_semantic where an earlier candidate of the group has it; not_needed once the quota is full. ``place`` numbers
+    the accepted. Without ``semantic`` all candidates differ."""
+    c = candidates
+    if excluded is not None:
+        c = c.join(excluded.select(semantic).distinct().withColumn("_out", F.lit(True)), semantic, "left")
+    else:
+        c = c.withColumn("_out", F.lit(None).cast("boolean"))
+    c = c.withColumn("_out", F.coalesce("_out", F.lit(False)))
+    if semantic is not None:
+        first = c.groupBy(group, semantic).agg(F.min(F.struct(*order)).alias("_first"))
+        c = c.join(first, [group, semantic]).withColumn("_again", F.struct(*order) != F.col("_first")).drop("_first")
+    else:
+        c = c.withColumn("_again", F.lit(False))
+    fresh = F.when(~F.col("_out") & ~F.col("_again"), 1).otherwise(0)
     w = Window.partitionBy(group).orderBy(*order)
-    return candidates.withColumn("place", F.row_number().over(w)).where(F.col("place") <= F.col(quota))
+    c = c.withColumn("_before", F.coalesce(F.sum(fresh).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    state = F.when(F.col("_before") >= F.col(quota), "not_needed").when(F.col("_out"), "source_semantic").when(F.col("_again"), "evaluation_semantic").otherwise("accepted")
+    c = c.withColumn("state", state)
+    return c.withColumn("place", F.when(F.col("state") == "accepted", F.col("_before") + 1)).drop("_out", "_again", "_before")
+
+
+def shortages(filled: DataFrame, quotas: DataFrame, group: str, quota: str = "quota") -> DataFrame:
+    """Groups whose accepted candidates don't reach their quota, and by how many."""
+    got = filled.where("state = 'accepted'").groupBy(group).agg(F.count("*").alias("_n"))
+    j = quotas.select(group, quota).join(got, group, "left")
+    return j.select(group, (F.col(quota) - F.coalesce("_n", F.lit(0))).alias("missing")).where("missing > 0")
+
+
+def fill_until(batch: Callable[[int], DataFrame], quotas: DataFrame, group: str, order: list[str], semantic: str, excluded: DataFrame, max_attempts: int, quota: str = "quota") -> DataFrame:
+    """Candidates of as many batches as the quotas take, with their states; batch(k) are those of attempt k. Quotas that stay short
+    after ``max_attempts`` are an error that names them."""
+    scratch = Scratch(quotas.sparkSession)
+    pool = None
+    for k in range(max_attempts):
+        more = batch(k).withColumn("attempt", F.lit(k))
+        pool = scratch.settle(more if pool is None else pool.unionByName(more))
+        wanted = pool.join(F.broadcast(quotas.select(group, quota)), group)  # a row per template
+        filled = fill_quota(wanted, group, ["attempt", *order], quota, semantic, excluded)
+        short = shortages(filled, quotas, group, quota).orderBy(group).limit(20).collect()
+        if not short:
+            return filled
+    raise ValueError("quota_shortage: " + ", ".join(f"{r[group]} lacks {r['missing']}" for r in short))
 
 
 def rename_groups(groups: DataFrame, template: str, order: str, suffix: str = "E") -> DataFrame:
@@ -83,10 +137,13 @@ def even_spaced(rows: DataFrame, order: str, group: str, picks: int) -> DataFram
     return r.where(F.array_contains(at, F.col("_k").cast("long"))).drop("_k", "_n")
 
 
-def median_pick(rows: DataFrame, order: str, group: str) -> DataFrame:
-    """The element n // 2 of each group's order."""
+def median_pick(rows: DataFrame, order: str, group: str, prefer: Column | None = None) -> DataFrame:
+    """The element n // 2 of each group's order; of the preferred rows alone where a group has any."""
     w = Window.partitionBy(group)
-    r = rows.withColumn("_k", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count("*").over(w))
+    r = rows
+    if prefer is not None:
+        r = r.withColumn("_p", F.coalesce(prefer, F.lit(False))).withColumn("_any", F.bool_or("_p").over(w)).where("_p OR NOT _any").drop("_p", "_any")
+    r = r.withColumn("_k", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count("*").over(w))
     return r.where(F.col("_k") == F.floor(F.col("_n") / 2)).drop("_k", "_n")
 
 

@@ -211,7 +211,7 @@ def jn_candidate_excluded(spark, d):
 @query("""WITH r AS (SELECT p_partkey AS seed_id, p_brand AS template_id, row_number() OVER (PARTITION BY p_brand ORDER BY sha256(p_partkey::VARCHAR), p_partkey) AS place FROM part) SELECT * FROM r WHERE place <= 3""")
 def smp_quota_fill(spark, d):
     c = seeds(spark, d).withColumn("quota", F.lit(3)).withColumn("draw", F.sha2(F.col("seed_id").cast("string"), 256))
-    return sd.fill_quota(c, "template_id", ["draw", "seed_id"]).select("seed_id", "template_id", F.col("place").cast("long").alias("place"))
+    return sd.fill_quota(c, "template_id", ["draw", "seed_id"]).where("state = 'accepted'").select("seed_id", "template_id", F.col("place").cast("long").alias("place"))
 
 
 @query("SELECT p_partkey AS seed_id, format('{}-E{:03d}', p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey)) AS new_group_id FROM part")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -38,8 +40,15 @@ def read_sources(spark: SparkSession, sources: list[dict], schema: StructType |
 
 
 def read_many(spark: SparkSession, pattern: str, schema: StructType | str) -> DataFrame:
-    """All files of a glob with their path in ``file``."""
-    return spark.read.schema(schema).json(pattern).withColumn("file", F.col("_metadata.file_path"))
+    """All files of a glob with their path in ``file``; a bad line is an error."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(pattern).withColumn("file", F.col("_metadata.file_path"))
+
+
+def file_counts(spark: SparkSession, pattern: str, rows: DataFrame) -> DataFrame:
+    """Rows of each file of a glob (as in ``read_many``); a file without rows counts 0 (Spark lists no file of no bytes)."""
+    files = spark.read.format("binaryFile").load(pattern).select(F.col("path").alias("file"))
+    n = rows.groupBy("file").agg(F.count("*").alias("rows"))
+    return files.join(n, "file", "left").select("file", F.coalesce("rows", F.lit(0).cast("long")).alias("rows"))
 
 
 def canonical_lines(df: DataFrame) -> DataFrame:
@@ -52,6 +61,12 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     canonical_lines(df).write.mode("errorifexists").text(path)
 
 
+def write_json_pretty(rows: list[dict], path: str) -> None:
+    """A small collected result as an indented JSON document, on the driver; an existing file is an error."""
+    with open(path, "x", encoding="utf-8") as f:
+        f.write(json.dumps(rows, ensure_ascii=False, indent=2) + "\n")
+
+
 def save_once(df: DataFrame, path: str) -> bool:
     """Writes, or accepts an existing output of the same content; different content is an error. True if written."""
     spark = df.sparkSession
