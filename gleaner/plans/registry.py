@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.plans import conversations, scoring, tables
+from gleaner.plans import conversations, exports, scoring, tables
 
 
 def queries() -> dict:
-    return {**conversations.QUERIES, **tables.QUERIES, **scoring.QUERIES}
+    return {**conversations.QUERIES, **tables.QUERIES, **scoring.QUERIES, **exports.QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {**conversations.SQL, **tables.SQL, **scoring.SQL}
+    return {**conversations.SQL, **tables.SQL, **scoring.SQL, **exports.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
