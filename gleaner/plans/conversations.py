@@ -55,11 +55,6 @@ REASONS = M + """, p AS (
 )"""
 
 
-@query(f"WITH {REASONS} SELECT sample_id, reason FROM t")
-def flt_trace_structure(spark, d):
-    return tr.trace_reasons(messages(spark, d))
-
-
 @query(f"WITH {REASONS} SELECT coalesce(reason, 'valid') AS reason, count(*) AS traces FROM t GROUP BY 1")
 def agg_quarantine_reasons(spark, d):
     return tr.trace_reasons(messages(spark, d)).groupBy(F.coalesce("reason", F.lit("valid")).alias("reason")).agg(F.count("*").alias("traces"))
@@ -179,19 +174,6 @@ def agg_stats_p95(spark, d):
     return table(spark, d, "documents").agg(*ag.distribution("n_chars", True))
 
 
-@query(f"""WITH {PER} SELECT count(*) AS samples, count(*) FILTER (WHERE turns = 1) AS single_turn, count(*) FILTER (WHERE turns > 1) AS multi_turn,
-  count(*) FILTER (WHERE turns = 0) AS zero_turn, count(*) FILTER (WHERE messages > 5) AS long_traces FROM s""")
-def agg_structure(spark, d):
-    t = F.col("turns")
-    return per_trace(spark, d).agg(F.count("*").alias("samples"), F.count_if(t == 1).alias("single_turn"), F.count_if(t > 1).alias("multi_turn"), F.count_if(t == 0).alias("zero_turn"), F.count_if(F.col("messages") > 5).alias("long_traces"))
-
-
-@query(f"""WITH {PER} SELECT coalesce((sample_id % 2)::VARCHAR, 'all') AS scenario, {DIST.format('turns')} FROM s GROUP BY GROUPING SETS ((sample_id % 2), ())""")
-def agg_inventory(spark, d):
-    s = per_trace(spark, d).withColumn("_s", (F.col("sample_id") % 2).cast("string"))
-    return s.groupingSets([["_s"], []], "_s").agg(*ag.distribution("turns")).select(F.coalesce("_s", F.lit("all")).alias("scenario"), "count", "min", "median", "p90", "max")
-
-
 @query("""WITH v AS (SELECT doc_id AS sample_id, CASE WHEN source IS NULL OR source = '' THEN '未提供' ELSE source END AS label FROM documents)
   SELECT label, count(DISTINCT sample_id) AS samples FROM v GROUP BY 1""")
 def agg_field_counts(spark, d):
@@ -313,11 +295,6 @@ def fmt_render(spark, d):
     return fm.render(messages(spark, d))
 
 
-@query(f"""WITH {M} SELECT sample_id, count(*)::INTEGER AS blocks, true AS round_trip FROM m GROUP BY 1""")
-def fmt_verify_render(spark, d):
-    return fm.verify_render(fm.render(messages(spark, d)))
-
-
 SPANS = M + """, z AS (SELECT *, length(role) + 13 AS head, length(role) + 13 + length(content) + 11 AS size FROM m),
   sp AS (SELECT sample_id, message_index, role, coalesce(sum(size) OVER (PARTITION BY sample_id ORDER BY message_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + head AS "start", length(content) AS n FROM z)"""
 

@@ -63,11 +63,6 @@ def flt_json_schema(spark, d):
     return tr.argument_issues(calls(spark, d), tools(spark, d)).select("call_id", "name", "issue")
 
 
-@query(f"WITH {ISSUES} SELECT coalesce(issue, 'valid') AS issue, count(*) AS calls FROM i GROUP BY 1")
-def flt_target_compat(spark, d):
-    return tr.argument_issues(calls(spark, d), tools(spark, d)).groupBy(F.coalesce("issue", F.lit("valid")).alias("issue")).agg(F.count("*").alias("calls"))
-
-
 @query(f"WITH {ISSUES} SELECT call_id FROM i WHERE issue = 'unknown_tool'")
 def flt_unknown_tool(spark, d):
     return calls(spark, d).join(F.broadcast(tools(spark, d).select("name")), "name", "left_anti").select("call_id")
@@ -98,30 +93,6 @@ def agg_selection(spark, d):
     return ag.selection(e.select(F.col("event_type").alias("check_id"), F.when(F.col("event_id") % 3 == 0, "check_filtered").otherwise("check_selected").alias("event")))
 
 
-@query("""WITH e AS (SELECT user_id, event_id, ts, event_type, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS)
-   OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM events) SELECT user_id, event_id, prior FROM e""")
-def jn_prior_read(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    e = table(spark, d, "events")
-    return e.select("user_id", "event_id", F.last(F.when(F.col("event_type") == "purchase", F.col("value")), True).over(w).alias("prior"))
-
-
-@query("""SELECT event_type, count(*) FILTER (WHERE value > 50) AS triggered, count(*) AS configured, count(*) FILTER (WHERE NOT coalesce(value > 50, false)) AS unused,
-  avg(CASE WHEN value > 50 THEN 1.0 ELSE 0.0 END) AS trigger_rate FROM events GROUP BY 1""")
-def agg_coverage(spark, d):
-    hit = F.coalesce(F.col("value") > 50, F.lit(False))
-    return table(spark, d, "events").groupBy("event_type").agg(F.count_if(hit).alias("triggered"), F.count("*").alias("configured"), F.count_if(~hit).alias("unused"), F.try_divide(F.count_if(hit), F.count("*")).alias("trigger_rate"))
-
-
-@query("""WITH u AS (SELECT user_id, bool_or(event_type = 'purchase') AS p, bool_or(event_type = 'click') AS c, bool_or(value > 90) AS v FROM events GROUP BY 1)
-  SELECT CASE WHEN p THEN 'other_turn' WHEN c THEN 'other_call' WHEN v THEN 'snapshot_only' ELSE 'none' END AS reason, count(*) AS samples FROM u GROUP BY 1""")
-def agg_unused_reason(spark, d):
-    some = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
-    u = table(spark, d, "events").groupBy("user_id").agg(some(F.col("event_type") == "purchase").alias("p"), some(F.col("event_type") == "click").alias("c"), some(F.col("value") > 90).alias("v"))
-    why = F.when(F.col("p"), "other_turn").when(F.col("c"), "other_call").when(F.col("v"), "snapshot_only").otherwise("none")
-    return u.groupBy(why.alias("reason")).agg(F.count("*").alias("samples"))
-
-
 # ---- evidence and scores ----
 
 @query("""WITH e AS (SELECT conv_id AS sample_id, turn AS message_index, CASE turn % 3 WHEN 0 THEN substr(text, 1, 12) WHEN 1 THEN substr(text, 1, 5) || '#' ELSE '' END AS quote, turn + CASE WHEN conv_id % 10 = 0 THEN 50 ELSE 0 END AS at FROM conversations)
@@ -137,16 +108,6 @@ def jn_evidence_quote(spark, d):
     return e.join(said, ["sample_id", "at"], "left").select("sample_id", "message_index", why.alias("reason"))
 
 
-@query("""WITH w AS (SELECT DISTINCT conv_id, turn % 4 AS c FROM conversations WHERE turn < 6), g AS (SELECT doc_id AS conv_id, quality, toxic FROM labels),
-  k AS (SELECT conv_id, count(*) AS planned FROM w GROUP BY 1)
-  SELECT k.conv_id, CASE WHEN quality IS NULL THEN 'missing_score' WHEN planned <> 4 THEN 'incomplete_or_duplicate_score_checks' WHEN toxic = 1 AND quality = 1 THEN 'inconsistent_score_status' END AS reason FROM k LEFT JOIN g USING (conv_id)""")
-def flt_score_integrity(spark, d):
-    planned = messages(spark, d).where("message_index < 6").groupBy(F.col("sample_id").alias("conv_id")).agg(F.count_distinct(F.col("message_index") % 4).alias("planned"))
-    s = planned.join(table(spark, d, "labels").withColumnRenamed("doc_id", "conv_id"), "conv_id", "left")
-    why = F.when(F.col("quality").isNull(), "missing_score").when(F.col("planned") != 4, "incomplete_or_duplicate_score_checks").when((F.col("toxic") == 1) & (F.col("quality") == 1), "inconsistent_score_status")
-    return s.select("conv_id", why.alias("reason"))
-
-
 @query("SELECT d.doc_id, l.quality, CASE WHEN l.doc_id IS NULL THEN 'missing_score' END AS reason FROM documents d LEFT JOIN labels l USING (doc_id)")
 def jn_trace_score(spark, d):
     right = table(spark, d, "labels").select("doc_id", "quality", F.lit(True).alias("scored"))
@@ -154,16 +115,6 @@ def jn_trace_score(spark, d):
     return j.select("doc_id", "quality", F.when(F.col("scored").isNull(), "missing_score").alias("reason"))
 
 
-@query("""WITH r AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'quarantine' ELSE 'accept' END AS decision FROM labels WHERE doc_id % 2 = 0)
-  SELECT d.doc_id, CASE WHEN decision = 'quarantine' THEN 'review' WHEN doc_id % 2 = 0 AND decision IS NULL THEN 'review' ELSE 'pass' END AS disposition,
-    CASE WHEN decision = 'quarantine' THEN 'evidence_review' WHEN doc_id % 2 = 0 AND decision IS NULL THEN 'missing_evidence_review' END AS reason FROM documents d LEFT JOIN r USING (doc_id)""")
-def flt_evidence_review(spark, d):
-    r = table(spark, d, "labels").where("doc_id % 2 = 0").select("doc_id", F.when(F.col("toxic") == 1, "quarantine").otherwise("accept").alias("decision"))
-    j = table(spark, d, "documents").select("doc_id").join(r, "doc_id", "left")
-    why = F.when(F.col("decision") == "quarantine", "evidence_review").when((F.col("doc_id") % 2 == 0) & F.col("decision").isNull(), "missing_evidence_review")
-    return j.select("doc_id", F.when(why.isNotNull(), "review").otherwise("pass").alias("disposition"), why.alias("reason"))
-
-
 # ---- seeds: a part is a seed, its brand the template, its size the group ----
 
 def seeds(spark, d) -> DataFrame:
@@ -208,12 +159,6 @@ def jn_candidate_excluded(spark, d):
     return sd.exclude(s.where("seed_id % 5 <> 0"), s.where("seed_id % 5 = 0"), "semantic", "source_semantic").select("seed_id", "rejected")
 
 
-@query("""WITH r AS (SELECT p_partkey AS seed_id, p_brand AS template_id, row_number() OVER (PARTITION BY p_brand ORDER BY sha256(p_partkey::VARCHAR), p_partkey) AS place FROM part) SELECT * FROM r WHERE place <= 3""")
-def smp_quota_fill(spark, d):
-    c = seeds(spark, d).withColumn("quota", F.lit(3)).withColumn("draw", F.sha2(F.col("seed_id").cast("string"), 256))
-    return sd.fill_quota(c, "template_id", ["draw", "seed_id"]).where("state = 'accepted'").select("seed_id", "template_id", F.col("place").cast("long").alias("place"))
-
-
 @query("SELECT p_partkey AS seed_id, format('{}-E{:03d}', p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey)) AS new_group_id FROM part")
 def prj_rename_group(spark, d):
     return sd.rename_groups(seeds(spark, d), "template_id", "seed_id").select("seed_id", "new_group_id")
@@ -255,15 +200,6 @@ def smp_smoke(spark, d):
     return docs.withColumn("r", F.row_number().over(draw)).where("r <= 4").select("lang", "doc_id").union(best).distinct()
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT p_partkey // 4 AS g, p_partkey // 12 * 10 + p_size % 4 AS q FROM part),
-  n AS (SELECT DISTINCT a.g AS a, b.g AS b FROM e a JOIN e b USING (q)), c(a, b) AS (SELECT a, b FROM n UNION SELECT c.a, n.b FROM c JOIN n ON c.b = n.a)
-  SELECT a AS "group", min(b) AS component FROM c GROUP BY 1""")
-def spl_group_split(spark, d):
-    p = table(spark, d, "part")
-    rows = p.select(F.expr("p_partkey div 4").alias("group"), F.expr("p_partkey div 12 * 10 + p_size % 4").alias("q"))
-    return sd.split_groups(rows, "group", "q")
-
-
 # ---- sets, joins and states ----
 
 @query("SELECT n_nationkey FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier) AND n_nationkey IN (SELECT c_nationkey FROM customer)")
@@ -330,32 +266,11 @@ def agg_run_status(spark, d):
         F.count("*").alias("planned"), F.count_distinct("o_orderkey").alias("saved"), F.bool_and(F.col("o_totalprice") > 0).alias("complete"))
 
 
-@query("""WITH l AS (SELECT l_orderkey, count(*) AS n, max(l_linenumber) AS last FROM lineitem GROUP BY 1)
-  SELECT o_orderkey, CASE WHEN n IS NULL THEN 'pending' WHEN n <> last THEN 'failed' WHEN o_orderstatus = 'F' THEN 'complete' ELSE 'running_or_incomplete' END AS state FROM orders LEFT JOIN l ON l_orderkey = o_orderkey""")
-def prj_run_state(spark, d):
-    l = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.max("l_linenumber").alias("last"))  # noqa: E741
-    j = table(spark, d, "orders").join(l, F.col("l_orderkey") == F.col("o_orderkey"), "left")
-    state = F.when(F.col("n").isNull(), "pending").when(F.col("n") != F.col("last"), "failed").when(F.col("o_orderstatus") == "F", "complete").otherwise("running_or_incomplete")
-    return j.select("o_orderkey", state.alias("state"))
-
-
-@query("SELECT o_custkey, max(o_orderkey) FILTER (WHERE o_orderstatus = 'F') AS latest FROM orders GROUP BY 1 HAVING latest IS NOT NULL")
-def smp_latest_checkpoint(spark, d):
-    return table(spark, d, "orders").where("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.max("o_orderkey").alias("latest"))
-
-
 @query("SELECT s_suppkey, regexp_full_match(s_name, '[A-Za-z0-9][A-Za-z0-9_.-]*') AS valid FROM supplier")
 def flt_id_regex(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", F.regexp_like("s_name", F.lit(r"^[A-Za-z0-9][A-Za-z0-9_.-]*\z")).alias("valid"))
 
 
-@query("SELECT CASE WHEN source IN ('src0', 'src1') THEN 'hot' ELSE 'cold' END AS topic, count(*) AS samples, count(DISTINCT text) AS dialogues, count(DISTINCT lang) AS templates FROM documents GROUP BY 1")
-def agg_topics(spark, d):
-    topic = F.when(F.col("source").isin("src0", "src1"), "hot").otherwise("cold")
-    # Distinct texts are counted by digest, so no text is shuffled.
-    return table(spark, d, "documents").groupBy(topic.alias("topic")).agg(F.count("*").alias("samples"), F.count_distinct(tx.digest(F.col("text"))).alias("dialogues"), F.count_distinct("lang").alias("templates"))
-
-
 @query("""SELECT c_custkey, regexp_replace(regexp_replace(c_mktsegment, '[\\s]+', '', 'g'), 'E$', '') = regexp_replace('MACHIN', 'E$', '') AS matches FROM customer""")
 def fn_remove_suffix(spark, d):
     return table(spark, d, "customer").select("c_custkey", (tx.remove_suffix(F.regexp_replace("c_mktsegment", r"\s+", ""), "E") == "MACHIN").alias("matches"))
@@ -412,16 +327,3 @@ def chk_parse_report(spark, d):
     r = o.select("o_orderkey", "_d", F.expr(text).alias("x")).select("o_orderkey", tx.parse_report(F.col("x"), F.col("_d")).alias("r"))
     days = F.col("r.forecast")
     return r.select("o_orderkey", "r.city", "r.error", F.get(days, F.lit(0))["date"].alias("first_day"), F.when(days.isNotNull(), F.size(days).cast("long")).alias("days"), F.array_max(F.transform(days, lambda x: x["high"])).alias("highest"))
-
-
-@query("""WITH s AS (SELECT conv_id AS sample_id, count(*) AS messages FROM conversations GROUP BY 1) SELECT sample_id, CASE WHEN messages % 2 = 0 THEN 'snapshot' ELSE 'target' END AS provenance FROM s""")
-def prj_tool_provenance(spark, d):
-    s = per_trace(spark, d)
-    return s.select("sample_id", tr.tool_provenance(F.col("messages"), F.col("messages") % 2 == 0).alias("provenance"))
-
-
-@query("SELECT sum(CASE WHEN o.o_orderkey IS NULL THEN 1 ELSE 0 END)::BIGINT AS orphans, count(*) AS rows FROM lineitem l LEFT JOIN orders o ON l_orderkey = o_orderkey")
-def jn_call_result(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey")
-    j = table(spark, d, "lineitem").select("l_orderkey").join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left")
-    return j.agg(F.sum(F.when(F.col("o_orderkey").isNull(), 1).otherwise(0)).alias("orphans"), F.count("*").alias("rows"))
