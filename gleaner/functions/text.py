@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,6 +87,56 @@ def resolve_date(text: Column, base: Column) -> Column:
     return F.when(iso != "", full).when((month != "") & (best["d"] <= 31), best["c"])
 
 
+def truncate(text: Column, limit: int) -> Column:
+    """A text of at most ``limit`` characters, the last of them an ellipsis where something is missing."""
+    return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit - 1), F.lit("…"))).otherwise(text)
+
+
+def markdown_escape(text: Column) -> Column:
+    """A text for a table cell: bars and backslashes escaped, line ends as blanks."""
+    return F.regexp_replace(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")), r"\r?\n", " ")
+
+
+def split_turns(wording: Column) -> Column:
+    """Turns of a wording that sets them apart by arrows and may number them."""
+    return F.transform(F.split(wording, "→", -1), lambda t: F.regexp_replace(strip_all(t), r"(?U)^[①②③]\s*", ""))
+
+
+#: How near days are said. Fixed values.
+DAY_PHRASES, LATER = ("今天", "明天", "后天"), "天后"
+
+
+def day_phrase(offset: Column) -> Column:
+    """A day by its distance from today."""
+    said = F.concat(offset.cast("string"), F.lit(LATER))
+    for k, phrase in enumerate(DAY_PHRASES):
+        said = F.when(offset == k, phrase).otherwise(said)
+    return said
+
+
+def merged_states(base: Column, override: Column) -> Column:
+    """Two maps as one; the second's values hold where both have a key."""
+    kept = F.map_filter(base, lambda k, _: ~F.map_contains_key(F.coalesce(override, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), k))
+    return F.when(override.isNull(), base).when(base.isNull(), override).otherwise(F.map_concat(kept, override))
+
+
+def canonical_exact(text: Column) -> Column:
+    """Canonical JSON that keeps numbers as Python writes them (1.0 stays 1.0) and the last of equal keys; null where the text is no
+    JSON. Arrow batches in Python: for digests of data with float literals, where ``canonical_json`` would differ."""
+
+    @F.pandas_udf("string")
+    def each(texts: pd.Series) -> pd.Series:
+        def one(t):
+            try:
+                return None if t is None else json.dumps(json.loads(t), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+            except ValueError:
+                return None
+
+        return texts.map(one)
+
+    return each(text)
+
+
 #: Head of a weather report, where its forecast section begins and ends, one day's line, and what other lines may say. Fixed values.
 HEAD, SECTION, TAIL = r"^您查询的位置是[：:]\s*([^\n]+)", "未来7天预报：", "（如需"
 ROW = r"^(.+?)[:：]\s*([^，,]+)[，,]\s*气温\s*(-?\d+(?:\.\d+)?)\s*[°℃度]*\s*[~～至]\s*(-?\d+(?:\.\d+)?)\s*[°℃度]*\s*$"

@@ -94,3 +94,40 @@ def over_limits(rows: DataFrame, value: str, limits: list[int]) -> DataFrame:
 def compact(rows: DataFrame, key: str, count: str) -> DataFrame:
     """Keys grouped by equal counts."""
     return rows.groupBy(count).agg(F.array_join(F.sort_array(F.collect_list(key)), ",").alias("keys"))
+
+
+def stats(rows: DataFrame, value: str) -> DataFrame:
+    """``distribution`` with p95 of a population that must not be empty."""
+    if not rows.where(F.col(value).isNotNull()).head(1):
+        raise ValueError("empty_population")
+    return rows.agg(*distribution(value, True))
+
+
+def completion(results: DataFrame, errors: DataFrame, planned: int) -> DataFrame:
+    """One row: planned, completed and failed samples, and the share that was completed (null if none was planned)."""
+    return results.agg(F.count("*").alias("completed")).join(errors.agg(F.count("*").alias("errors"))).select(  # one row each
+        F.lit(planned).cast("long").alias("planned"), "completed", "errors", F.try_divide(F.col("completed"), F.lit(planned)).alias("completion_rate"))
+
+
+def selection_reasons(events: DataFrame) -> DataFrame:
+    """Filtered candidates by check and reason."""
+    return events.where("event = 'check_filtered'").groupBy("check_id", "reason_code").agg(F.count("*").alias("candidates"))
+
+
+def failures_by_template(checks: DataFrame) -> DataFrame:
+    """Failures by template and check: results, samples affected and rate."""
+    bad = F.col("status") == "fail"
+    return checks.groupBy("template_id", "check_id").agg(F.count("*").alias("results"), F.count_if(bad).alias("failures"), F.count_distinct(F.when(bad, F.col("sample_id"))).alias("samples"), F.try_divide(F.count_if(bad), F.count("*")).alias("failure_rate"))
+
+
+def repeat_problems(attempts: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Attempts of unknown tasks, and repeats of a task that came twice: either is an error of the run."""
+    n = attempts.groupBy(*tasks.columns, "repeat").agg(F.count("*").alias("_n")).join(tasks.distinct().withColumn("_task", F.lit(True)), tasks.columns, "left")
+    code = F.when(F.col("_task").isNull(), "unknown_task").when(F.col("_n") > 1, "duplicate_attempt")
+    return n.select(*tasks.columns, "repeat", code.alias("problem")).where("problem IS NOT NULL")
+
+
+def unscored(status: Column, check_statuses: Column) -> Column:
+    """A sample's status, or ``unscored`` where one of its checks is neither passed, failed nor skipped."""
+    open_ = F.exists(check_statuses, lambda s: F.coalesce(~s.isin("pass", "fail", "skip"), F.lit(True)))
+    return F.when(status.isin("pass", "fail") & ~F.coalesce(open_, F.lit(False)), status).otherwise("unscored")

@@ -96,6 +96,24 @@ def patch_scope(corrected: DataFrame, patched: DataFrame) -> DataFrame:
     return j.where(~F.col("a").eqNullSafe(F.col("b"))).select("sample_id", F.lit("edit_beyond_scope").alias("problem")).distinct()
 
 
+def merge(originals: DataFrame, corrections: DataFrame, key: str) -> DataFrame:
+    """Originals with corrections in their place and new rows after them: the columns of both and ``kind`` (unchanged, revised, new)."""
+    names = [c for c in originals.columns if c != key]
+    o, c = originals.withColumn("_o", F.lit(True)), corrections.select(key, *[F.col(n).alias(f"_{n}") for n in names], F.lit(True).alias("_c"))
+    j = o.join(c, key, "full_outer")
+    kind = F.when(F.col("_o").isNull(), "new").when(F.col("_c"), "revised").otherwise("unchanged")
+    return j.select(key, *[F.when(F.col("_c"), F.col(f"_{n}")).otherwise(F.col(n)).alias(n) for n in names], kind.alias("kind"))
+
+
+def reconcile(before: DataFrame, audit: DataFrame, revised: DataFrame, new: DataFrame) -> DataFrame:
+    """Where training rows went: per origin (old, revised, new, other) and disposition how many; a row of ``before`` that the audit (id,
+    disposition) lacks is removed. before, revised and new hold ids."""
+    flag = lambda df, name: df.select("id").distinct().withColumn(name, F.lit(True))
+    j = audit.select("id", "disposition").join(flag(before, "_old"), "id", "full_outer").join(flag(revised, "_revised"), "id", "left").join(flag(new, "_new"), "id", "left")
+    origin = F.when(F.col("_revised"), "revised").when(F.col("_old"), "old").when(F.col("_new"), "new").otherwise("other")
+    return j.groupBy(origin.alias("origin"), F.coalesce("disposition", F.lit("removed")).alias("disposition")).agg(F.count("*").alias("rows"))
+
+
 def shard_reconciliation(generated: DataFrame, scored: DataFrame, errors: DataFrame) -> DataFrame:
     """(sample_id, problem): every generated sample is either scored or an error, never both, and nothing else is."""
     flag = lambda df, name: df.select("sample_id").distinct().withColumn(name, F.lit(True))

@@ -81,11 +81,20 @@ def turn_scenarios(scenes: Column, turn: Column, template: Column, form: Column)
     return F.array_distinct(out)
 
 
-def prefix_and_first(messages: DataFrame) -> DataFrame:
-    """Messages before each trace's first assistant message, and the tools that message calls."""
-    first = messages.where("role = 'assistant'").groupBy("sample_id").agg(F.min("message_index").alias("at"))
-    names = messages.join(first, "sample_id").where("message_index = at").select("sample_id", "at", F.coalesce(F.transform("tool_calls", lambda c: c["function"]["name"]), F.array().cast("array<string>")).alias("tools"))
-    return names.select("sample_id", F.col("at").alias("prefix_messages"), "tools")
+def prefix_and_first(messages: Column) -> Column:
+    """struct(prefix, tools) of a message array: what stands before the first reply, and the tools that reply calls; null without a
+    reply."""
+    at = F.array_position(F.transform(messages, lambda m: F.coalesce(m["role"], F.lit(""))), "assistant").cast("int")
+    calls = F.get(messages, at - 1)["tool_calls"]
+    names = F.coalesce(F.transform(calls, lambda c: c["function"]["name"]), F.array().cast("array<string>"))
+    return F.when(at > 0, F.struct(F.slice(messages, F.lit(1), at - 1).alias("prefix"), names.alias("tools")))
+
+
+def run_status(codes: DataFrame, scores: DataFrame) -> DataFrame:
+    """run_id and status: complete if every return code (run_id, returncode) is 0 and the score (run_id, status) is complete."""
+    ok = codes.groupBy("run_id").agg(F.bool_and(F.coalesce(F.col("returncode") == 0, F.lit(False))).alias("_ok"))
+    j = ok.join(scores.select("run_id", F.col("status").alias("_score")), "run_id", "left")
+    return j.select("run_id", F.when(F.col("_ok") & F.coalesce(F.col("_score") == "complete", F.lit(False)), "complete").otherwise("incomplete").alias("status"))
 
 
 def accounting(planned: DataFrame, saved: DataFrame, codes: DataFrame) -> DataFrame:

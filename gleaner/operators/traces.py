@@ -197,10 +197,39 @@ def tool_provenance(scenario: Column, saved: Column) -> Column:
     return F.when(saved, "saved_trace").when(scenario == "weather", "reconstructed_contract_aligned_with_latest_rules").otherwise("missing_snapshot")
 
 
-def turns_of(messages: DataFrame) -> DataFrame:
-    """Adds ``turn``: the running number of user messages (0 before the first)."""
+def read_messages(raw: Column) -> Column:
+    """MESSAGES of a JSON array of messages: four keys of each, other keys dropped, and arguments as JSON text, whether they came as a
+    text or as an object."""
+    call = "struct<id:string,type:string,function:struct<name:string,arguments:variant>>"
+    m = F.from_json(raw, f"array<struct<role:string,content:string,tool_calls:array<{call}>,tool_call_id:string>>")
+
+    def text(c: Column) -> Column:
+        a = c["function"]["arguments"]
+        said = F.when(F.schema_of_variant(a) == "STRING", F.try_variant_get(a, "$", "string")).otherwise(F.to_json(a))
+        return F.struct(c["id"].alias("id"), c["type"].alias("type"), F.struct(c["function"]["name"].alias("name"), said.alias("arguments")).alias("function"))
+
+    return F.transform(m, lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"), F.transform(x["tool_calls"], text).alias("tool_calls"), x["tool_call_id"].alias("tool_call_id")))
+
+
+def namespaced(scenario: Column, sample_id: Column) -> Column:
+    return F.concat_ws(":", scenario, sample_id.cast("string"))
+
+
+def turns_of(messages: DataFrame, internal: DataFrame | None = None) -> DataFrame:
+    """Adds ``turn``: the running number of user messages (0 before the first). internal: (sample_id, message_index) of messages that
+    the runtime put in; they begin no turn."""
+    m, own = messages, F.col("role") == "user"
+    if internal is not None:
+        m = m.join(internal.select("sample_id", "message_index").distinct().withColumn("_internal", F.lit(True)), ["sample_id", "message_index"], "left")
+        own = own & F.col("_internal").isNull()
     w = Window.partitionBy("sample_id").orderBy("message_index").rowsBetween(Window.unboundedPreceding, 0)
-    return messages.withColumn("turn", F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(w))
+    return m.withColumn("turn", F.sum(F.when(own, 1).otherwise(0)).over(w)).drop("_internal")
+
+
+def within_turn(messages: DataFrame, value: str, name: str) -> DataFrame:
+    """The latest ``value`` that is not null at or before each row of the same turn (messages with ``turn``)."""
+    w = Window.partitionBy("sample_id", "turn").orderBy("message_index").rowsBetween(Window.unboundedPreceding, 0)
+    return messages.withColumn(name, F.last(value, True).over(w))
 
 
 def as_of(messages: DataFrame, value: str, name: str, ignore_nulls: bool = False) -> DataFrame:

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.plans import conversations, exports, runs, scoring, tables
+from gleaner.plans import conversations, exports, files, runs, scoring, tables
 
 
 def queries() -> dict:
-    return {**conversations.QUERIES, **tables.QUERIES, **scoring.QUERIES, **exports.QUERIES, **runs.QUERIES}
+    return {**conversations.QUERIES, **tables.QUERIES, **scoring.QUERIES, **exports.QUERIES, **runs.QUERIES, **files.QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {**conversations.SQL, **tables.SQL, **scoring.SQL, **exports.SQL, **runs.SQL}
+    return {**conversations.SQL, **tables.SQL, **scoring.SQL, **exports.SQL, **runs.SQL, **files.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

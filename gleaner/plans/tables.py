@@ -210,22 +210,6 @@ def jn_common_subset(spark, d):
     return n
 
 
-@query("""WITH o AS (SELECT doc_id, text FROM documents WHERE doc_id % 10 <> 9), c AS (SELECT doc_id, '~' || text AS text FROM documents WHERE doc_id % 10 IN (3, 9))
-  SELECT coalesce(o.doc_id, c.doc_id) AS doc_id, sha256(coalesce(c.text, o.text)) AS digest, CASE WHEN o.doc_id IS NULL THEN 'new' WHEN c.doc_id IS NULL THEN 'unchanged' ELSE 'revised' END AS state FROM o FULL JOIN c USING (doc_id)""")
-def set_merge_patch(spark, d):
-    t = table(spark, d, "documents")
-    o = t.where("doc_id % 10 <> 9").select("doc_id", F.col("text").alias("old"))
-    c = t.where("doc_id % 10 IN (3, 9)").select("doc_id", F.concat(F.lit("~"), F.col("text")).alias("new"))
-    state = F.when(F.col("old").isNull(), "new").when(F.col("new").isNull(), "unchanged").otherwise("revised")
-    return o.join(c, "doc_id", "full_outer").select("doc_id", tx.digest(F.coalesce("new", "old")).alias("digest"), state.alias("state"))
-
-
-@query("""WITH o AS (SELECT doc_id FROM documents WHERE doc_id % 10 <> 9), c AS (SELECT doc_id FROM documents WHERE doc_id % 10 IN (3, 9))
-  SELECT CASE WHEN o.doc_id IS NULL THEN 'new' WHEN c.doc_id IS NULL THEN 'unchanged' ELSE 'revised' END AS state, count(*) AS rows FROM o FULL JOIN c USING (doc_id) GROUP BY 1""")
-def agg_reconcile(spark, d):
-    return set_merge_patch(spark, d).groupBy("state").agg(F.count("*").alias("rows"))
-
-
 @query("""WITH s AS (SELECT doc_id AS id FROM labels), e AS (SELECT doc_id AS id FROM documents)
   SELECT 'missing' AS problem, count(*) AS rows FROM (SELECT id FROM e EXCEPT ALL SELECT id FROM s) UNION ALL SELECT 'unexpected', count(*) FROM (SELECT id FROM s EXCEPT ALL SELECT id FROM e)""")
 def set_equality(spark, d):
@@ -260,12 +244,6 @@ def gen_run_plan(spark, d):
     return n.select(F.col("r_name").alias("scenario"), F.col("n_name").alias("sample_id"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("repeat"))
 
 
-@query("""SELECT o_orderstatus AS stage, count(*) AS planned, count(DISTINCT o_orderkey) AS saved, bool_and(o_totalprice > 0) AS complete FROM orders GROUP BY 1""")
-def agg_run_status(spark, d):
-    return table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("stage")).agg(
-        F.count("*").alias("planned"), F.count_distinct("o_orderkey").alias("saved"), F.bool_and(F.col("o_totalprice") > 0).alias("complete"))
-
-
 @query("SELECT s_suppkey, regexp_full_match(s_name, '[A-Za-z0-9][A-Za-z0-9_.-]*') AS valid FROM supplier")
 def flt_id_regex(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", F.regexp_like("s_name", F.lit(r"^[A-Za-z0-9][A-Za-z0-9_.-]*\z")).alias("valid"))

@@ -72,6 +72,15 @@ class Scratch:
         out._settled = path
         return out
 
+    def place(self) -> str:
+        """A new path below the scratch's folder, for files of another kind."""
+        fs, p = self._filesystem(self.root)
+        if fs is not None:
+            fs.mkdirs(p)
+            fs.deleteOnExit(p)
+        self.made += 1
+        return f"{self.root}/{self.made - 1}"
+
     def drop(self, *tables: DataFrame) -> None:
         """Deletes settled tables that no later plan reads."""
         for t in tables:
