@@ -270,7 +270,7 @@ def apply_rules(name: str, turns: DataFrame) -> DataFrame:
 def _register_own() -> None:
     from gleaner.operators import home_checks as hc
 
-    register(Scorer("weather", 1, tuple(wc.ALL.split()), wc.candidate_checks, {"C01": lambda t: wc.call_behaviour(wc.expectation(t)), "C02": wc.arguments, "C03": wc.city_kept}))
+    register(Scorer("weather", 1, wc.ALL, wc.candidate_checks, {"C01": lambda t: wc.call_behaviour(wc.expectation(t)), "C02": wc.arguments, "C03": wc.city_kept}))
     register(Scorer("home_switch", 1, HOME_CHECKS, home_candidates, {"HC01": hc.protocols, "HC02": hc.arguments, "HC03": hc.ignored_state}))
 
 

@@ -13,18 +13,59 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.text import city_in_reply, same_adm, same_city, same_qualified_location
 
-# The checks of each scenario, and the checks that a template's turn allows (ALL: C01 to C07).
+# The checks of each scenario, and the checks that each turn of a template allows.
+ALL = ("C01", "C02", "C03", "C04", "C05", "C06", "C07")
 SCENARIO_CHECKS = {
-    "R01": "C01 C02 C05", "R02": "C01 C06", "R03": "C01 C05", "R04": "C01 C02 C05", "T01": "C04 C05", "T02": "C01 C02 C05", "T03": "C05", "T04": "C04 C05",
-    "T05": "C02 C04 C06", "T06": "C02 C04 C06", "T07": "C05 C06", "L01": "C01 C02", "L02": "C01 C02", "L04": "C01 C02 C04", "L05": "C01 C02 C04", "L06": "C02 C04",
-    "L08": "C01 C02 C04 C06", "F01": "C01 C02 C04 C05", "F02": "C01 C02 C04 C06", "M01": "C05", "M02": "C01 C02 C05", "M03": "C01 C02 C05", "M04": "C01 C02 C05",
-    "O01": "C05 C06", "O02": "C03 C05", "O03": "C01 C04 C06", "O04": "C07", "G02": "C01 C04",
+    "R01": ("C01", "C02", "C05"),
+    "R02": ("C01", "C06"),
+    "R03": ("C01", "C05"),
+    "R04": ("C01", "C02", "C05"),
+    "T01": ("C04", "C05"),
+    "T02": ("C01", "C02", "C05"),
+    "T03": ("C05",),
+    "T04": ("C04", "C05"),
+    "T05": ("C02", "C04", "C06"),
+    "T06": ("C02", "C04", "C06"),
+    "T07": ("C05", "C06"),
+    "L01": ("C01", "C02"),
+    "L02": ("C01", "C02"),
+    "L04": ("C01", "C02", "C04"),
+    "L05": ("C01", "C02", "C04"),
+    "L06": ("C02", "C04"),
+    "L08": ("C01", "C02", "C04", "C06"),
+    "F01": ("C01", "C02", "C04", "C05"),
+    "F02": ("C01", "C02", "C04", "C06"),
+    "M01": ("C05",),
+    "M02": ("C01", "C02", "C05"),
+    "M03": ("C01", "C02", "C05"),
+    "M04": ("C01", "C02", "C05"),
+    "O01": ("C05", "C06"),
+    "O02": ("C03", "C05"),
+    "O03": ("C01", "C04", "C06"),
+    "O04": ("C07",),
+    "G02": ("C01", "C04"),
 }
-ALL = "C01 C02 C03 C04 C05 C06 C07"
 TURN_CHECKS = {
-    "S01": [ALL], "S02": [ALL], "S03": ["C01 C06 C07"], "S04": ["C01 C05 C07"], "S05": [ALL], "S06": [ALL], "S07": ["C02 C04 C07", ALL], "S08": ["C02 C04 C06 C07"], "S09": ["C02 C04 C06 C07"],
-    "S10": [ALL, ALL], "S11": ["C02 C04 C07", ALL], "S12": ["C02 C04 C07", ALL], "S13": [ALL], "S15": ["C02 C04 C06 C07", ALL], "S17": ["C01 C02 C04 C06 C07"], "S19": [ALL, ALL],
-    "S20": [ALL, ALL], "S21": [ALL, ALL], "S22": [ALL], "S24": ["C02 C04 C07", "C01 C04 C07"],
+    "S01": [ALL],
+    "S02": [ALL],
+    "S03": [("C01", "C06", "C07")],
+    "S04": [("C01", "C05", "C07")],
+    "S05": [ALL],
+    "S06": [ALL],
+    "S07": [("C02", "C04", "C07"), ALL],
+    "S08": [("C02", "C04", "C06", "C07")],
+    "S09": [("C02", "C04", "C06", "C07")],
+    "S10": [ALL, ALL],
+    "S11": [("C02", "C04", "C07"), ALL],
+    "S12": [("C02", "C04", "C07"), ALL],
+    "S13": [ALL],
+    "S15": [("C02", "C04", "C06", "C07"), ALL],
+    "S17": [("C01", "C02", "C04", "C06", "C07")],
+    "S19": [ALL, ALL],
+    "S20": [ALL, ALL],
+    "S21": [ALL, ALL],
+    "S22": [ALL],
+    "S24": [("C02", "C04", "C07"), ("C01", "C04", "C07")],
 }
 #: Scenarios that hold on one turn only: (template, scenario) -> turn. S24 keeps only these and O04.
 ONE_TURN = {("S24", "G02"): 2, ("S24", "T04"): 1, ("S24", "L04"): 1, ("S07", "T04"): 1, ("S21", "L02"): 1, ("S21", "L01"): 2, ("S15", "O02"): 2}
@@ -34,8 +75,8 @@ def candidate_checks(turns: DataFrame) -> DataFrame:
     """(sample_id, template_id, turn, check_id, scenario_ids, reason): every candidate check of turns with scenario_ids;
     reason says why it is filtered. Turns carry call_mode, n_calls and has_report."""
     spark = turns.sparkSession
-    per_scenario = F.broadcast(spark.createDataFrame([(s, c) for s, v in SCENARIO_CHECKS.items() for c in v.split()], "scenario_id string, check_id string"))
-    allowed = F.broadcast(spark.createDataFrame([(t, k + 1, c, True) for t, v in TURN_CHECKS.items() for k, w in enumerate(v) for c in w.split()], "template_id string, turn int, check_id string, allowed boolean"))
+    per_scenario = F.broadcast(spark.createDataFrame([(s, c) for s, v in SCENARIO_CHECKS.items() for c in v], "scenario_id string, check_id string"))
+    allowed = F.broadcast(spark.createDataFrame([(t, k + 1, c, True) for t, v in TURN_CHECKS.items() for k, w in enumerate(v) for c in w], "template_id string, turn int, check_id string, allowed boolean"))
     only = F.broadcast(spark.createDataFrame([(t, s, k) for (t, s), k in ONE_TURN.items()], "template_id string, scenario_id string, _only int"))
     rows = turns.withColumn("scenario_id", F.explode(F.array_distinct("scenario_ids"))).join(only, ["template_id", "scenario_id"], "left")
     lone = (F.col("template_id") == "S24") & F.col("_only").isNull() & (F.col("scenario_id") != "O04")
