@@ -59,9 +59,10 @@ def fair_queue(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats:
         F.explode(F.array(*[((ends + F.col("source_size") * k) / F.col("target")) for k in range(repeats)])).alias("finish"),
     )
     cut = running_totals(scratch, copies, ["finish", "_rank", "_key", "doc_id", "_hash"], ["_all"])
-    over = cut.where(F.col("_all_before") + F.col("_all") > F.col("_budget")).agg(F.min("finish").alias("_over"))
-    taken = sum((F.when(F.col("_over").isNull() | ((ends + F.col("source_size") * k) / F.col("target") < F.col("_over")), 1).otherwise(0) for k in range(repeats)), F.lit(0))
-    return queued.crossJoin(F.broadcast(over)).select(
+    over = cut.where(F.col("_all_before") + F.col("_all") > F.col("_budget")).agg(F.min("finish").alias("over")).first()["over"]  # one number
+    inside = lambda k: F.lit(True) if over is None else (ends + F.col("source_size") * k) / F.col("target") < F.lit(over)
+    taken = sum((F.when(inside(k), 1).otherwise(0) for k in range(repeats)), F.lit(0))
+    return queued.select(
         "doc_id", "source", "_hash", "_rows", "size", "source_size", "target", F.when(F.col("size") > 0, taken).otherwise(0).alias("copies")
     )
 
