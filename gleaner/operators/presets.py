@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.settled import Scratch
+from gleaner.settled import Scratch, running_totals
 from gleaner.operators.seeds import wording_fingerprint
 
 
@@ -117,9 +117,8 @@ def rotate_patterns(seeds: DataFrame, excluded: DataFrame) -> DataFrame:
     from the first round on, the second's from the second, and so on, so the rounds end with what choosing one by one gives."""
     scratch = Scratch(seeds.sparkSession)
     w = wording_fingerprint(seeds)
-    groups = w.select("template_id", "variable_group_id").distinct()
-    place = Window.orderBy("template_id", "variable_group_id")
-    groups = groups.withColumn("_k", F.row_number().over(place) - 1)  # a row per group
+    groups = w.select("template_id", "variable_group_id").distinct().withColumn("_one", F.lit(1).cast("long"))
+    groups = running_totals(scratch, groups, ["template_id", "variable_group_id"], ["_one"]).withColumnRenamed("_one_before", "_k").drop("_one")
     old = wording_fingerprint(excluded).select("wording").distinct().withColumn("_old", F.lit(1))
     turn = F.pmod(F.substring("question_pattern_id", 2, 9).cast("int") - 1 - F.col("_k"), F.lit(3))
     rows = w.join(groups, ["template_id", "variable_group_id"]).join(old, "wording", "left")

@@ -163,14 +163,18 @@ def gen_weather_seeds(spark, d):
     return pr.generate(templates, options, 12)
 
 
-@query("""WITH g AS (SELECT DISTINCT p_brand AS t, p_partkey // 3 AS g FROM part), k AS (SELECT *, row_number() OVER (ORDER BY t, g) - 1 AS k FROM g),
-  s AS (SELECT p_partkey AS seed_id, p_brand AS t, p_partkey // 3 AS g, p_partkey % 3 AS p, k, ((p_partkey % 3 - k) % 3 + 3) % 3 AS turn FROM part JOIN k ON p_brand = t AND p_partkey // 3 = g)
-  SELECT t AS template_id, g AS variable_group_id, arg_min(seed_id, turn) AS seed_id, 'P' || (arg_min(p, turn) + 1) AS question_pattern_id FROM s GROUP BY 1, 2""")
+@query("""WITH RECURSIVE g AS (SELECT DISTINCT p_brand AS t, p_partkey // 3 AS g FROM part), k AS (SELECT *, row_number() OVER (ORDER BY t, g) - 1 AS k FROM g),
+  c AS (SELECT k, p_partkey AS seed_id, p_brand AS t, p_partkey // 3 AS g, p_partkey % 3 + 1 AS p, ((p_partkey % 3 - k) % 3 + 3) % 3 AS turn, p_partkey % 997 AS w, p_partkey % 997 IN (SELECT p_partkey % 997 FROM part WHERE p_partkey % 13 = 0) AS old FROM part JOIN k ON p_brand = t AND p_partkey // 3 = g),
+  n AS (SELECT k, list({'turn': turn, 'seed': seed_id, 'p': p, 'w': w, 'old': old} ORDER BY turn, seed_id) AS cs FROM c GROUP BY 1),
+  s AS (SELECT -1::BIGINT AS k, 0::BIGINT AS seed_id, 0::BIGINT AS p, false AS reused, []::BIGINT[] AS used
+    UNION ALL SELECT n.k, x.seed, x.p, x.bad, list_append(used, x.w) FROM (SELECT n.k AS k2, used, list_transform(cs, lambda y: {'bad': y.old OR list_contains(used, y.w), 'turn': y.turn, 'seed': y.seed, 'p': y.p, 'w': y.w}) AS ys FROM s JOIN n ON n.k = s.k + 1) q
+      JOIN n ON n.k = q.k2, LATERAL (SELECT list_min(q.ys) AS x) z)
+  SELECT t AS template_id, g AS variable_group_id, seed_id, 'P' || p AS question_pattern_id, reused FROM s JOIN k USING (k)""")
 def smp_rotate_pattern(spark, d):
     p = table(spark, d, "part")
     s = p.select(F.col("p_brand").alias("template_id"), F.expr("p_partkey div 3").alias("variable_group_id"), F.col("p_partkey").alias("seed_id"),
-                 F.concat(F.lit("P"), (F.col("p_partkey") % 3 + 1).cast("string")).alias("question_pattern_id"), F.array(F.col("p_partkey").cast("string")).alias("user_turns"))
-    return pr.rotate_patterns(s, s.limit(0)).select("template_id", "variable_group_id", "seed_id", "question_pattern_id")
+                 F.concat(F.lit("P"), (F.col("p_partkey") % 3 + 1).cast("string")).alias("question_pattern_id"), F.array((F.col("p_partkey") % 997).cast("string")).alias("user_turns"))
+    return pr.rotate_patterns(s, s.where("seed_id % 13 = 0")).select("template_id", "variable_group_id", "seed_id", "question_pattern_id", "reused")
 
 
 @query("""SELECT s_suppkey, CASE s_suppkey % 4 WHEN 1 THEN 'missing_visible_catalog' WHEN 2 THEN 'catalog_mismatch' WHEN 3 THEN 'invalid_public_catalog' END AS code,
