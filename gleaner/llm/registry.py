@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleaner.llm import fmindex, langid, lzprint, mixing, mtree, packing, sharding, simhash, suffix, toxicity
+from gleaner.llm import divergence, fmindex, langid, lzprint, minhash, mixing, mtree, packing, sharding, simhash, suffix, toxicity
 
 
 def queries() -> dict:
@@ -17,8 +17,10 @@ def queries() -> dict:
         "op8_fm_dedup": fmindex.query,
         "op9_toxicity": toxicity.query,
         "op10_packing": packing.query,
+        "op11_divergence": divergence.query,
+        "op12_minhash": minhash.query,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op2_mixing": mixing.SQL, "op3_mtree_topk": mtree.SQL, "op8_fm_dedup": fmindex.SQL}
+    return {"op2_mixing": mixing.SQL, "op3_mtree_topk": mtree.SQL, "op8_fm_dedup": fmindex.SQL, "op11_divergence": divergence.SQL, "op12_minhash": minhash.SQL}
