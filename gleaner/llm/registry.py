@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleaner.llm import divergence, fmindex, langid, lzprint, minhash, mixing, mtree, packing, sharding, simhash, suffix, toxicity
+from gleaner.llm import divergence, fmindex, langid, lzprint, minhash, mixing, mtree, packing, repair, sharding, simhash, suffix, toxicity
 
 
 def queries() -> dict:
@@ -19,8 +19,12 @@ def queries() -> dict:
         "op10_packing": packing.query,
         "op11_divergence": divergence.query,
         "op12_minhash": minhash.query,
+        "op13_repair": repair.query,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op2_mixing": mixing.SQL, "op3_mtree_topk": mtree.SQL, "op8_fm_dedup": fmindex.SQL, "op11_divergence": divergence.SQL, "op12_minhash": minhash.SQL}
+    return {
+        "op2_mixing": mixing.SQL, "op3_mtree_topk": mtree.SQL, "op8_fm_dedup": fmindex.SQL, "op11_divergence": divergence.SQL,
+        "op12_minhash": minhash.SQL, "op13_repair": repair.SQL,
+    }
