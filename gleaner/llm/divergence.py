@@ -1,16 +1,16 @@
 """Source divergence audit: how far each source's use of words lies from every other source's and from its language's.
 
-Sort-based streaming. Each task counts the terms of its documents and emits a record a term, source and stretch of documents;
-the records are repartitioned and sorted by (lang, term, source, document), and a scan over runs adds up document frequencies
-and counts. A second scan, over runs of (lang, term), keeps the terms of at least MIN_DOCS documents. A third one, with the totals
-known, emits partial sums for the pairs of sources that share a term and a row for each term.
+Sort-based streaming. Each task counts the terms of its documents and emits records of a term, source and stretch of documents;
+the records are repartitioned by (lang, term) and sorted by (lang, term, source, document), and a scan over runs adds up document
+frequencies and counts and keeps the terms of at least MIN_DOCS documents. A second scan, with the totals known, emits partial
+sums for the pairs of sources that share a term and a row for each term.
 
 The sum over all kept terms for a pair (P, Q) is taken apart, exactly: terms that only one of both has depend on a count of P or
 of Q alone, so they are summed over the counts' histograms as if no term were shared, terms that neither has are one value times
 their number, and the scan of runs adds for each shared term what the histograms got wrong.
 
-A term that a third of all documents hold is pre-aggregated by each task and dealt to SALTS keys; a run of (lang, term) then
-has SALTS records a source at most. Pairs are summed inside a task and leave it as sums; the result itself has a row a pair.
+A term that a third of all documents hold stays in the counts of its task until the task ends, so it is a record a task and
+source and not one a document. Pairs are summed inside a task and leave it as sums; the result itself has a row a pair.
 
 Defined results: null text, lang and source are ''; a row is a document, whatever its doc_id, so equal rows count each; a document of
 any length is counted in slices; an empty table gives an empty result; ties go to the smaller item by UTF-8 bytes; other columns of the
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import Scratch, documents, lean, partitions, tune
 
-MIN_DOCS, TOP, SCALE, SALTS, HELD, SLICE, WIDTH = 3, 200, 1_000_000_000, 16, 100_000, 1 << 20, 1024
+MIN_DOCS, TOP, SCALE, HELD, OFTEN, SLICE, WIDTH = 3, 200, 1_000_000_000, 400_000, 8, 1 << 20, 1024
 #: Bytes outside of terms become blanks and A-Z lower case; UTF-8 writes all that isn't ASCII in bytes from 0x80 on.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -45,21 +45,27 @@ def slices(text: bytes, size: int = SLICE):
 
 
 def counted(docs: DataFrame, held: int = HELD) -> DataFrame:
-    """Records (lang, term, source, document, df, n): counts over a stretch of documents of one task, named by its first one."""
-    names = ["lang", "term", "source", "document", "df", "n"]
+    """Records (key, source, document, df, n): a term's counts over a stretch of documents of one task, named by its first one; key
+    is lang and term. Once a task holds ``held`` terms, those of few documents leave it; frequent ones stay and leave once at its end."""
+    names = ["key", "source", "document", "df", "n"]
 
     def walk(batches):
         groups, first, keys = {}, None, 0
 
-        def emit():
+        def emit(least):
+            nonlocal keys
             for (lang, source), (df, n) in groups.items():
-                terms = list(n)
+                stay = [t for t, k in df.items() if k >= least] if least else []
+                kept = Counter({t: df[t] for t in stay}), Counter({t: n[t] for t in stay})
+                for t in stay:
+                    df[t] = 0
+                terms, prefix = [t for t, k in df.items() if k], lang.encode() + b"\0"
                 for at in range(0, len(terms), 20_000):
                     some = terms[at : at + 20_000]
-                    same = lambda v, t: pa.array([v], t).take(pa.array(np.zeros(len(some), np.int64)))  # noqa: B023, E731
                     yield pa.RecordBatch.from_arrays(
-                        [same(lang, pa.string()), pa.array(some, pa.binary()).cast(pa.string()), same(source, pa.string()), same(first, pa.int64()), pa.array([df[t] for t in some], pa.int64()), pa.array([n[t] for t in some], pa.int64())],
-                        names=names)
+                        [pa.array([prefix + t for t in some], pa.binary()).cast(pa.string()), pa.repeat(pa.scalar(source, pa.string()), len(some)), pa.repeat(pa.scalar(first, pa.int64()), len(some)),
+                         pa.array([df[t] for t in some], pa.int64()), pa.array([n[t] for t in some], pa.int64())], names=names)
+                groups[lang, source], keys = kept, keys - len(terms)
 
         for b in batches:
             for doc, lang, source, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -71,15 +77,26 @@ def counted(docs: DataFrame, held: int = HELD) -> DataFrame:
                 df.update(seen)
                 keys += len(n) - before
                 if keys > held:
-                    yield from emit()
-                    groups, first, keys = {}, None, 0
-        yield from emit()
+                    yield from emit(OFTEN)
+                    if 2 * keys > held:
+                        yield from emit(0)
+                    first = None
+        yield from emit(0)
 
     empty = F.lit("")
     rows = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("document"), F.coalesce(F.col("lang").cast("string"), empty).alias("lang"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("document"), _escaped(F.coalesce(F.col("lang").cast("string"), empty)).alias("lang"),
         F.coalesce(F.col("source").cast("string"), empty).alias("source"), F.coalesce(F.col("text"), empty).cast("binary").alias("text"))
-    return rows.mapInArrow(lean(walk), "lang string, term string, source string, document long, df long, n long")
+    return rows.mapInArrow(lean(walk), "key string, source string, document long, df long, n long")
+
+
+def _escaped(lang: Column) -> Column:
+    """A language without the mark that parts it from a term in a key."""
+    return F.replace(F.replace(lang, F.lit("\1"), F.lit("\1\2")), F.lit("\0"), F.lit("\1\1"))
+
+
+def _plain(lang: Column) -> Column:
+    return F.replace(F.replace(lang, F.lit("\1\1"), F.lit("\0")), F.lit("\1\2"), F.lit("\1"))
 
 
 def _changes(t: pa.Table, keys: list[str]) -> np.ndarray:
@@ -108,40 +125,29 @@ def _whole_runs(batches, keys: list[str]):
         yield held
 
 
-def _merged(t: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
-    at = _changes(t, ["lang", "term", "source"])
-    add = lambda c: np.add.reduceat(t[c].to_numpy(), at) if len(at) else np.zeros(0, np.int64)
-    return t.select(["lang", "term", "source"]).take(pa.array(at)), add("df"), add("n")
-
-
-def _sorted_runs(df: DataFrame, by: list, order: list[str]) -> DataFrame:
+def _sorted_runs(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return df.repartition(partitions(df.sparkSession), *by).sortWithinPartitions(*order)
 
 
 def cells(docs: DataFrame, min_docs: int = MIN_DOCS, held: int = HELD) -> DataFrame:
     """(lang, term, source, n, lang_n, head): a source's and the language's count of each kept term; head is 1 once a term."""
 
-    def add_up(batches):
-        for t in _whole_runs(batches, ["lang", "term", "source"]):
-            keys, df, n = _merged(t)
-            yield from keys.append_column("df", pa.array(df)).append_column("n", pa.array(n)).to_batches(20_000)
-
-    def keep(batches):
-        for t in _whole_runs(batches, ["lang", "term"]):
-            keys, df, n = _merged(t)
-            at = _changes(keys, ["lang", "term"])
-            size = np.diff(np.append(at, len(keys)))
-            head = np.zeros(len(keys), np.int64)
-            head[at] = 1
-            kept = np.repeat(np.add.reduceat(df, at) >= min_docs, size)
-            out = keys.append_column("n", pa.array(n)).append_column("lang_n", pa.array(np.repeat(np.add.reduceat(n, at), size))).append_column("head", pa.array(head))
-            yield from out.filter(pa.array(kept)).to_batches(20_000)
-
-    records = counted(docs, held)
-    order = ["lang", "term", "source", "document"]
-    dealt = _sorted_runs(records, ["lang", "term", "source", F.pmod(F.xxhash64("document"), F.lit(SALTS))], order)
-    sums = dealt.mapInArrow(lean(add_up), "lang string, term string, source string, df long, n long")
-    return _sorted_runs(sums, ["lang", "term"], order[:3]).mapInArrow(lean(keep), "lang string, term string, source string, n long, lang_n long, head long")
+    def scan(batches):
+        for t in _whole_runs(batches, ["key"]):
+            term, own = _changes(t, ["key"]), _changes(t, ["key", "source"])
+            df, n = t["df"].to_numpy(), t["n"].to_numpy()
+            of = np.searchsorted(term, own, side="right") - 1  # the term of each run of one source
+            kept = (np.add.reduceat(df, term) >= min_docs)[of]
+            head = np.isin(own, term).astype(np.int64)
+            out = t.select(["key", "source"]).take(pa.array(own[kept]))
+            for name, column in (("n", np.add.reduceat(n, own)), ("lang_n", np.add.reduceat(n, term)[of]), ("head", head)):
+                out = out.append_column(name, pa.array(column[kept]))
+            yield from out.to_batches(20_000)
+
+    dealt = _sorted_runs(counted(docs, held), ["key"], ["key", "source", "document"])
+    found = dealt.mapInArrow(lean(scan), "key string, source string, n long, lang_n long, head long")
+    parts = F.split("key", "\0", 2)
+    return found.select(_plain(F.get(parts, F.lit(0))).alias("lang"), F.get(parts, F.lit(1)).alias("term"), "source", "n", "lang_n", "head")
 
 
 def _share(count: Column, total: Column) -> Column:
