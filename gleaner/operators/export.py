@@ -121,9 +121,9 @@ def export(entries: DataFrame, target_tools: str, prompt: str, reviews: DataFram
     )
     head = F.struct(F.lit("system").alias("role"), F.col("_system.system").alias("content"), F.lit(None).cast(traces.CALLS).alias("tool_calls"), F.lit(None).cast("string").alias("tool_call_id"))
     e = e.withColumn("reason", reason)
-    body = F.when(F.col("reason").isNull(), F.concat(F.array(head), traces.normalized(F.col("messages")))).cast(traces.MESSAGES)
+    body = F.when(F.col("reason").isNull(), F.concat(F.array(head), traces.normalized(F.col("messages"), as_written=True))).cast(traces.MESSAGES)
     attached = F.to_json(F.parse_json(F.lit(target_tools)))  # the same tools for every row
-    e = e.withColumn("messages", body).withColumn("target_tools", attached).withColumn("digest", F.sha2(F.to_json(F.struct("messages", "target_tools"), {"ignoreNullFields": "false"}), 256))
+    e = e.withColumn("messages", body).withColumn("target_tools", attached).withColumn("digest", F.sha2(F.to_json(F.struct(traces.canonical_calls(F.col("messages")).alias("messages"), "target_tools"), {"ignoreNullFields": "false"}), 256))
     lenient = lambda c: F.when(F.col("_failed") & F.col("reason").isNull(), c)
     rows = e.select(
         "id", "scenario", traces.tool_provenance(F.col("scenario"), F.size(F.coalesce("tools", F.array().cast(schemas.TOOLS))) > 0).alias("tool_provenance"), "reason", F.col("_failed").alias("failed"), "digest", "messages", F.col("target_tools").alias("tools"),

@@ -94,21 +94,6 @@ def remap_json(value: Column, mapping: dict[str, str]) -> Column:
     return out
 
 
-def generate(templates: DataFrame, options: DataFrame, groups: int, seed: str = "seeds", patterns: tuple[str, ...] = ("P1", "P2", "P3")) -> DataFrame:
-    """Seeds: templates (template_id) x groups x patterns; each group draws one of options (name, values) per name. A group
-    that repeats the choices of an earlier group of its template is dropped, so fewer groups may result."""
-    names = options.select("name", "values").collect()  # a row per variable of the templates
-    g = templates.select("template_id").withColumn("group", F.explode(F.sequence(F.lit(1), F.lit(groups))))
-    picks = [F.get(F.array(*[F.lit(v) for v in r["values"]]), F.floor(draw(f"{seed}:{r['name']}", F.col("template_id"), F.col("group")) * len(r["values"])).cast("int")).alias(r["name"]) for r in sorted(names, key=lambda r: r["name"])]
-    g = g.select("template_id", "group", *picks)
-    choice = [r["name"] for r in names]
-    first = g.groupBy("template_id", *choice).agg(F.min("group").alias("group"))
-    w = Window.partitionBy("template_id").orderBy("group")
-    kept = first.withColumn("variable_group_id", F.format_string("%s-G%02d", "template_id", F.row_number().over(w)))
-    rows = kept.withColumn("question_pattern_id", F.explode(F.array(*[F.lit(p) for p in patterns])))
-    return rows.select(F.concat_ws("-", "variable_group_id", "question_pattern_id").alias("seed_id"), "template_id", "variable_group_id", "question_pattern_id", *choice)
-
-
 def rotate_patterns(seeds: DataFrame, excluded: DataFrame) -> DataFrame:
     """One seed per group: the pattern whose turn it is (groups in order take P1, P2, P3 in rotation), the next one if its
     wording is among the excluded or chosen by an earlier group, the first in turn if all are; then it is marked ``reused``.

@@ -1,8 +1,12 @@
-"""Tool definitions and the arguments of calls against them, as columns.
+"""Tool definitions and the arguments of calls against them, as columns, to any depth.
 
-A definition is (type, name, params); a parameter is (path, type, required, enum): ``state`` at the top, ``state.type`` below it,
-``devices[]`` for an array's items. Types are strict: a boolean is no number, 1.0 no integer. ``params`` is null where the
-definition holds no parameters object.
+JSON is walked level by level inside a row: a fold carries all values found so far and those of the last level, so the expression has
+one size however deep a text nests. A value keeps its own text (numbers stay as they were written, members in their order) beside
+its canonical form, and its place: the positions on the way to it, which compare as the text is read.
+
+A definition is (type, name, specs); a spec is a place in its schema (path, type, required, keys, enum) where paths are the names on
+the way, parted by MARK, with ITEM for any item of an array. Types are strict: a boolean is no number, 1.0 no integer. What a
+schema doesn't describe is not looked at. ``specs`` is null where the definition holds no parameters object.
 """
 
 from __future__ import annotations
@@ -12,36 +16,79 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.text import let
 
-PARAM = "struct<path:string,type:string,required:boolean,enum:array<string>>"
-TOOLS = f"array<struct<type:string,name:string,params:array<{PARAM}>>>"
-#: What is read of a tool definition's JSON: properties, and properties or items below them.
-_LEAF = "struct<type:string,enum:array<variant>>"
-_NODE = f"struct<type:string,enum:array<variant>,required:array<string>,properties:map<string,{_LEAF}>,items:{_LEAF}>"
-_JSON = f"array<struct<type:string,function:struct<name:string,parameters:struct<type:string,required:array<string>,properties:map<string,{_NODE}>>>>>"
+MARK, ITEM = "\u0001", "\u0002"
+SPEC = "struct<path:string,type:string,required:array<string>,keys:array<string>,enum:array<string>>"
+TOOLS = f"array<struct<type:string,name:string,specs:array<{SPEC}>>>"
+_SCHEMA = "struct<type:string,required:array<string>,properties:map<string,string>,items:string,enum:array<variant>>"
+_TEXTS, _NODE = "struct<path:string,raw:string>", "struct<place:array<int>,path:string,json:string,raw:string>"
+#: A place behind all that lies below a value.
+_LAST = 2**31 - 1
+
+
+def _levels(first: Column, below, kind: str, text: Column) -> Column:
+    """first and all that below() finds under it, level by level; text: what bounds the depth."""
+    opened = F.length(text) - F.length(F.translate(text, "{[", ""))
+    start = F.struct(F.array(first).cast(f"array<{kind}>").alias("all"), F.array(first).cast(f"array<{kind}>").alias("edge"))
+
+    def step(found: Column, _: Column) -> Column:
+        more = F.flatten(F.transform(found["edge"], below)).cast(f"array<{kind}>")
+        return let(more, lambda m: F.when(F.size(m) <= 0, found).otherwise(F.struct(F.concat(found["all"], m).alias("all"), m.alias("edge"))))
+
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.coalesce(opened, F.lit(0)), F.lit(1))), start, step, lambda found: found["all"])
+
+
+def _same(json: Column) -> Column:
+    """A canonical value as it compares: truth is 1 or 0."""
+    return F.when(json == "true", "1").when(json == "false", "0").otherwise(json)
+
+
+def specs(schema: Column) -> Column:
+    """array<SPEC> of a JSON schema's text."""
+
+    def below(n: Column) -> Column:
+        path = lambda name: F.concat(n["path"], F.lit(MARK), name)
+        parts = lambda s: F.when(
+            s["type"] == "object", F.transform(F.map_entries(s["properties"]), lambda e: F.struct(path(e["key"]).alias("path"), e["value"].alias("raw")))
+        ).when((s["type"] == "array") & s["items"].isNotNull(), F.array(F.struct(path(F.lit(ITEM)).alias("path"), s["items"].alias("raw"))))
+        return F.coalesce(let(F.from_json(n["raw"], _SCHEMA), parts), F.array().cast(f"array<{_TEXTS}>"))
 
+    def spec(n: Column) -> Column:
+        strings = F.array().cast("array<string>")
+        return let(F.from_json(n["raw"], _SCHEMA), lambda s: F.struct(
+            n["path"].alias("path"), s["type"].alias("type"), F.coalesce(s["required"], strings).alias("required"), F.coalesce(F.map_keys(s["properties"]), strings).alias("keys"),
+            F.transform(s["enum"], lambda v: _same(F.coalesce(F.to_json(v), F.lit("null")))).alias("enum")))
 
-def _param(path: Column, node: Column, required: Column) -> Column:
-    enum = F.transform(F.coalesce(node["enum"], F.array().cast("array<variant>")), lambda v: F.to_json(v))
-    return F.struct(path.alias("path"), node["type"].alias("type"), F.coalesce(required, F.lit(False)).alias("required"), enum.alias("enum"))
+    return F.transform(_levels(F.struct(F.lit("").alias("path"), schema.alias("raw")), below, _TEXTS, schema), spec)
+
+
+def values(text: Column) -> Column:
+    """Every value of a JSON text: place, path, canonical form and its own text (a string's without quotes)."""
+    null = F.lit("null")
+
+    def below(n: Column) -> Column:
+        def node(k: Column, name: Column, value: Column, raw: Column) -> Column:
+            return F.struct(F.concat(n["place"], F.array(k)).alias("place"), F.concat(n["path"], F.lit(MARK), name).alias("path"), F.coalesce(F.to_json(value), null).alias("json"), raw.alias("raw"))
+
+        kind = F.substring(n["json"], 1, 1)
+        entries = [F.map_entries(F.from_json(n["raw"], f"map<string,{t}>")).alias(a) for t, a in (("variant", "v"), ("string", "t"))]
+        items = [F.from_json(n["raw"], f"array<{t}>").alias(a) for t, a in (("variant", "v"), ("string", "t"))]
+        members = F.transform(F.arrays_zip(*entries), lambda e, k: node(k, e["v"]["key"], e["v"]["value"], e["t"]["value"]))
+        listed = F.transform(F.arrays_zip(*items), lambda e, k: node(k, F.lit(ITEM), e["v"], e["t"]))
+        return F.coalesce(F.when(kind == "{", members).when(kind == "[", listed), F.array().cast(f"array<{_NODE}>"))
+
+    first = F.struct(F.array().cast("array<int>").alias("place"), F.lit("").alias("path"), F.coalesce(F.to_json(F.try_parse_json(text)), null).alias("json"), text.alias("raw"))
+    return _levels(first, below, _NODE, text)
 
 
 def definitions(text: Column) -> Column:
     """TOOLS of a JSON array of tool definitions; null where the text is none."""
+    parsed = F.from_json(text, "array<struct<type:string,function:struct<name:string,parameters:string>>>")
 
-    def below(e: Column) -> Column:
-        key, node = e["key"], e["value"]
-        none = F.array().cast(f"array<{PARAM}>")
-        inner = F.transform(F.map_entries(node["properties"]), lambda x: _param(F.concat_ws(".", key, x["key"]), x["value"], F.array_contains(node["required"], x["key"])))
-        items = F.when(node["items"].isNotNull(), F.array(_param(F.concat(key, F.lit("[]")), node["items"], F.lit(False))))
-        return F.concat(F.coalesce(inner, none), F.coalesce(items, none))
+    def one(t: Column) -> Column:
+        p = t["function"]["parameters"]
+        return F.struct(t["type"].alias("type"), t["function"]["name"].alias("name"), F.when(F.startswith(F.ltrim(p), F.lit("{")), specs(p)).alias("specs"))
 
-    def flat(p: Column) -> Column:
-        top = F.map_entries(p["properties"])
-        return F.concat(F.transform(top, lambda e: _param(e["key"], e["value"], F.array_contains(p["required"], e["key"]))), F.flatten(F.transform(top, below)))
-
-    return F.transform(F.from_json(text, _JSON), lambda t: F.struct(
-        t["type"].alias("type"), t["function"]["name"].alias("name"),
-        F.when(t["function"]["parameters"].isNotNull(), F.coalesce(flat(t["function"]["parameters"]), F.array().cast(f"array<{PARAM}>"))).alias("params")))
+    return F.transform(parsed, one)
 
 
 def definition_problem(tools: Column) -> Column:
@@ -49,53 +96,37 @@ def definition_problem(tools: Column) -> Column:
     names = F.transform(tools, lambda t: t["name"])
 
     def one(t: Column, k: Column) -> Column:
-        shaped = F.coalesce(t["type"] == "function", F.lit(False)) & t["params"].isNotNull()
+        shaped = F.coalesce(t["type"] == "function", F.lit(False)) & t["specs"].isNotNull()
         new = F.coalesce((t["name"] != "") & (F.array_position(names, t["name"]) == k + 1), F.lit(False))
         return F.when(~shaped, "invalid_tool_definitions").when(~new, "duplicate_or_missing_tool_name")
 
     return F.when(tools.isNull() | (F.size(tools) == 0), "missing_home_tool_snapshot").otherwise(F.get(F.array_compact(F.transform(tools, one)), F.lit(0)))
 
 
-def _members(entries: Column, params: Column, prefix: Column | None, depth: int) -> Column:
-    """The first problem of an object's members: what is missing, what is unknown, then the values in order."""
-    if prefix is None:
-        specs = F.filter(params, lambda p: ~F.contains(p["path"], F.lit(".")) & ~p["path"].endswith("[]"))
-        name = lambda p: p["path"]
-    else:
-        specs = F.filter(params, lambda p: F.startswith(p["path"], F.concat(prefix, F.lit("."))))
-        name = lambda p: F.substr(p["path"], F.length(prefix) + 2)
-    keys, known = F.transform(entries, lambda e: e["key"]), F.transform(specs, name)
-    needed = F.transform(F.filter(specs, lambda p: p["required"]), name)
-    path = lambda e: e["key"] if prefix is None else F.concat_ws(".", prefix, e["key"])
-    return F.coalesce(
-        F.when(F.size(F.array_except(needed, keys)) > 0, "arguments_missing_required"),
-        F.when(F.size(F.array_except(keys, known)) > 0, "arguments_unknown_property"),
-        F.get(F.array_compact(F.transform(entries, lambda e: _value(e["value"], path(e), params, depth))), F.lit(0)),
-    )
-
-
-def _value(value: Column, path: Column, params: Column, depth: int) -> Column:
-    spec = F.get(F.filter(params, lambda p: p["path"] == path), F.lit(0))
-    kind = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
-
-    def fits(s: Column) -> Column:
-        wrong = [
-            F.when((s["type"] == t) & ~ok, f"arguments_not_{t}")
-            for t, ok in (("string", kind == "STRING"), ("boolean", kind == "BOOLEAN"), ("integer", kind == "BIGINT"), ("array", F.startswith(kind, F.lit("ARRAY"))), ("object", F.startswith(kind, F.lit("OBJECT"))))
-        ]
-        if depth:
-            inner = F.map_entries(F.from_json(F.to_json(value), "map<string,variant>"))
-            wrong.append(F.when(s["type"] == "object", _members(inner, params, path, depth - 1)))
-            items = F.from_json(F.to_json(value), "array<variant>")
-            wrong.append(F.when(s["type"] == "array", F.get(F.array_compact(F.transform(items, lambda i: _value(i, F.concat(path, F.lit("[]")), params, 0))), F.lit(0))))
-        wrong.append(F.when((F.size(s["enum"]) > 0) & ~F.array_contains(s["enum"], F.to_json(value)), "arguments_invalid_enum"))
-        return F.coalesce(*wrong)
-
-    return let(spec, fits)
+def _faults(n: Column, s: Column) -> Column:
+    """(place, code) of what a value breaks of its spec: before its members are looked at, and after."""
+    kind = F.substring(n["json"], 1, 1)
+    is_ = {"object": kind == "{", "string": kind == '"', "boolean": kind.isin("t", "f"), "integer": (kind != '"') & F.coalesce(n["raw"].rlike(r"^\s*-?\d+\s*$"), F.lit(False)), "array": kind == "["}
+    names = F.map_keys(F.from_json(n["raw"], "map<string,string>"))
+    early = F.coalesce(
+        *[F.when((s["type"] == t) & ~ok, f"arguments_not_{t}") for t, ok in is_.items()],
+        F.when((s["type"] == "object") & (F.size(F.array_except(s["required"], names)) > 0), "arguments_missing_required"),
+        F.when((s["type"] == "object") & (F.size(F.array_except(names, s["keys"])) > 0), "arguments_unknown_property"))
+    late = F.when(s["enum"].isNotNull() & ~F.array_contains(s["enum"], _same(n["json"])), "arguments_invalid_enum")
+    return F.array(F.struct(n["place"].alias("place"), early.alias("code")), F.struct(F.concat(n["place"], F.array(F.lit(_LAST))).alias("place"), late.alias("code")))
+
+
+def argument_problem(arguments: Column, schema: Column) -> Column:
+    """The first rule of a schema (array<SPEC>) that a JSON text breaks, in the order in which the text is read; null for a sound one."""
+
+    def faults(n: Column) -> Column:
+        known = F.filter(schema, lambda s: s["path"] == n["path"])
+        return F.flatten(F.transform(known, lambda s: F.filter(_faults(n, s), lambda f: f["code"].isNotNull())))
+
+    return F.array_min(F.flatten(F.transform(values(arguments), faults)))["code"]
 
 
 def issue(name: Column, arguments: Column, tools: Column, unknown: str = "unknown_tool") -> Column:
     """The first rule of its tool that a call breaks; null for a sound call. arguments: JSON text."""
     tool = F.get(F.filter(tools, lambda t: t["name"] == name), F.lit(0))
-    entries = F.map_entries(F.from_json(arguments, "map<string,variant>"))
-    return F.when(tool.isNull(), unknown).otherwise(F.when(entries.isNull(), "arguments_not_object").otherwise(_members(entries, tool["params"], None, 1)))
+    return let(tool, lambda t: F.when(t.isNull(), unknown).otherwise(argument_problem(arguments, t["specs"])))

@@ -130,14 +130,21 @@ def validate(traces: DataFrame) -> DataFrame:
     return traces.select("sample_id", state["reason"].alias("reason"))
 
 
-def normalized(messages: Column) -> Column:
+def canonical_calls(messages: Column) -> Column:
+    """Messages with their calls' arguments as canonical JSON."""
+    call = lambda c: F.struct(c["id"].alias("id"), c["type"].alias("type"), F.struct(
+        c["function"]["name"].alias("name"), F.coalesce(F.to_json(F.try_parse_json(c["function"]["arguments"])), c["function"]["arguments"]).alias("arguments")).alias("function"))
+    return F.transform(messages, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"), F.transform(m["tool_calls"], call).alias("tool_calls"), m["tool_call_id"].alias("tool_call_id")))
+
+
+def normalized(messages: Column, as_written: bool = False) -> Column:
     """A trace's messages without the system message: four keys, call ids call_1.. in trace order, answers relinked to them,
-    arguments as canonical JSON."""
+    arguments as canonical JSON, or as they were written."""
     rest = F.slice(messages, 2, F.greatest(F.size(messages), F.lit(1)))
     ids = F.flatten(F.transform(rest, lambda m: F.transform(F.coalesce(m["tool_calls"], F.array().cast(CALLS)), lambda c: c["id"])))
     new = lambda i: F.when(F.array_contains(ids, i), F.concat(F.lit("call_"), F.array_position(ids, i).cast("string")))
     call = lambda c: F.struct(new(c["id"]).alias("id"), F.lit("function").alias("type"), F.struct(
-        c["function"]["name"].alias("name"), F.coalesce(F.to_json(F.try_parse_json(c["function"]["arguments"])), c["function"]["arguments"]).alias("arguments")).alias("function"))
+        c["function"]["name"].alias("name"), (c["function"]["arguments"] if as_written else F.coalesce(F.to_json(F.try_parse_json(c["function"]["arguments"])), c["function"]["arguments"])).alias("arguments")).alias("function"))
     return F.transform(rest, lambda m: F.struct(
         m["role"].alias("role"), m["content"].alias("content"), F.when(F.size(m["tool_calls"]) > 0, F.transform(m["tool_calls"], call)).alias("tool_calls"), F.when(m["role"] == "tool", new(m["tool_call_id"])).alias("tool_call_id")))
 

@@ -263,7 +263,7 @@ def training_rows(spark, d) -> DataFrame:
     return x.withColumn("rendered", tn.render(F.col("messages"), F.col("tools")))
 
 
-_CALLED = "'<tool_call>' || chr(10) || '<function=get_weather>' || chr(10) || '<parameter=lang>' || chr(10) || 'zh' || chr(10) || '</parameter>' || chr(10) || '<parameter=place>' || chr(10) || 'c' || g || chr(10) || '</parameter>' || chr(10) || '</function>' || chr(10) || '</tool_call>'"
+_CALLED = "'<tool_call>' || chr(10) || '<function=get_weather>' || chr(10) || '<parameter=place>' || chr(10) || 'c' || g || chr(10) || '</parameter>' || chr(10) || '<parameter=lang>' || chr(10) || 'zh' || chr(10) || '</parameter>' || chr(10) || '</function>' || chr(10) || '</tool_call>'"
 _HEAD = "'" + f"<|im_start|>system\n{tn.TOOLS_HEAD}\n{LINES[0]}\n{LINES[1]}{tn.TOOLS_TAIL}\n\nnew prompt".replace("'", "''") + "'"
 _CATALOG = "' [{\"entity_id\": \"light.' || g || '\", \"name\": \"灯\", \"controllable\": true}]'"
 _RENDERED = f"""x AS (SELECT *, {_HEAD} || CASE WHEN scenario = 'home_switch' THEN chr(10) || chr(10) || '{CATALOG_MARK}' || substr({_CATALOG}, 2) ELSE '' END || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || 'weather ' || g || '?<|im_end|>' || chr(10)
@@ -283,17 +283,6 @@ def fmt_verify_render(spark, d):
     return training_rows(spark, d).select("row_index", tn.render_problem(changed, F.col("messages"), F.col("tools")).alias("problem"))
 
 
-@query(f"WITH {EXPORTED}, {_RENDERED}, w AS (SELECT *, string_split(rendered, chr(10)) AS w FROM x) SELECT id AS row_index, len(w)::INTEGER AS tokens, 2 AS assistant_messages, 1 AS tool_calls, 'token_crosses_loss_boundary' AS error FROM w")
-def fmt_encode_dataset(spark, d):
-    """Tokens are lines here; the last line of a reply holds the end mark and the line's end, so it crosses the reply's edge."""
-    r = training_rows(spark, d)
-    t = r.select("row_index", F.posexplode(F.split("rendered", "\n", -1)).alias("position", "token"))
-    w = Window.partitionBy("row_index").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.coalesce(F.sum(F.length("token") + 1).over(w), F.lit(0))
-    t = t.select("row_index", F.col("position").cast("long").alias("position"), F.length("token").cast("long").alias("id"), left.alias("left"), (left + F.length("token") + 1).alias("right"))
-    return tn.encode(r, t, 10**6, -1).select("row_index", "tokens", "assistant_messages", "tool_calls", "error")
-
-
 @query("""WITH w AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '<think>' || text ELSE text END AS t FROM documents)
   SELECT doc_id, CASE WHEN contains(t, '<|im_start|>') OR contains(t, '<|im_end|>') OR contains(t, '<|endoftext|>') THEN 'raw_chat_control_marker' WHEN contains(t, '<think>') OR contains(t, '</think>') THEN 'reasoning_data_requires_separate_policy' END AS problem FROM w""")
 def flt_reasoning(spark, d):

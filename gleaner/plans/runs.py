@@ -88,6 +88,21 @@ def jn_prior_read(spark, d):
     return t.select("sample_id", F.explode(w).alias("w")).select("sample_id", "w.*")
 
 
+@query("""WITH o AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem),
+  c AS (SELECT l_orderkey AS sample_id, (n - 1) // 3 + 1 AS turn, n AS call, l_partkey % 3 = 0 AS reads, n // 2 * 2 AS at, n // 2 * 2 + 1 + l_suppkey % 2 AS came FROM o),
+  w AS (SELECT *, (SELECT arg_max(r.call, (r.came, r.call)) FROM c r WHERE r.sample_id = c.sample_id AND r.turn = c.turn AND r.reads AND r.came < c.at) AS mine, (SELECT max(r.call) FROM c r WHERE r.sample_id = c.sample_id AND r.turn = c.turn - 1 AND r.reads) AS prev,
+    (SELECT arg_min(r.call, (r.at, r.call)) FROM c r WHERE r.sample_id = c.sample_id AND r.turn = c.turn AND r.reads AND r.at > c.came) AS after FROM c WHERE NOT reads)
+  SELECT sample_id, turn, call, CASE WHEN mine IS NOT NULL THEN turn WHEN sample_id % 2 = 0 AND prev IS NOT NULL THEN turn - 1 END AS before_turn, coalesce(mine, CASE WHEN sample_id % 2 = 0 THEN prev END) AS before, after FROM w""")
+def jn_prior_read_policy(spark, d):
+    """Both policies, and calls of one reply that share an index."""
+    n, at = F.col("n"), F.expr("n div 2 * 2")
+    numbered = table(spark, d, "lineitem").withColumn("n", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")))
+    c = numbered.select(
+        F.col("l_orderkey").alias("sample_id"), F.expr("(n - 1) div 3 + 1").alias("turn"), n.alias("call"), F.when(F.col("l_partkey") % 3 == 0, hc.READ).otherwise(hc.WRITE).alias("name"), at.alias("index"), (at + 1 + F.col("l_suppkey") % 2).alias("result_index"))
+    turns = c.select("sample_id", "turn").distinct().withColumn("read_policy", F.when(F.col("sample_id") % 2 == 0, "current_or_previous").otherwise("required"))
+    return hc.prior_reads(c, turns)
+
+
 @query("""WITH s AS (SELECT CASE WHEN p_partkey % 30 <= 16 THEN 'positive' ELSE 'negative' END AS sample_type, CASE p_size % 3 WHEN 0 THEN 'pass' WHEN 1 THEN 'fail' ELSE 'error' END AS status FROM part)
   SELECT sample_type, count(*) FILTER (WHERE status = 'pass') AS passed, count(*) FILTER (WHERE status = 'fail') AS failed, count(*) FILTER (WHERE status <> 'error') AS count, avg(CASE status WHEN 'pass' THEN 1.0 WHEN 'fail' THEN 0.0 END) AS pass_rate FROM s GROUP BY 1""")
 def agg_groups(spark, d):

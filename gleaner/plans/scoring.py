@@ -153,16 +153,6 @@ def src_preset_library(spark, d):
     return pr.library(table(spark, d, "part").select(F.col("p_brand").alias("preset"), config.alias("config")))
 
 
-@query("""WITH g AS (SELECT p_brand AS template_id, k AS grp, floor(('0x' || substr(sha256('seeds:size|' || p_brand || '|' || k), 1, 12))::BIGINT / 281474976710656.0 * 5)::INTEGER + 1 AS size,
-    floor(('0x' || substr(sha256('seeds:type|' || p_brand || '|' || k), 1, 12))::BIGINT / 281474976710656.0 * 3)::INTEGER + 1 AS type FROM (SELECT DISTINCT p_brand FROM part) CROSS JOIN range(1, 13) t(k)),
-  f AS (SELECT template_id, size, type, min(grp) AS grp FROM g GROUP BY ALL), n AS (SELECT *, format('{}-G{:02d}', template_id, row_number() OVER (PARTITION BY template_id ORDER BY grp)) AS vg FROM f)
-  SELECT vg || '-P' || p AS seed_id, template_id, vg AS variable_group_id, 'P' || p AS question_pattern_id, ['1', '5', '10', '20', '50'][size] AS size, ['a', 'b', 'c'][type] AS type FROM n CROSS JOIN (VALUES (1), (2), (3)) v(p)""")
-def gen_weather_seeds(spark, d):
-    templates = table(spark, d, "part").select(F.col("p_brand").alias("template_id")).distinct()
-    options = spark.createDataFrame([("size", ["1", "5", "10", "20", "50"]), ("type", ["a", "b", "c"])], "name string, values array<string>")
-    return pr.generate(templates, options, 12)
-
-
 @query("""WITH RECURSIVE g AS (SELECT DISTINCT p_brand AS t, p_partkey // 3 AS g FROM part), k AS (SELECT *, row_number() OVER (ORDER BY t, g) - 1 AS k FROM g),
   c AS (SELECT k, p_partkey AS seed_id, p_brand AS t, p_partkey // 3 AS g, p_partkey % 3 + 1 AS p, ((p_partkey % 3 - k) % 3 + 3) % 3 AS turn, p_partkey % 997 AS w, p_partkey % 997 IN (SELECT p_partkey % 997 FROM part WHERE p_partkey % 13 = 0) AS old FROM part JOIN k ON p_brand = t AND p_partkey // 3 = g),
   n AS (SELECT k, list({'turn': turn, 'seed': seed_id, 'p': p, 'w': w, 'old': old} ORDER BY turn, seed_id) AS cs FROM c GROUP BY 1),

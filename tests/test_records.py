@@ -1,9 +1,11 @@
 """Judge verdicts, score integrity, systems, presets and generated seeds."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from gleaner.operators import presets as pr
 from gleaner.operators import records as rc
+from gleaner.operators import weather_seeds as ws
 
 PROOF = "array<struct<message_index:int,quote:string>>"
 
@@ -82,19 +84,65 @@ def test_presets(spark):
     assert p.select(pr.remap(F.array(F.lit("x"), F.lit("y")), {"x": "y", "y": "x"}).alias("r")).first()["r"] == ["y", "x"]
 
 
-def test_generated_seeds_and_rotation(spark):
-    templates = spark.createDataFrame([("S01",), ("S02",)], "template_id string")
-    options = spark.createDataFrame([("city", ["a", "b", "c"]), ("day", ["1", "2"])], "name string, values array<string>")
-    s = pr.generate(templates, options, 30)
+WORDS = {
+    "default_cities": ["a", "b", "c"], "province_cities": [("p", "a"), ("q", "b")], "ambiguous_places": [("n", "x", "nx"), ("n", "y", "ny")], "invalid_places": ["mars"], "weather_remarks": ["hot", "cold", "wet"],
+    "other_requests": ["sing", "joke", "rhyme"], "vague_dates": ["then"], "cancel_texts": ["stop"], "detail_questions": [("rain", "when"), ("wind", "where")],
+}
+TURNS = {
+    "S01": ("default_city query_kind", ["{query_text}?"]), "S02": ("default_city target_city query_kind date_mode target_day", ["{target_city}{day_text}{query_text}"]), "S03": ("weather_remark", ["{weather_remark}"]), "S04": ("other_request", ["{other_request}"]),
+    "S05": ("target_city query_kind target_day date_mode other_request request_order", ["{first_clause}/{second_clause}"]), "S06": ("target_city query_kind start_day day_count", ["{target_city}{start_text}{day_count}"]),
+    "S07": ("target_city query_kind vague_date_text target_day", ["{target_city}{vague_date_text}", "{day_text}"]), "S08": ("target_city query_kind days_ago", ["{past_text}{target_city}"]), "S09": ("target_city query_kind days_ahead", ["{future_text}{target_city}"]),
+    "S10": ("target_city", ["{target_city}"]), "S11": ("province target_city query_kind target_day", ["{province}", "{target_city}"]), "S12": ("ambiguous_name target_adm target_city query_kind target_day", ["{ambiguous_name}", "{target_adm}"]),
+    "S13": ("target_adm target_city query_kind target_day", ["{target_adm}{target_city}"]), "S15": ("invalid_location target_city query_kind target_day", ["{invalid_location}", "{target_city}"]), "S19": ("target_city query_kind first_day target_day", ["{first_day_text}", "{day_text}"]),
+    "S20": ("first_city target_city query_kind target_day", ["{first_city}", "{target_city}"]), "S22": ("target_city target_day requested_field detail_question", ["{detail_question}"]),
+    "S24": ("clarification_kind province target_city vague_date_text cancel_text", ["{clarification_subject}", "{cancel_text}"]),
+}
+
+
+def seed_templates(spark, names):
+    rows = [(n, TURNS[n][0].split(), [[f"{k}{t}" for t in TURNS[n][1]] for k in "xyz"], ["R01", "O04"], n == "S24") for n in names]
+    return spark.createDataFrame(rows, "template_id string, variables array<string>, patterns array<array<string>>, scenario_ids array<string>, target_only boolean")
+
+
+def test_seeds_of_every_template_differ_by_group_and_hold_together(spark):
+    s = ws.generate(seed_templates(spark, TURNS), spark.createDataFrame([tuple(WORDS.values())], ws.LEXICON), 3)
     rows = s.collect()
-    assert rows == s.collect() and len({r["seed_id"] for r in rows}) == len(rows)
-    per = {}
+    assert len(rows) == len(TURNS) * 3 * 3 and len({r["seed_id"] for r in rows}) == len(rows) and sorted(map(repr, rows)) == sorted(map(repr, s.collect()))
+    by = {}
     for r in rows:
-        per.setdefault((r["template_id"], r["variable_group_id"]), set()).add((r["city"], r["day"], r["question_pattern_id"]))
-    assert all(len(v) == 3 and len({x[:2] for x in v}) == 1 for v in per.values())
-    for t in ("S01", "S02"):
-        choices = [next(iter(v))[:2] for k, v in per.items() if k[0] == t]
-        assert len(set(choices)) == len(choices) <= 6
+        by.setdefault(r["template_id"], {}).setdefault(r["variable_group_id"], []).append(r)
+        assert all("{" not in t for t in r["user_turns"]) and len(r["user_turns"]) == len(TURNS[r["template_id"]][1]) and len(set(r["scenario_ids"])) == len(r["scenario_ids"])
+        v = r["variables"]
+        if r["template_id"] in ("S02", "S05", "S06", "S11", "S12", "S15", "S22") and r["target_city"]:
+            assert r["target_city"] != r["default_city"]
+        if r["template_id"] == "S06":
+            assert r["target_days"] == list(range(int(v["start_day"]), int(v["start_day"]) + int(v["day_count"]))) and 2 <= int(v["day_count"]) <= 4 and r["target_days"][-1] <= 6
+        if r["template_id"] == "S11":
+            assert (v["province"], r["target_city"]) in WORDS["province_cities"] and {"L04", "M01", "F01"} & set(r["scenario_ids"])
+        if r["template_id"] == "S19":
+            assert int(v["first_day"]) != r["target_day"]
+        if r["template_id"] == "S24":
+            assert ("L04" in r["scenario_ids"]) == (v["clarification_kind"] == "city") == r["variable_group_id"].endswith(("1", "3")) and r["target_only"] and r["expect_follow"]
+    for groups in by.values():
+        chosen = [repr((sorted(g[0]["variables"].items()), g[0]["default_city"], g[0]["target_city"], g[0]["target_day"])) for g in groups.values()]
+        assert len(groups) == 3 and len(set(chosen)) == 3
+    assert {r["target_day"] for g in list(by["S02"].values()) for r in g} == {0, 1, 6}
+
+
+def test_too_few_words_are_an_error(spark):
+    words = spark.createDataFrame([tuple(WORDS.values())], ws.LEXICON)
+    assert ws.generate(seed_templates(spark, ["S03"]), words, 3).count() == 9
+    with pytest.raises(ValueError, match="too few words.*S03"):
+        ws.generate(seed_templates(spark, ["S03", "S06"]), words, 4, rounds=12)
+    fixed = ws.generate(seed_templates(spark, ["S01"]), words, 5, default_city="Z").collect()  # five kinds of questions in a fixed city
+    assert {r["default_city"] for r in fixed} == {"Z"} and len({r["variables"]["query_kind"] for r in fixed}) == 5
+    lacking = seed_templates(spark, ["S03"]).withColumn("patterns", F.array(F.array(F.lit("{nothing}"))))
+    with pytest.raises(Exception, match="lacks a variable"):
+        ws.generate(lacking, words, 1).collect()
+
+
+def test_rotation_of_wordings(spark):
+    s = ws.generate(seed_templates(spark, ["S01", "S02"]), spark.createDataFrame([tuple(WORDS.values())], ws.LEXICON), 6)
     worded = s.withColumn("user_turns", F.array("seed_id"))
     got = pr.rotate_patterns(worded, worded.limit(0)).orderBy("template_id", "variable_group_id").collect()
     assert [r["question_pattern_id"] for r in got][:4] == ["P1", "P2", "P3", "P1"] and not any(r["reused"] for r in got)
