@@ -6,8 +6,8 @@ size. All copies are sorted globally by virtual finish time and cut where the ru
 the targets add up to the budget, every source is cut near time 1.
 
 Defined results: a null text has size 0; documents of size 0 are never taken; a null source is a source of its own,
-ordered last; rows that agree in doc_id, source and text move together (all or none of them in a pass); rows that
-share only doc_id are separate; an empty table gives an empty result; other columns are carried by ``mix`` untouched.
+ordered last; rows that agree in doc_id, source and text are numbered and queued one by one; an empty table gives an empty
+result; other columns are carried by ``mix`` untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,45 +41,55 @@ def _targets(sizes: DataFrame, weights, share: float, repeats: int) -> DataFrame
 
 
 def fair_queue(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: str = SEED) -> DataFrame:
-    """A row per distinct (doc_id, source, text): size, source_size, target, copies taken (0 to repeats) and how many
-    rows it stands for (_rows). Only these narrow columns are shuffled, never the texts."""
+    """A row per document, equal ones numbered (_nth, from 0, of _rows): size, source_size, target and copies taken (0 to
+    repeats). Only these narrow columns are shuffled, never the texts."""
     spark, scratch = tune(docs.sparkSession), Scratch(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     sizes = docs.select(
         "doc_id", "source", F.xxhash64("text").alias("_hash"), F.regexp_count(text, F.lit(WORD_SQL)).cast("long").alias("size")
     )
-    sizes = scratch.settle(sizes.groupBy("doc_id", "source", "_hash", "size").agg(F.count("*").alias("_rows")).withColumn("_all", F.col("size") * F.col("_rows")))
-    targets = scratch.settle(_targets(sizes.select("source", F.col("_all").alias("size")), weights, share, repeats))
+    sizes = scratch.settle(sizes.groupBy("doc_id", "source", "_hash", "size").agg(F.count("*").alias("_rows")))
+    targets = scratch.settle(_targets(sizes.select("source", (F.col("size") * F.col("_rows")).alias("size")), weights, share, repeats))
+    sizes = sizes.withColumn("_nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_rows") - 1)))
     keyed = sizes.join(targets, sizes["source"].eqNullSafe(targets["source"])).select(sizes["*"], "source_size", "target", "_rank", "_start", "_budget")
     keyed = keyed.withColumn("_key", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    queued = scratch.settle(running_totals(scratch, keyed, ["_rank", "_key", "doc_id", "_hash"], ["_all"]))
-    ends = F.col("_all_before") - F.col("_start") + F.col("_all")
-    copies = queued.where("_all > 0").select(
-        "_all", "_rank", "_key", "doc_id", "_hash", "_budget",
+    queued = scratch.settle(running_totals(scratch, keyed, ["_rank", "_key", "doc_id", "_hash", "_nth"], ["size"]))
+    ends = F.col("size_before") - F.col("_start") + F.col("size")
+    copies = queued.where("size > 0").select(
+        "size", "_rank", "_key", "doc_id", "_hash", "_nth", "_budget",
         F.explode(F.array(*[((ends + F.col("source_size") * k) / F.col("target")) for k in range(repeats)])).alias("finish"),
     )
-    cut = running_totals(scratch, copies, ["finish", "_rank", "_key", "doc_id", "_hash"], ["_all"])
-    over = cut.where(F.col("_all_before") + F.col("_all") > F.col("_budget")).agg(F.min("finish").alias("over")).first()["over"]  # one number
+    cut = running_totals(scratch, copies, ["finish", "_rank", "_key", "doc_id", "_hash", "_nth"], ["size"])
+    over = cut.where(F.col("size_before") + F.col("size") > F.col("_budget")).agg(F.min("finish").alias("over")).first()["over"]  # one number
     inside = lambda k: F.lit(True) if over is None else (ends + F.col("source_size") * k) / F.col("target") < F.lit(over)
     taken = sum((F.when(inside(k), 1).otherwise(0) for k in range(repeats)), F.lit(0))
     return queued.select(
-        "doc_id", "source", "_hash", "_rows", "size", "source_size", "target", F.when(F.col("size") > 0, taken).otherwise(0).alias("copies")
+        "doc_id", "source", "_hash", "_rows", "_nth", "size", "source_size", "target", F.when(F.col("size") > 0, taken).otherwise(0).alias("copies")
     )
 
 
 def mix(docs: DataFrame, **params) -> DataFrame:
     """The mixture itself: docs' rows and columns, each as often as the queue takes it."""
-    q = fair_queue(docs, **params).where("copies > 0").select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "_hash", "copies"
-    )
-    q = Scratch(docs.sparkSession).settle(q)
-    hit = docs["doc_id"].eqNullSafe(q["_id"]) & docs["source"].eqNullSafe(q["_source"]) & (F.xxhash64(docs["text"]) == q["_hash"])
-    return docs.join(q, hit).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[docs[c] for c in docs.columns])
+    scratch = Scratch(docs.sparkSession)
+    q = scratch.settle(fair_queue(docs, **params).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "_hash", "_rows", "_nth", "copies"))
+    # A row is carried as one struct, so none of its columns meets a name of the queue's.
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["doc_id"].alias("_i"), docs["source"].alias("_s"), F.xxhash64(docs["text"]).alias("_h"))
+    same = F.col("_i").eqNullSafe(F.col("_id")) & F.col("_s").eqNullSafe(F.col("_source")) & (F.col("_h") == F.col("_hash"))
+    taken = rows.join(q.where("_rows = 1 AND copies > 0"), same)
+    equal = q.where("_rows > 1")
+    if equal.head(1):  # equal rows are numbered over their order, and the n-th takes the copies of the n-th in the queue
+        groups = scratch.settle(equal.select("_id", "_source", "_hash", "_rows").distinct())
+        found = rows.join(groups, same, "left_semi").withColumn("_one", F.lit(1).cast("long")).withColumn("_tie", F.monotonically_increasing_id())
+        placed = scratch.settle(running_totals(scratch, found, ["_i", "_s", "_h", "_tie"], ["_one"]))
+        first = placed.groupBy("_i", "_s", "_h").agg(F.min("_one_before").alias("_first"))
+        first = scratch.settle(first.select(F.col("_i").alias("_id"), F.col("_s").alias("_source"), F.col("_h").alias("_hash"), "_first"))
+        placed = placed.join(first, same).select("_row", "_i", "_s", "_h", (F.col("_one_before") - F.col("_first")).alias("_k"))
+        taken = taken.select("_row", "copies").union(placed.join(equal.where("copies > 0"), same & (F.col("_k") == F.col("_nth"))).select("_row", "copies"))
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = fair_queue(documents(spark, sf_dir))
-    q = q.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("_rows").cast("int"))))
     return q.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 

@@ -222,11 +222,12 @@ def survivors(scratch: Scratch, docs: DataFrame, found: DataFrame) -> DataFrame:
     components, a (doc_id, th) only in one."""
     first = found.where("doc_id IS NOT NULL").groupBy("root", "doc_id", "th").agg(F.count("*").alias("n"))
     first = scratch.settle(first.groupBy("root").agg(F.min(F.struct("doc_id", "th", "n")).alias("b")).select(F.col("b.doc_id").alias("_kept"), F.col("b.th").alias("_text"), F.col("b.n").alias("_n")))
-    rows = docs.withColumn("_hash", F.xxhash64("text"))
-    kept = rows.join(first, (F.col("doc_id") == F.col("_kept")) & (F.col("_hash") == F.col("_text")), "left_semi")
+    # A row is carried as one struct, so none of its columns meets a name of this function's.
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["doc_id"].alias("_id"), F.xxhash64(docs["text"]).alias("_hash"))
+    kept = rows.join(first, (F.col("_id") == F.col("_kept")) & (F.col("_hash") == F.col("_text")), "left_semi")
     if first.where("_n > 1").head(1):
-        kept = kept.dropDuplicates(["doc_id", "_hash"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+        kept = kept.dropDuplicates(["_id", "_hash"])
+    return kept.select("_row.*").unionByName(docs.where(docs["doc_id"].isNull()))
 
 
 def keep_one(docs: DataFrame, **params) -> DataFrame:
