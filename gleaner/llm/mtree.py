@@ -16,7 +16,8 @@ candidate counts, so whole pages and blocks are passed over, and only what can s
 Defined results: vectors that are null, or hold a null, a NaN or an infinity, take no part; vectors of other lengths
 than the query's aren't comparable and are searched apart; a null id takes no part; rows that share an id are separate
 candidates, and no row of the query's own id is one of its candidates; rows that ask with the same id and vector are
-answered once each; equal scores go to the smaller id; extra columns are ignored; an empty table gives an empty result.
+answered once each; equal scores go to the smaller id; scores are exact however large the components, and one beyond a long is the
+nearest long (and ties there); empty vectors score 0 with each other; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +32,14 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import Scratch, documents, lean, partitions, tune
 
 K, SCALE, EVERY, PAGE, BLOCK, LEAST, QUERIES, FLOOR = 20, 64, 20, 512, 32768, 4096, 1 << 18, 2048
-SLACK = 1e-7
+SLACK, LOW, HIGH = 1e-7, -(1 << 63), (1 << 63) - 1
+
+
+def whole(x: np.ndarray, top: float) -> np.ndarray:
+    """Whole numbers held as doubles in a type in which products stay exact; top: a bound on squared norms."""
+    if top < 1 << 52:
+        return x
+    return x.astype(np.int64) if top < 1 << 62 else np.vectorize(int, otypes=[object])(x)
 
 
 class Node:
@@ -49,10 +57,11 @@ class Node:
 class MTree:
     def __init__(self, x: np.ndarray, ids: np.ndarray, top: float, page: int = PAGE):
         """x: whole-number vectors; top: a bound on their squared norms."""
-        # Doubles hold whole numbers up to 2^53 exactly, and are far faster to multiply.
-        self.x, self.ids, self.page, self.top = x.astype(np.float64 if top < 1 << 52 else np.int64), ids, page, top
+        # Doubles hold whole numbers up to 2^53 exactly, and are far faster to multiply; beyond a long Python counts.
+        x = x.astype(float)
+        self.x, self.ids, self.page, self.top = whole(x, top), ids, page, top
         lift = np.sqrt(np.maximum(top - np.einsum("ij,ij->i", x, x), 0.0))
-        self.points = np.hstack([x.astype(float), lift[:, None]])
+        self.points = np.hstack([x, lift[:, None]])
         self.root = self._load(np.arange(len(x)))
         self.computed = 0
 
@@ -82,11 +91,11 @@ class MTree:
     def search(self, q: np.ndarray, own: int, k: int = K, floor: int | None = None) -> list[tuple[int, int]]:
         """The k best (score, id) for a whole-number query, its own id left out, best first; ties to smaller ids.
         floor: a score that k candidates elsewhere are known to reach; less is of no use."""
-        point, exact = np.append(q.astype(float), 0.0), q.astype(self.x.dtype)
+        point, exact = np.append(q.astype(float), 0.0), whole(q.astype(float), self.top)
         base = float(q @ q) + self.top
         margin = SLACK * (base + 1)
         best: list[tuple[int, int]] = []  # heap of (score, -id): the worst first
-        worst = -np.inf if floor is None else floor
+        worst = -np.inf if floor is None or floor <= LOW else floor
 
         def reach(distance: np.ndarray) -> np.ndarray:
             """The highest score at a distance of at least this."""
@@ -103,9 +112,11 @@ class MTree:
             near = np.abs(away - node.parent)
             if node.children is None:
                 alive = (reach(near) >= worst) & (node.ids != own)
-                whole = alive.all()
-                scores = (node.vectors if whole else node.vectors[alive]) @ exact
-                ids = node.ids if whole else node.ids[alive]
+                every = alive.all()
+                scores = (node.vectors if every else node.vectors[alive]) @ exact
+                if scores.dtype == object:
+                    scores = np.array([min(max(s, LOW), HIGH) for s in scores], np.int64)
+                ids = node.ids if every else node.ids[alive]
                 self.computed += len(scores)
                 if len(best) < k and len(scores) > k:  # no more than the page's k best, and their equals, can enter
                     worst_here = np.partition(scores, len(scores) - k)[len(scores) - k]
@@ -120,7 +131,7 @@ class MTree:
                     elif (s, -i) > best[0]:
                         heapq.heapreplace(best, (s, -i))
                     if len(best) == k:
-                        worst = max(worst, best[0][0])
+                        worst = max(worst, best[0][0] if best[0][0] > LOW else -np.inf)
                 continue
             picked = np.flatnonzero(reach(near - node.radii) >= worst)
             if not len(picked):
@@ -136,19 +147,23 @@ class MTree:
 
 def scaled(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """id, whole-number components, length and squared norm of the vectors that take part."""
-    v = F.transform("embedding", lambda c: F.floor(c.cast("double") * F.lit(float(scale))))
+    def component(c):
+        x = c.cast("double") * F.lit(float(scale))
+        return F.when(F.abs(x) < F.lit(float(1 << 62)), F.floor(x).cast("double")).otherwise(x)  # larger doubles are whole
+
+    v = F.transform("embedding", component)
     sound = ~F.exists("embedding", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf"))))
     rows = vectors.where(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull()).where(sound)
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
-    return rows.withColumn("dim", F.size("v")).withColumn("norm", F.aggregate("v", F.lit(0).cast("long"), lambda a, c: a + c * c))
+    return rows.withColumn("dim", F.size("v")).withColumn("norm", F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c))
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
-    """The rows of a list column of one length as whole numbers."""
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, dim)
+    """The rows of a list column of one length."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
 
 
-def floors(asks: DataFrame, rows: DataFrame, k: int, sample: int = FLOOR) -> DataFrame:
+def floors(asks: DataFrame, rows: DataFrame, k: int, top: float, sample: int = FLOOR) -> DataFrame:
     """Adds ``floor`` to the asking rows: the k-th best score among at most ``sample`` rows, the same for every query; null
     where those have fewer than k other rows of the query's length."""
     held = rows.orderBy(F.xxhash64("vec_id", "v"), "vec_id").select("vec_id", "v", "dim").limit(sample).collect()  # a bounded number of rows
@@ -166,15 +181,17 @@ def floors(asks: DataFrame, rows: DataFrame, k: int, sample: int = FLOOR) -> Dat
                 if len(ids) < k:
                     continue
                 part = b.take(pa.array(at))
-                # Below 2^53 doubles are exact; beyond, the last digits are given away.
-                scores = matrix(part.column(b.schema.get_field_index("v")), d).astype(np.float64) @ x.T
+                q = matrix(part.column(b.schema.get_field_index("v")), d)
+                scores = q @ x.T
                 scores[ids[None, :] == part.column(b.schema.get_field_index("vec_id")).to_numpy()[:, None]] = -np.inf
                 least = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
                 for r, s in zip(at.tolist(), least.tolist(), strict=True):
-                    out[r] = None if s == -np.inf else int(s - (0 if abs(s) < 1 << 52 else abs(s) * 1e-12))
+                    # Below 2^53 doubles are exact; beyond, as much is given away as rounding can add.
+                    s -= 0.0 if top < 1 << 52 else top * (d + 2) * 1e-15
+                    out[r] = None if s <= LOW else int(min(s, float(1 << 62)))
             yield b.append_column("floor", pa.array(out, pa.int64()))
 
-    return asks.mapInArrow(each, "vec_id long, v array<long>, dim int, times long, floor long")
+    return asks.mapInArrow(each, "vec_id long, v array<double>, dim int, times long, floor long")
 
 
 def search(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE, block: int = BLOCK, queries: int = QUERIES, least: int = LEAST) -> DataFrame:
@@ -184,12 +201,14 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCAL
     rows = scratch.settle(scaled(vectors, scale))
     # A vector that asks several times under one id is searched once and answered each time.
     asks = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id", "v", "dim").agg(F.count("*").alias("times"))
-    asks = scratch.settle(floors(asks, rows, k))
-    stats, q = rows.agg(F.count("*").alias("n"), F.max("norm").alias("top")).first(), asks.count()
+    stats = rows.agg(F.count("*").alias("n"), F.max("norm").alias("top")).first()
+    top = float(stats["top"] or 0)
+    top = top if top < 1 << 52 else top * (1 + 1e-9)  # sums of doubles are rounded
+    asks = scratch.settle(floors(asks, rows, k, top))
+    q = asks.count()
     # Blocks of a bounded size, and enough of them for all tasks where rows are few.
     blocks = max(1, -(-stats["n"] // block), min(partitions(spark), stats["n"] // least))
     decks = max(1, -(-q // queries))
-    top = float(stats["top"] or 0)
     # Even blocks: hashed on id and content; a vector that many rows share is spread like any other, equal rows in turn.
     place = F.pmod(F.xxhash64("vec_id", "v", F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
     none = F.lit(None).cast("long")
@@ -229,9 +248,9 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCAL
                         out.append((int(i), q.tolist(), [{"vec_id": other, "score": s} for s, other in found]))
             if out:
                 cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.int64())]))), strict=True)], names=["query_id", "v", "found"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.list_(pa.float64()), pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.int64())]))), strict=True)], names=["query_id", "v", "found"])
 
-    found = dealt.mapInArrow(lean(answer), "query_id long, v array<long>, found array<struct<vec_id:long,score:long>>")
+    found = dealt.mapInArrow(lean(answer), "query_id long, v array<double>, found array<struct<vec_id:long,score:long>>")
     each = found.select("query_id", "v", F.explode("found").alias("f")).select("query_id", "v", "f.*")
     best = Window.partitionBy("query_id", "v").orderBy(F.col("score").desc(), "vec_id")
     # A query's candidates are k a block at most, and few beyond the floor.

@@ -1,5 +1,6 @@
 """Top-k search against all pairs: repeated ids and vectors, several blocks and decks, columns of other names."""
 
+import math
 from collections import Counter
 
 import numpy as np
@@ -9,11 +10,12 @@ from gleaner.llm import mtree
 
 
 def brute(rows, k=20, every=20):
-    x = [(i, np.floor(64 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in rows]
+    x = [(i, [math.floor(64 * float(c)) for c in np.array(v, np.float32)]) for i, v in rows]
+    inside = lambda s: min(max(s, -(1 << 63)), (1 << 63) - 1)
     want = Counter()
     for q, v in x:
         if q % every == 0:
-            best = sorted((-int(v @ w), i) for i, w in x if i != q and len(w) == len(v))[:k]
+            best = sorted((-inside(sum(a * b for a, b in zip(v, w))), i) for i, w in x if i != q and len(w) == len(v))[:k]
             want.update((q, n + 1, i, -s) for n, (s, i) in enumerate(best))
     return want
 
@@ -39,6 +41,19 @@ def test_blocks_and_decks_give_what_all_pairs_give(spark, block, queries, least)
     assert found(mtree.search(table, block=block, queries=queries, least=least)) == brute(rows)
 
 
+@pytest.mark.parametrize("size", [1e5, 1e8, 1e12, 1e30])
+def test_scores_are_exact_however_large_the_components(spark, size):
+    draw = np.random.default_rng(9)
+    rows = [(i, (draw.normal(size=5) * size * 10.0 ** draw.integers(-3, 1)).tolist()) for i in range(150)] + [(200 + i, [0.5, -0.5, 0.0, 1.0, 2.0]) for i in range(30)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert found(mtree.search(table, block=60, least=20)) == brute(rows)
+
+
+def test_empty_vectors_meet_each_other(spark):
+    rows = [(20, []), (3, []), (5, []), (40, [1.0]), (7, [2.0])]
+    assert found(mtree.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))) == brute(rows)
+
+
 def test_a_floor_and_the_own_id_lose_nothing():
     draw = np.random.default_rng(3)
     x = draw.integers(-9, 10, (500, 8))
