@@ -1,6 +1,7 @@
 """Sharding by a Hilbert curve over document metadata.
 
-Four dimensions (source, language, size and doc_id) are quantised to 2^BITS cells each. Documents are sorted by the
+Four dimensions (source, language, the logarithm of the size and doc_id) are quantised to 2^BITS cells each, spread over the whole
+range of a dimension, since values that shared their high bits would never part two shards. Documents are sorted by the
 index of their cell on the Hilbert curve, then by doc_id, and the order is cut into runs of near equal bytes, so that
 each shard covers a compact box of the metadata space and a file can be pruned on any of the four dimensions.
 
@@ -13,6 +14,8 @@ the curve only if their metadata agree (the law is about bytes, not groups); an
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -53,7 +56,7 @@ def _ranks(rows: DataFrame, column: str, name: str) -> DataFrame:
     d = rows.select(column).distinct()
     by = Window.orderBy(F.col(column).asc_nulls_last())
     d = d.select(F.col(column).alias(f"_{name}_value"), (F.row_number().over(by) - 1).alias("_r"), F.count("*").over(Window.partitionBy()).alias("_n"))
-    return d.select(f"_{name}_value", F.expr(f"cast(_r * {1 << BITS} div greatest(_n, {1 << BITS}) as long)").alias(name))
+    return d.select(f"_{name}_value", F.expr(f"cast(_r * {1 << BITS} div _n as long)").alias(name))
 
 
 def hilbert_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -66,8 +69,9 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
             "doc_id", "source", "lang", (F.octet_length(text) + F.lit(ROW_BYTES)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
         )
     )
-    ends = rows.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
+    ends = rows.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("size").alias("least"), F.max("size").alias("most")).first()
     lo, hi = ends["lo"] or 0, ends["hi"] or 0
+    least, most = (math.log2(ends[c] or 1) for c in ("least", "most"))
     s, g = _ranks(rows, "source", "s"), _ranks(rows, "lang", "g")
     top = (1 << BITS) - 1
     cells = (
@@ -75,8 +79,8 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         .join(g, rows["lang"].eqNullSafe(g["_g_value"]))
         .select(
             "doc_id", "size", "text_crc32", "s", "g",
-            F.least(F.length(F.bin("size")).cast("long"), F.lit(top)).alias("z"),
-            F.coalesce(F.floor((F.col("doc_id") - F.lit(lo)) / F.lit(hi - lo + 1) * F.lit(top + 1)).cast("long"), F.lit(top)).alias("d"),
+            F.least(F.floor((F.log2("size") - F.lit(least)) / F.lit(most - least + 1e-9) * F.lit(top + 1)).cast("long"), F.lit(top)).alias("z"),
+            F.coalesce(F.least(F.floor((F.col("doc_id").cast("double") - F.lit(float(lo))) / F.lit(float(hi) - float(lo) + 1.0) * F.lit(top + 1)).cast("long"), F.lit(top)), F.lit(top)).alias("d"),
         )
     )
 
