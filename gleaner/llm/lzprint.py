@@ -96,6 +96,7 @@ def print_pair(text: str, following: str) -> tuple[bytes, bytes, str]:
 FIELDS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
+#: solid: whether there is a text, less two where there is no doc_id, which is written as LOWEST.
 ORDER = ["doc_id", "solid", "th"]
 LOWEST = -(1 << 63)
 
@@ -113,11 +114,11 @@ def _walk(batches):
 
         def emit(doc, pair, near_next, times=1):
             a, e, edited = pair
-            row = (None if doc[1] == LOWEST else doc[1], len(doc[2]), hashlib.sha256(edited.encode()).hexdigest(), a.hex(), e.hex(), likeness(a, e), near_next)
+            row = (doc[1], len(doc[2]), hashlib.sha256(edited.encode()).hexdigest(), a.hex(), e.hex(), likeness(a, e), near_next)
             out.extend([row] * times)
 
-        for part, ghost, doc_id, text, n in zip(*(b.column(c).to_pylist() for c in ("part", "ghost", "doc_id", "text", "n")), strict=True):
-            doc = (part, doc_id, text or "", n)
+        for part, ghost, doc_id, solid, text, n in zip(*(b.column(c).to_pylist() for c in ("part", "ghost", "doc_id", "solid", "text", "n")), strict=True):
+            doc = (part, None if solid < 0 else doc_id, text or "", n)
             if last is not None and last[0] == part:
                 pair = print_pair(last[2], doc[2])
                 if held is not None:
@@ -140,7 +141,7 @@ def fingerprints(docs: DataFrame, ranges_per_partition: int = 4) -> DataFrame:
     spark = tune(docs.sparkSession)
     scratch = Scratch(spark)
     docs = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc_id"), F.col("text").isNotNull().cast("int").alias("solid"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc_id"), (F.col("text").isNotNull().cast("int") - F.when(F.col("doc_id").isNull(), 2).otherwise(0)).alias("solid"),
         F.xxhash64("text").alias("th"), "text",
     )
     size = F.max(F.coalesce(F.octet_length("text"), F.lit(0)) + 64).cast("long").alias("size")

@@ -71,3 +71,11 @@ def test_successors_across_ranges_and_copies(spark, ranges):
     t = text[59]
     cut = len(t) // 4
     assert ends[0]["edited_sha256"] == hashlib.sha256((t[: len(t) - cut] + "no id"[:cut]).encode()).hexdigest()
+
+
+def test_the_smallest_id_is_no_null(spark):
+    rows = [(-(1 << 63), "first of all"), (None, "no id"), (5, "five")]
+    got = lzprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((repr(r["doc_id"]), r["n_chars"]) for r in got) == sorted((repr(d), len(t)) for d, t in rows)
+    edited = {r["doc_id"]: r["edited_sha256"] for r in got}
+    assert edited[None] == hashlib.sha256(("no id"[:4] + "f").encode()).hexdigest()  # a null id comes first, the smallest next
