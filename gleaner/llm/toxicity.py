@@ -329,7 +329,8 @@ def fit(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, rounds:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Learns from docs' text and labels' toxic on about ``sample`` documents of each label, chosen by hash."""
+    """Learns from docs' text and labels' toxic on about ``sample`` doc_ids of each label, chosen by hash, and of each the row
+    whose text has the smallest hash, so that a doc_id of many rows is no more than one."""
     known = labels.where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     found = {r["_toxic"]: r["count"] for r in known.groupBy("_toxic").count().collect()}  # two rows
     if not found:
@@ -339,7 +340,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
         rate = F.when(F.col("_toxic") == k, F.lit(min(1.0, sample / n))).otherwise(rate)
     unit = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     chosen = F.broadcast(known.where(unit < rate))  # about twice ``sample`` ids
-    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(chosen, "doc_id").select("text", "_toxic")
+    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(chosen, "doc_id")
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("b")
+    rows = rows.groupBy("doc_id", "_toxic").agg(one).select(F.col("b.text").alias("text"), "_toxic")
 
     def learn(batches):
         texts: list[str] = []
