@@ -1,7 +1,9 @@
 """The registered queries themselves: empty tables, columns of clashing names, very long texts, and rows that must not be learnt from."""
 
 import hashlib
+import pathlib
 import random
+import re
 import zlib
 
 import pytest
@@ -13,15 +15,24 @@ from gleaner.llm import fmindex, langid, registry, simhash, suffix, toxicity
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 LABELS = "doc_id long, quality int, toxic int"
 VECTORS = "vec_id long, embedding array<float>, label int"
-CLASH = ", n int, fp string, node long, th string, part int, size long, kept string, n_removed long, root long, marks string, target double, _toxic int, shard int, score string, length int"
-
-
-def write(spark, path, docs, labels=(), vectors=(), extra=False):
-    schema = DOCUMENTS + (CLASH if extra else "")
-    rows = [(*r, len(r[1] or ""), *([1, "a", 2, "b", 3, 4, "c", 5, 6, "d", 7.0, 8, 9, "e", 10] if extra else [])) for r in docs]
-    spark.createDataFrame(rows, schema).write.parquet(f"{path}/documents.parquet")
-    spark.createDataFrame(list(labels), LABELS).write.parquet(f"{path}/labels.parquet")
-    spark.createDataFrame(list(vectors), VECTORS).write.parquet(f"{path}/embeddings.parquet")
+TALKS = "conv_id long, turn long, role string, text string"
+#: Every name that the operators give a column of their own, as columns of the input.
+SOURCE = "".join(p.read_text() for p in sorted(pathlib.Path(registry.__file__).parent.glob("*.py"))) + pathlib.Path(corpus_pipeline.__file__).read_text()
+NAMED = {n for n in re.findall(r'(?:alias|withColumn|withColumnRenamed)\((?:"\w+", )?"(\w+)"', SOURCE)} | {"copies", "_copy", "_kept", "_text"}
+OWN = {c.split()[0] for t in (DOCUMENTS, LABELS, VECTORS, TALKS) for c in t.split(", ")}
+CLASH = sorted(NAMED - OWN)
+
+
+def write(spark, path, docs, labels=(), vectors=(), extra=False, talks=()):
+    def put(rows, schema, name):
+        more = "".join(f", {c} {'string' if k % 2 else 'int'}" for k, c in enumerate(CLASH)) if extra else ""
+        values = tuple("x" if k % 2 else k for k in range(len(CLASH))) if extra else ()
+        spark.createDataFrame([(*r, *values) for r in rows], schema + more).write.parquet(f"{path}/{name}.parquet")
+
+    put([(*r, len(r[1] or "")) for r in docs], DOCUMENTS, "documents")
+    put(labels, LABELS, "labels")
+    put(vectors, VECTORS, "embeddings")
+    put(talks, TALKS, "conversations")
     return str(path)
 
 
@@ -43,6 +54,11 @@ def marks(rows):
     return [(d, 1, int("orkhead" in (t or "").replace(".", ""))) for d, t, _, _ in rows if d is not None and d < 200]
 
 
+def talks():
+    draw = random.Random(24)
+    return [(c, t, draw.choice(["user", "assistant"]), draw.choice(["Yes.", "so", "", "Why?"])) for c in range(30) for t in range(draw.randrange(1, 6))]
+
+
 def vectors():
     draw = random.Random(22)
     return [(i, [draw.random() for _ in range(4)], 0) for i in range(80)]
@@ -61,11 +77,11 @@ def test_clashing_columns_change_nothing(spark, tmp_path, name):
     run = registry.queries().get(name, corpus_pipeline.run)
     got = []
     for extra in (False, True):
-        d = write(spark, tmp_path / str(extra), rows, marks(rows), vectors(), extra)
+        d = write(spark, tmp_path / str(extra), rows, marks(rows), vectors(), extra, talks())
         df = run(spark, d)
         got.append((df.columns, sorted(map(repr, df.collect()))))
     assert got[0] == got[1]
-    if name not in ("op3_mtree_topk", "op10_packing", "pipeline"):
+    if name not in ("op3_mtree_topk", "op10_packing", "op11_divergence", "op13_repair", "pipeline"):
         assert len(got[0][1]) == len(rows)
 
 

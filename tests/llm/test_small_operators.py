@@ -46,22 +46,55 @@ def test_mixing(spark, rows):
     size, total, target = brute_mix(rows)
     out = mixing.fair_queue(frame(spark, rows)).collect()
     taken = Counter()
-    assert sum(r["_rows"] for r in out) == len(rows)
+    assert len(out) == len(rows)
     for r in out:
         assert r["source_size"] == total[r["source"]] and abs(r["target"] - target[r["source"]]) < 1e-6 * max(1, r["target"])
         assert 0 <= r["copies"] <= 2 and (r["size"] or not r["copies"])
-        taken[r["source"]] += r["size"] * r["copies"] * r["_rows"]
-    most = max(size.values()) * max(Counter(rows).values())
+        taken[r["source"]] += r["size"] * r["copies"]
+    most = max(size.values())
     assert all(abs(taken[s] - target[s]) <= most for s in target)
     mixed = mixing.mix(frame(spark, rows))
     assert mixed.columns == frame(spark, rows).columns
     want = Counter()
     for r in out:
-        want[r["doc_id"], r["source"], r["size"]] += r["copies"] * r["_rows"]
+        want[r["doc_id"], r["source"], r["size"]] += r["copies"]
     got = Counter((r["doc_id"], r["source"], len((r["text"] or "").split())) for r in mixed.collect())
     assert +want == got
 
 
+def test_equal_rows_are_mixed_one_by_one(spark):
+    """A third of all rows, and more, is one row; each source still comes within a document of its target."""
+    rows = [(1, "one two three four five", "a")] * 300 + [(i, "w " * (i % 7 + 1), "b") for i in range(2, 300)] + [(i, "v " * 9, "c") for i in range(300, 500)]
+    docs = spark.createDataFrame([(d, t, s, k) for k, (d, t, s) in enumerate(rows)], "doc_id long, text string, source string, copies int")
+    size, _, target = brute_mix(rows)
+    out = mixing.fair_queue(docs).collect()
+    taken = Counter()
+    for r in out:
+        taken[r["source"]] += r["size"] * r["copies"]
+    assert len(out) == len(rows) and all(abs(taken[s] - target[s]) <= max(size.values()) for s in target)
+    mixed = Counter(r["copies"] for r in mixing.mix(docs).collect())
+    assert max(mixed.values()) <= 2 and sum(len(rows[k][1].split()) * n for k, n in mixed.items()) == sum(taken.values())
+
+
+def test_shards_prune_on_every_dimension(spark):
+    draw = random.Random(8)
+    rows = [(i, "x" * 2 ** draw.randrange(4, 16), draw.choice(["de", "en", "es", "fr"]), f"s{draw.randrange(20):02}") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    shard = {r["doc_id"]: r["shard"] for r in sharding.hilbert_shards(docs).collect()}
+    for dimension in (lambda r: r[0], lambda r: len(r[1]), lambda r: r[2], lambda r: r[3]):
+        boxes = {}
+        for r in rows:
+            boxes.setdefault(shard[r[0]], []).append(dimension(r))
+        read = [sum(min(b) <= dimension(r) <= max(b) for b in boxes.values()) / len(boxes) for r in rows[::40]]
+        assert sum(read) / len(read) < 0.7  # of the files that a look-up by one dimension has to read
+
+
+def test_wide_ids_are_sharded(spark):
+    rows = [(-(1 << 63), "a", "s"), ((1 << 63) - 1, "b", "s"), (0, "c", "s"), (None, "d", "s")]
+    out = sharding.hilbert_shards(frame(spark, rows), 2).collect()
+    assert {r["doc_id"] for r in out} == {r[0] for r in rows} and Counter(r["shard"] for r in out) == {0: 2, 1: 2}
+
+
 def test_sharding(spark):
     for rows in (corpus(), ODD):
         out = sharding.hilbert_shards(frame(spark, rows), 7).collect()

@@ -67,6 +67,17 @@ def test_defined_results(spark):
     assert toxicity.fit(["a", "b"], np.array([1, 1])) is None
 
 
+def test_a_doc_id_of_many_rows_is_learnt_once(spark, monkeypatch):
+    rows = [(i, t) for i, (t, _) in enumerate(texts(60, 4))] + [(0, f"hot row {k} of one id") for k in range(3000)]
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(texts(60, 4))], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    given = []
+    whole = type(docs).repartition
+    # What goes to the one task that learns.
+    monkeypatch.setattr(type(docs), "repartition", lambda self, n, *by: (given.append(self.count()) if n == 1 and not by else None) or whole(self, n, *by))
+    assert toxicity.train(docs, labels) is not None and given == [60]
+
+
 @pytest.fixture(scope="module")
 def tables(spark, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("sf"))
