@@ -15,6 +15,7 @@ from gleaner.functions.text import let
 from gleaner.operators import schemas, traces
 from gleaner.operators.ordering import dense_index
 from gleaner.operators.records import rebuild_system
+from gleaner.settled import Scratch
 
 CONTEXT = "struct<trace_complete:boolean,internal_message_indices:array<int>,system_prompt_sha256:string,public_catalog:string>"
 SEED = "struct<seed_id:string,template_id:string,user_turns:array<string>>"
@@ -113,6 +114,8 @@ def export(entries: DataFrame, target_tools: str, prompt: str, reviews: DataFram
     e = e.withColumn("_issues", target_issues(F.col("messages"), target))
     home = F.col("scenario") == "home_switch"
     e = e.withColumn("_system", rebuild_system(F.get("messages", F.lit(0))["content"], F.col("context.public_catalog"), prompt, home))
+    # Settled: what follows reads each of these several times, and a plan would compute them as often.
+    e = Scratch(spark).settle(e.select("id", "scenario", "messages", "tools", "require_review", "_sample", "_review", "_tools", "_score", "_failed", "_trace", "_issues", "_system", F.transform(failed, lambda c: c["key"]).alias("_keys")))
     reason = F.coalesce(
         "_tools", "_score", "_trace.reason",
         F.when(~F.col("_failed") & (F.size("_issues") > 0), F.concat(F.lit("target_tool_incompatible:"), F.get("_issues", F.lit(0))["reason"])),
@@ -127,7 +130,7 @@ def export(entries: DataFrame, target_tools: str, prompt: str, reviews: DataFram
     lenient = lambda c: F.when(F.col("_failed") & F.col("reason").isNull(), c)
     rows = e.select(
         "id", "scenario", traces.tool_provenance(F.col("scenario"), F.size(F.coalesce("tools", F.array().cast(schemas.TOOLS))) > 0).alias("tool_provenance"), "reason", F.col("_failed").alias("failed"), "digest", "messages", F.col("target_tools").alias("tools"),
-        lenient(F.transform(failed, lambda c: c["key"])).alias("failed_checks"), lenient(F.col("_trace.issues")).alias("invalid_actions"), lenient(F.col("_issues")).alias("target_invalid_actions"))
+        lenient(F.col("_keys")).alias("failed_checks"), lenient(F.col("_trace.issues")).alias("invalid_actions"), lenient(F.col("_issues")).alias("target_invalid_actions"))
     return traces.disposition(rows)
 
 

@@ -167,18 +167,31 @@ def split_groups(rows: DataFrame, group: str, query: str) -> DataFrame:
 
 def assign_splits(rows: DataFrame, group: str, query: str, scenario: str, seed: str, fraction: float) -> DataFrame:
     """(group, component, split): scenario by scenario in order, components go to validation in the order of the digest of
-    seed and component until ``fraction`` of the scenario's rows is there; one of its components at least is left to train."""
+    seed and component until ``fraction`` of the scenario's rows is there; one of its components at least is left to train.
+
+    Scenarios depend on each other only through components that several of them hold. All others are decided at once, by running totals
+    over (scenario, digest); only scenarios with a shared component are taken one after the other."""
     scratch = Scratch(rows.sparkSession)
     found = scratch.settle(split_groups(rows, group, query))
     key = F.sha2(F.to_json(F.array(F.lit(seed), F.col("component").cast("string"))), 256)
     sizes = rows.join(found, group).groupBy("component", F.col(scenario).alias("_scenario")).agg(F.count("*").alias("n"))
     sizes = scratch.settle(sizes.withColumn("digest", key).withColumn("one", F.lit(1).cast("long")))
-    taken = scratch.settle(sizes.select("component").limit(0))
-    for r in sizes.groupBy("_scenario").agg(F.sum("n").alias("n"), F.count("*").alias("m")).orderBy("_scenario").collect():  # a row per scenario
-        here = sizes.where(F.col("_scenario").eqNullSafe(F.lit(r["_scenario"])))
+    placed = running_totals(scratch, sizes, [F.col("_scenario").asc_nulls_first(), "digest", "component"], ["n", "one"])
+    scenarios = placed.groupBy("_scenario").agg(F.sum("n").alias("_all"), F.count("*").alias("_m"), F.min("n_before").alias("_n0"), F.min("one_before").alias("_one0"))
+    scenarios = scratch.settle(scenarios.withColumnRenamed("_scenario", "_name"))
+    several = sizes.groupBy("component").agg(F.count("*").alias("k")).where("k > 1").select("component")
+    late = [r["_scenario"] for r in sizes.join(several, "component", "left_semi").select("_scenario").distinct().orderBy(F.col("_scenario").asc_nulls_first()).collect()]  # scenarios
+    whole = (F.col("n_before") - F.col("_n0") < F.col("_all") * fraction) & (F.col("_m") - (F.col("one_before") - F.col("_one0")) > 1)
+    free = placed.join(scenarios, F.col("_scenario").eqNullSafe(F.col("_name")))
+    for name in late:
+        free = free.where(~F.col("_scenario").eqNullSafe(F.lit(name)))
+    taken = scratch.settle(free.where(whole).select("component"))
+    for name in late:
+        here = sizes.where(F.col("_scenario").eqNullSafe(F.lit(name)))
+        r = here.agg(F.sum("n").alias("n"), F.count("*").alias("m")).first()
         had = here.join(taken, "component", "left_semi").agg(F.count("*").alias("m"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-        free = running_totals(scratch, here.join(taken, "component", "left_anti"), ["digest", "component"], ["n", "one"])
-        more = free.where((F.col("n_before") + had["n"] < r["n"] * fraction) & (r["m"] - had["m"] - F.col("one_before") > 1))
+        left = running_totals(scratch, here.join(taken, "component", "left_anti"), ["digest", "component"], ["n", "one"])
+        more = left.where((F.col("n_before") + had["n"] < r["n"] * fraction) & (r["m"] - had["m"] - F.col("one_before") > 1))
         taken = scratch.settle(taken.union(more.select("component")))
     split = F.when(F.col("_hit"), "validation").otherwise("train")
     return found.join(taken.withColumn("_hit", F.lit(True)), "component", "left").select(group, "component", split.alias("split"))
