@@ -191,7 +191,7 @@ def floors(asks: DataFrame, rows: DataFrame, k: int, top: float, sample: int = F
                     out[r] = None if s <= LOW else int(min(s, float(1 << 62)))
             yield b.append_column("floor", pa.array(out, pa.int64()))
 
-    return asks.mapInArrow(each, "vec_id long, v array<double>, dim int, times long, floor long")
+    return asks.mapInArrow(each, "vec_id long, v array<double>, dim int, times long, ask long, floor long")
 
 
 def search(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE, block: int = BLOCK, queries: int = QUERIES, least: int = LEAST) -> DataFrame:
@@ -200,7 +200,7 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCAL
     scratch = Scratch(spark)
     rows = scratch.settle(scaled(vectors, scale))
     # A vector that asks several times under one id is searched once and answered each time.
-    asks = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id", "v", "dim").agg(F.count("*").alias("times"))
+    asks = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id", "v", "dim").agg(F.count("*").alias("times")).withColumn("ask", F.monotonically_increasing_id())
     stats = rows.agg(F.count("*").alias("n"), F.max("norm").alias("top")).first()
     top = float(stats["top"] or 0)
     top = top if top < 1 << 52 else top * (1 + 1e-9)  # sums of doubles are rounded
@@ -212,8 +212,8 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCAL
     # Even blocks: hashed on id and content; a vector that many rows share is spread like any other, equal rows in turn.
     place = F.pmod(F.xxhash64("vec_id", "v", F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
     none = F.lit(None).cast("long")
-    data = rows.select(place.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(decks - 1))).alias("deck"), "dim", F.lit(False).alias("asks"), "vec_id", "v", none.alias("floor"))
-    asking = asks.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(decks)).cast("int").alias("deck"), "dim", F.lit(True).alias("asks"), "vec_id", "v", "floor")
+    data = rows.select(place.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(decks - 1))).alias("deck"), "dim", F.lit(False).alias("asks"), "vec_id", "v", none.alias("floor"), none.alias("ask"))
+    asking = asks.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(decks)).cast("int").alias("deck"), "dim", F.lit(True).alias("asks"), "vec_id", "v", "floor", "ask")
     name = ["block", "deck", "dim"]
     # In a task the rows of a block come before those that ask.
     dealt = data.unionByName(asking).repartition(max(partitions(spark), 1), *name).sortWithinPartitions(*name, "asks")
@@ -242,22 +242,22 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCAL
                     held = []
                 if tree is None:
                     continue
-                for i, q, f in zip(asking.column(4).to_numpy(), matrix(asking.column(5), dim), asking.column(6).to_pylist(), strict=True):
+                for i, q, f, a in zip(asking.column(4).to_numpy(), matrix(asking.column(5), dim), asking.column(6).to_pylist(), asking.column(7).to_pylist(), strict=True):
                     found = tree.search(q, int(i), k, f)
                     if found:
-                        out.append((int(i), q.tolist(), [{"vec_id": other, "score": s} for s, other in found]))
+                        out.append((int(i), a, [{"vec_id": other, "score": s} for s, other in found]))
             if out:
                 cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.list_(pa.float64()), pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.int64())]))), strict=True)], names=["query_id", "v", "found"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.int64())]))), strict=True)], names=["query_id", "ask", "found"])
 
-    found = dealt.mapInArrow(lean(answer), "query_id long, v array<double>, found array<struct<vec_id:long,score:long>>")
-    each = found.select("query_id", "v", F.explode("found").alias("f")).select("query_id", "v", "f.*")
-    best = Window.partitionBy("query_id", "v").orderBy(F.col("score").desc(), "vec_id")
+    found = dealt.mapInArrow(lean(answer), "query_id long, ask long, found array<struct<vec_id:long,score:long>>")
+    each = found.select("query_id", "ask", F.explode("found").alias("f")).select("query_id", "ask", "f.*")
+    best = Window.partitionBy("ask").orderBy(F.col("score").desc(), "vec_id")
     # A query's candidates are k a block at most, and few beyond the floor.
     ranked = each.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    again = asks.where("times > 1").select(F.col("vec_id").alias("query_id"), "v", "times")
+    again = asks.where("times > 1").select("ask", "times")
     if again.head(1):
-        ranked = ranked.join(again, ["query_id", "v"], "left").withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("times", F.lit(1).cast("long")))))
+        ranked = ranked.join(again, "ask", "left").withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("times", F.lit(1).cast("long")))))
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
