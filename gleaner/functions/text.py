@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from zoneinfo import available_timezones
 
 import pandas as pd
 from pyspark.sql import Column
@@ -71,6 +72,11 @@ def same_qualified_location(city: Column, expected: Column, adm: Column, expecte
     return F.coalesce(ok, F.lit(False))
 
 
+def known_timezone(name: Column) -> Column:
+    """Whether a text names a time zone of the IANA list, in its spelling; false for null."""
+    return F.coalesce(name.isin(*sorted(available_timezones())), F.lit(False))
+
+
 def city_in_reply(city: Column, reply: Column) -> Column:
     short = F.when((F.length(city) > 1) & city.endswith("市"), F.expr("1=1")).otherwise(F.lit(False))
     return F.coalesce(F.contains(reply, city) | (short & F.contains(reply, F.regexp_replace(city, "市$", ""))), F.lit(False))

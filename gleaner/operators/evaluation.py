@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from zoneinfo import available_timezones
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions.text import known_timezone
 from gleaner.operators import weather_checks as wc
 from gleaner.operators.aggregates import rate
 from gleaner.operators.home_checks import READ, WRITE
@@ -29,7 +29,7 @@ def weather_trace(messages: Column, context: Column, seed: Column) -> Column:
         F.when(F.coalesce((F.size(seed["scenario_ids"]) <= 0) | (F.size(F.array_except(seed["scenario_ids"], known)) > 0), F.lit(True)), "missing_scenario_mapping"),
         F.when(blank(context["base_date"]) | blank(context["timezone"]) | blank(context["default_city"]), "invalid_sample_schema"),
         F.when(~F.coalesce(context["base_date"].rlike(r"^\d{4}-\d{2}-\d{2}$"), F.lit(False)) | F.try_to_timestamp(context["base_date"], F.lit("yyyy-MM-dd")).isNull(), "invalid_sample_schema"),
-        F.when(~context["timezone"].isin(*sorted(available_timezones())), "invalid_sample_schema"),
+        F.when(~known_timezone(context["timezone"]), "invalid_sample_schema"),
         F.when(~F.coalesce(context["trace_complete"], F.lit(False)), "incomplete_message_trace"),
         F.when(~context["default_city"].eqNullSafe(seed["default_city"]), "default_city_mismatch"),
         F.when(F.coalesce(F.size(messages) <= 0, F.lit(True)), "invalid_sample_schema"),

@@ -107,7 +107,7 @@ def _faults(n: Column, s: Column) -> Column:
     """(place, code) of what a value breaks of its spec: before its members are looked at, and after."""
     kind = F.substring(n["json"], 1, 1)
     is_ = {"object": kind == "{", "string": kind == '"', "boolean": kind.isin("t", "f"), "integer": (kind != '"') & F.coalesce(n["raw"].rlike(r"^\s*-?\d+\s*$"), F.lit(False)), "array": kind == "["}
-    names = F.map_keys(F.from_json(n["raw"], "map<string,string>"))
+    names = F.json_object_keys(n["raw"])
     early = F.coalesce(
         *[F.when((s["type"] == t) & ~ok, f"arguments_not_{t}") for t, ok in is_.items()],
         F.when((s["type"] == "object") & (F.size(F.array_except(s["required"], names)) > 0), "arguments_missing_required"),

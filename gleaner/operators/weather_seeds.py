@@ -126,23 +126,24 @@ def _scenarios() -> Column:
 
 def settled_groups(templates: DataFrame, lexicon: DataFrame, groups: int, seed: str = "seeds", default_city: str | None = None, rounds: int = ROUNDS) -> DataFrame:
     """The variables of every group, each template's signatures all different."""
-    scratch = Scratch(templates.sparkSession)
-    open_ = templates.withColumn("group", F.explode(F.sequence(F.lit(1), F.lit(groups)))).crossJoin(F.broadcast(lexicon))  # one row of words
-    open_, done = scratch.settle(open_), None
-    name = ["template_id", "group"]
+    scratch, name = Scratch(templates.sparkSession), ["template_id", "group"]
+    every = scratch.settle(templates.withColumn("group", F.explode(F.sequence(F.lit(1), F.lit(groups)))))
+    worded = lambda df: df.crossJoin(F.broadcast(lexicon))  # noqa: E731 - one row of words
+    total, done = every.count(), None
     for k in range(rounds):
-        drawn = scratch.settle(_drawn(open_.withColumn("round", F.lit(k)), seed, default_city))
+        # Only who settled with what is written; variables follow from the round again.
+        open_ = every if done is None else every.join(done.select(*name), name, "left_anti")
+        drawn = _drawn(worded(open_).withColumn("round", F.lit(k)), seed, default_city).select(*name, "round", "signature")
         fresh = drawn if done is None else drawn.join(done.select("template_id", "signature"), ["template_id", "signature"], "left_anti")
-        first = fresh.groupBy("template_id", "signature").agg(F.min("group").alias("group"))
-        won = drawn.join(first.select(*name), name, "left_semi")
+        won = fresh.groupBy("template_id", "signature").agg(F.min(F.struct("group", "round")).alias("b")).select("template_id", "b.group", "b.round", "signature")
         before, done = done, scratch.settle(won if done is None else done.unionByName(won))
-        left = scratch.settle(open_.join(done.select(*name), name, "left_anti"))
-        scratch.drop(drawn, open_, *([before] if before is not None else []))
-        open_ = left
-        if not open_.head(1):
-            return done
-    short = sorted({r["template_id"] for r in open_.select("template_id").distinct().limit(10).collect()})
-    raise ValueError(f"too few words for groups that differ: {', '.join(short)}")
+        if before is not None:
+            scratch.drop(before)
+        if done.count() == total:
+            # Settled: a wording reads each variable several times, and a variable is drawn from others.
+            return scratch.settle(_drawn(worded(every.join(done.select(*name, "round"), name)), seed, default_city))
+    short = every.join(done.select(*name), name, "left_anti").select("template_id").distinct().orderBy("template_id").limit(10) if done is not None else every.select("template_id").limit(10)
+    raise ValueError(f"too few words for groups that differ: {', '.join(r['template_id'] for r in short.collect())}")
 
 
 def generate(templates: DataFrame, lexicon: DataFrame, groups: int, seed: str = "seeds", default_city: str | None = None, rounds: int = ROUNDS) -> DataFrame:

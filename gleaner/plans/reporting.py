@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.functions import text as tx
 from gleaner.operators import home_seeds as hs
 from gleaner.operators import lineage as ln
 from gleaner.operators import presets as pr
@@ -162,3 +163,14 @@ def src_resume_fingerprint(spark, d):
     stored = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit('{"lr": 0.5, "batch": '), size, F.lit("}"))).otherwise(F.concat(F.lit('{"lr": 0.5, "batch": '), size))
     same = F.coalesce(ln.fingerprint('{"batch":8,"lr":0.5}') == F.sha2(F.to_json(F.try_parse_json(stored)), 256), F.lit(False))
     return table(spark, d, "part").select("p_partkey", same.alias("resumes"))
+
+
+ZONES = ["Asia/Shanghai", "Europe/Berlin", "UTC", "Mars/Base", "asia/shanghai", "Asia/Shanghai ", "", "GMT+8", "America/New_York"]
+
+
+@query(f"""WITH z AS (SELECT c_custkey, CASE WHEN c_custkey % 11 < {len(ZONES)} THEN [{', '.join(repr(z) for z in ZONES)}][c_custkey % 11 + 1] END AS zone FROM customer)
+  SELECT c_custkey, coalesce(zone IN ('Asia/Shanghai', 'Europe/Berlin', 'UTC', 'America/New_York'), false) AS known FROM z""")
+def flt_timezone(spark, d):
+    """Names of the IANA list in their spelling; null is none."""
+    zone = F.get(F.array(*map(F.lit, ZONES)), (F.col("c_custkey") % 11).cast("int"))
+    return table(spark, d, "customer").select("c_custkey", tx.known_timezone(zone).alias("known"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from gleaner.operators import export as ex
 from gleaner.operators import schemas as sc
 from gleaner.operators import traces as tr
+from gleaner.plans import registry
 
 WEATHER = {"type": "function", "function": {"name": "get_weather", "parameters": {"type": "object", "properties": {"lang": {"type": "string", "enum": ["zh_CN", "en"]}, "now": {"type": "boolean"}}, "required": ["lang"]}}}
 SET = {"type": "function", "function": {"name": "set", "parameters": {"type": "object", "required": ["entity_id", "state"], "properties": {
@@ -118,3 +120,73 @@ def test_home_catalog_and_hash(spark):
     got = run(spark, [tuple(good), tuple(other)])
     assert got["h"]["disposition"] == "passed_sample" and got["h"]["messages"][0]["content"] == f"new prompt\n\n{CATALOG_MARK}\n{catalog}"
     assert got["x"]["reason"] == "catalog_mismatch"
+
+
+@pytest.mark.parametrize(("name", "most"), [("prj_export", 60_000), ("fmt_render_tools", 120_000), ("flt_target_compat", 120_000)])
+def test_plans_stay_small(spark, name, most):
+    """Rules read what is settled; no plan repeats its own input in each of them."""
+    df = registry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert len(df._jdf.queryExecution().optimizedPlan().toString()) < most
+
+
+def first_fault(value, schema):
+    """The rules by the book, as a generator of faults in the order in which a reader meets them."""
+    kind = schema.get("type")
+    fits = {"object": dict, "array": list, "string": str}.get(kind)
+    if fits and not isinstance(value, fits) or kind == "boolean" and value is not True and value is not False or kind == "integer" and type(value) is not int:
+        yield f"arguments_not_{kind}"
+    if kind == "object":
+        known = schema.get("properties", {})
+        if not set(schema.get("required", [])) <= set(value):
+            yield "arguments_missing_required"
+        if not set(value) <= set(known):
+            yield "arguments_unknown_property"
+        for k, v in value.items():
+            yield from first_fault(v, known[k])
+    if kind == "array":
+        for v in value:
+            yield from first_fault(v, schema.get("items", {}))
+    if "enum" in schema and value not in schema["enum"]:
+        yield "arguments_invalid_enum"
+
+
+def test_schemas_of_any_depth_against_a_walk(spark):
+    draw = random.Random(12)
+
+    def schema(depth):
+        kind = draw.choice(["object", "object", "array", "array", "string", "integer", "boolean", None] if depth else ["string", "integer", "boolean"])
+        s = {"type": kind} if kind else {}
+        if kind == "object":
+            s["properties"] = {k: schema(depth - 1) for k in draw.sample(["a", "b.c", "[]", "é", "z"], draw.randrange(1, 4))}
+            s["required"] = [k for k in s["properties"] if draw.random() < 0.5]
+        elif kind == "array" and draw.random() < 0.9:
+            s["items"] = schema(depth - 1)
+        elif kind in ("string", "integer") and draw.random() < 0.4:
+            s["enum"] = ["x", "y", 1, 2]
+        return s
+
+    def value(s, depth):
+        if draw.random() < 0.04 or not s.get("type"):
+            return draw.choice([None, 1, 1.0, "x", True, [], {}, {"a": [1]}, "1", 10**25, -0.5])
+        if s["type"] == "object":
+            found = {k: value(v, depth - 1) for k, v in s["properties"].items() if k in s["required"] or draw.random() < 0.6}
+            items = list(found.items()) + ([("more", 1)] if draw.random() < 0.03 else [])
+            draw.shuffle(items)
+            return dict(items[1:] if draw.random() < 0.03 else items)
+        if s["type"] == "array":
+            return [value(s.get("items", {}), depth - 1) for _ in range(draw.randrange(4))]
+        return {"string": draw.choice(["x", "y", "w"]) if draw.random() < 0.2 else "x", "integer": draw.choice([1, 2, 7]) if draw.random() < 0.2 else 2, "boolean": draw.random() < 0.5}[s["type"]]
+
+    tools, rows = [], []
+    for k in range(25):
+        s = {"type": "object", "properties": {"top": schema(5)}, "required": ["top"]}
+        tools.append({"type": "function", "function": {"name": f"t{k}", "parameters": s}})
+        for _ in range(20):
+            v = value(s, 6)
+            rows.append((f"t{k}", json.dumps(v, ensure_ascii=draw.random() < 0.5, indent=draw.choice([None, 1])), next(first_fault(v, s), None)))
+    df = spark.createDataFrame(rows, "name string, arguments string, want string").withColumn("tools", sc.definitions(F.lit(json.dumps(tools))))
+    got = df.select("name", "arguments", "want", sc.issue(F.col("name"), F.col("arguments"), F.col("tools")).alias("issue")).collect()
+    assert [(r["name"], r["arguments"], r["issue"]) for r in got if r["issue"] != r["want"]] == []
+    assert len({r["issue"] for r in got}) >= 8
+    null = df.limit(1).select(sc.issue(F.lit("t0"), F.lit(None).cast("string"), F.col("tools")).alias("a"), sc.issue(F.lit("t0"), F.lit("no json"), F.col("tools")).alias("b"), sc.issue(F.lit("else"), F.lit("{}"), F.col("tools")).alias("c")).first()
+    assert tuple(null) == ("arguments_not_object", "arguments_not_object", "unknown_tool")
