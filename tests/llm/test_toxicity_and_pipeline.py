@@ -126,7 +126,7 @@ def test_pipeline_stage_by_stage(spark, tables):
 def test_run_and_registration(spark, tables):
     found = __spark_entry__.queries()
     assert found["pipeline"] is corpus_pipeline.run
-    assert {int(n[2:].split("_")[0]) for n in found if n.startswith("op")} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in found if n.startswith("op")} == set(range(1, 14))
     assert corpus_pipeline.run(spark, tables[0]).count() > 0
     assert len(corpus_pipeline.STAGES) == 5
 
