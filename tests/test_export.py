@@ -190,3 +190,24 @@ def test_schemas_of_any_depth_against_a_walk(spark):
     assert len({r["issue"] for r in got}) >= 8
     null = df.limit(1).select(sc.issue(F.lit("t0"), F.lit(None).cast("string"), F.col("tools")).alias("a"), sc.issue(F.lit("t0"), F.lit("no json"), F.col("tools")).alias("b"), sc.issue(F.lit("else"), F.lit("{}"), F.col("tools")).alias("c")).first()
     assert tuple(null) == ("arguments_not_object", "arguments_not_object", "unknown_tool")
+
+
+ODD = {"type": "object", "properties": {"a": {"type": "string"}, "it's": {"type": "boolean"}, "n": {"type": "object", "properties": {"x": {"type": "string"}, "'": {"type": "integer"}}}, "e": {"enum": ["'m", 'q"u', "\\", "é\n", None, {"a": [1, "'z"]}]}}}
+
+
+@pytest.mark.parametrize(("arguments", "code"), [
+    ('{"n":{"x":1E400}}', "arguments_not_string"), (' \n\t{"a":"x"} ', None), ('{"n":{"x":"{\\"","\'":3}}', None), ('{"n":{"x":"\\\\\\"["},"a":1}', "arguments_not_string"), ('{"it\'s":true}', None), ('{"it\'s":"true"}', "arguments_not_boolean"),
+    *[('{"e":%s}' % json.dumps(v), None) for v in ODD["properties"]["e"]["enum"]], *[('{"e":%s}' % json.dumps(v), "arguments_invalid_enum") for v in ("m", "''m", "'", "", "null", {"a": [1, "z"]})],
+    ('{"n":{"\'":1.0}}', "arguments_not_integer"), ('{"a":"' + '\\"{' * 20_000 + '"}', None), ('{"zz":1,"a":2}', "arguments_unknown_property"), ("'a'", "arguments_not_object"), ('"{}"', "arguments_not_object"),
+])
+def test_marks_of_strings_change_no_value(spark, arguments, code):
+    tools = json.dumps([{"type": "function", "function": {"name": "f", "parameters": ODD}}])
+    df = spark.createDataFrame([(arguments, tools)], "a string, t string")
+    assert df.select(sc.issue(F.lit("f"), F.col("a"), sc.definitions(F.col("t")))).first()[0] == code
+
+
+def test_arguments_are_parsed_once_and_not_written_again(spark):
+    """Of a level, one parse of members and one of items; no value's canonical form but where an enum asks for it."""
+    df = spark.createDataFrame([("{}", "[]")], "a string, t string").select("a", F.get(sc.definitions(F.col("t")), F.lit(0))["specs"].alias("specs"))
+    plan = df.select(sc.argument_problem(F.col("a"), F.col("specs")).alias("p"))._jdf.queryExecution().analyzed().toString().split("\n+- ")[0]
+    assert plan.count("from_json(") == 2
