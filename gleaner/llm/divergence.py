@@ -1,8 +1,8 @@
 """Source divergence audit: how far each source's use of words lies from every other source's and from its language's.
 
 Sort-based streaming. Each task counts the terms of its documents and emits records of a term, source and stretch of documents;
-the records are repartitioned by (lang, term) and sorted by (lang, term, source, document), and a scan over runs adds up document
-frequencies and counts and keeps the terms of at least MIN_DOCS documents. A second scan, with the totals known, emits partial
+the records are repartitioned by (lang, term) and sorted by a hash of (lang, term), then (lang, term, source, document), and a scan
+over runs adds up document frequencies and counts and keeps the terms of at least MIN_DOCS documents. A second scan, with the totals known, emits partial
 sums for the pairs of sources that share a term and a row for each term.
 
 The sum over all kept terms for a pair (P, Q) is taken apart, exactly: terms that only one of both has depend on a count of P or
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import Scratch, documents, lean, partitions, tune
 
-MIN_DOCS, TOP, SCALE, HELD, OFTEN, SLICE, WIDTH = 3, 200, 1_000_000_000, 400_000, 8, 1 << 20, 1024
+MIN_DOCS, TOP, SCALE, HELD, OFTEN, SLICE, WIDTH = 3, 200, 1_000_000_000, 600_000, 8, 1 << 20, 1024
 #: Bytes outside of terms become blanks and A-Z lower case; UTF-8 writes all that isn't ASCII in bytes from 0x80 on.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -125,7 +125,7 @@ def _whole_runs(batches, keys: list[str]):
         yield held
 
 
-def _sorted_runs(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+def _sorted_runs(df: DataFrame, by: list[str], order: list[str | Column]) -> DataFrame:
     return df.repartition(partitions(df.sparkSession), *by).sortWithinPartitions(*order)
 
 
@@ -144,8 +144,9 @@ def cells(docs: DataFrame, min_docs: int = MIN_DOCS, held: int = HELD) -> DataFr
                 out = out.append_column(name, pa.array(column[kept]))
             yield from out.to_batches(20_000)
 
-    dealt = _sorted_runs(counted(docs, held), ["key"], ["key", "source", "document"])
-    found = dealt.mapInArrow(lean(scan), "key string, source string, n long, lang_n long, head long")
+    # A hash of the key comes first: keys of a language begin alike, and the sort compares the first eight bytes before anything else.
+    dealt = _sorted_runs(counted(docs, held), ["key"], [F.xxhash64("key"), "key", "source", "document"])
+    found = dealt.select("key", "source", "df", "n").mapInArrow(lean(scan), "key string, source string, n long, lang_n long, head long")
     parts = F.split("key", "\0", 2)
     return found.select(_plain(F.get(parts, F.lit(0))).alias("lang"), F.get(parts, F.lit(1)).alias("term"), "source", "n", "lang_n", "head")
 

@@ -79,3 +79,18 @@ def test_long_texts_are_counted_in_slices_without_cutting_a_term():
 def test_shares_are_exact_beyond_a_long(spark):
     row = spark.range(1).select(divergence._share(divergence.F.lit(9_000_000_000_000_000_000), divergence.F.lit(9_100_000_000_000_000_000)).alias("p")).first()
     assert row["p"] == 1 + 10**9 * 9_000_000_000_000_000_001 // 9_100_000_000_000_000_000
+
+
+def test_records_are_sorted_by_a_hash_first_and_leave_the_jvm_without_what_only_orders_them(spark):
+    df = spark.createDataFrame([(*r, 1, "x", 2) for r in rows_of(5)], SCHEMA)
+    plan = divergence.cells(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Sort [xxhash64(key#" in plan
+    scan = plan[: plan.index("Sort [xxhash64(key#")].rsplit("MapInArrow", 1)[1]
+    assert "Project [key#" in scan and "document#" not in scan
+
+
+def test_keys_that_begin_alike_stay_apart(spark):
+    texts = [f"{'common' * 5}{chr(97 + i % 5)} {'common' * 5}" for i in range(40)]
+    rows = [(i, t, "en", f"s{i % 3}") for i, t in enumerate(texts)] + [(i, t, "enc", "s0") for i, t in enumerate(texts)]
+    got = divergence.audit(spark.createDataFrame([(*r, 1, "x", 2) for r in rows], SCHEMA)).collect()
+    assert {tuple(r) for r in got} == brute(rows)
